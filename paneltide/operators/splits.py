@@ -39,11 +39,9 @@ def _finish(steps: DataFrame, end: str, valid_years: int, test_months: int,
 
 def _steps(spark: SparkSession, start: str, end: str, step_months: int) -> DataFrame:
     """One row per step between two dates: a few hundred, from the parameters."""
-    return spark.range(1).select(
-        F.lit(start).cast("date").alias("start"),
-        F.explode(F.sequence(F.lit(0), F.expr(
-            f"int(floor(months_between(date'{end}', date'{start}') / {step_months})) + 1")))
-        .cast("int").alias("n"))
+    last = f"int(floor(months_between(date'{end}', date'{start}') / {step_months})) + 1"
+    return spark.range(1).select(F.lit(start).cast("date").alias("start"),
+                                 F.expr(f"explode(sequence(0, greatest({last}, 0))) AS n"))
 
 
 def rolling_windows(spark: SparkSession, start: str, end: str, train_years: int = 5,

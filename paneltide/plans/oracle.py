@@ -32,7 +32,9 @@ def sql(body: str, extra: dict[str, str] | None = None) -> str:
 
     visit(body)
     head = ",\n".join(f"{n} AS ({tables[n]})" for n in order)
-    return f"WITH {head}\n{body}" if order else body
+    text = f"WITH {head}\n{body}" if order else body
+    # Adding 0 turns a negative zero into a plain one.
+    return text.replace("round(", "0.0 + round(")
 
 
 def rounded(*columns: str) -> str:
