@@ -89,18 +89,20 @@ def _residual_pass(df: DataFrame, by: list[str], targets: list[str], xs: list[st
     moments, sums, means, new = [], ["count(1) AS _groups"], [], {}
     for t, y in enumerate(targets):
         kept = [f"CASE WHEN `{y}` IS NOT NULL THEN `{x}` END" for x in xs]
-        moments += [f"count(`{y}`) AS _n{t}", f"avg(`{y}`) AS _y{t}",
-                    *(f"avg({kept[i]}) AS _x{t}_{i}" for i in range(k)),
-                    *(f"covar_pop({kept[i]}, `{xs[j]}`) AS _g{t}_{i}_{j}" for i, j in pairs),
-                    *(f"covar_pop(`{xs[i]}`, `{y}`) AS _r{t}_{i}" for i in range(k))]
+        moments += [f"count(`{y}`) AS _n{t}", f"sum(`{y}`) AS _y{t}",
+                    *(f"sum({kept[i]}) AS _x{t}_{i}" for i in range(k)),
+                    *(f"sum({kept[i]} * `{xs[j]}`) AS _g{t}_{i}_{j}" for i, j in pairs),
+                    *(f"sum(`{xs[i]}` * `{y}`) AS _r{t}_{i}" for i in range(k))]
         # Regressing on group dummies equals regressing what is centred in each
         # group, so the systems are sums of the within-group co-moments.
-        total = "coalesce(sum(_n{0} * {1}), 0D)".format
-        matrix = [total(t, f"_g{t}_{min(i, j)}_{max(i, j)}") for i in range(k) for j in range(k)]
-        vector = [total(t, f"_r{t}_{i}") for i in range(k)]
+        total = "coalesce(sum({0} - {1} * {2} / nullif(_n{3}, 0)), 0D)".format
+        matrix = [total(f"_g{t}_{min(i, j)}_{max(i, j)}", f"_x{t}_{i}", f"_x{t}_{j}", t)
+                  for i in range(k) for j in range(k)]
+        vector = [total(f"_r{t}_{i}", f"_x{t}_{i}", f"_y{t}", t) for i in range(k)]
         sums += [f"sum(_n{t}) AS _n{t}", f"array({', '.join(matrix)}) AS _m{t}",
                  f"array({', '.join(vector)}) AS _v{t}"]
-        means += [f"_y{t}", *(f"_x{t}_{i}" for i in range(k))]
+        means += [f"{c} / nullif(_n{t}, 0) AS {c}"
+                  for c in (f"_y{t}", *(f"_x{t}_{i}" for i in range(k)))]
         fitted = "".join(f" - _b{t}[{i}] * (`{x}` - _x{t}_{i})" for i, x in enumerate(xs))
         new[out[y]] = F.expr(f"CASE WHEN _b{t} IS NOT NULL THEN `{y}` - _y{t}{fitted} END")
     inner = settle(df.groupBy(*by, group).agg(*map(F.expr, moments)))
@@ -110,9 +112,9 @@ def _residual_pass(df: DataFrame, by: list[str], targets: list[str], xs: list[st
         F.when(F.expr(f"_n{t} > {k} + _groups"),
                solve_rows(f"_m{t}", f"_v{t}") if k else none).alias(f"_b{t}")
         for t in range(len(targets))))
-    table = inner.select(*by, group, *means).join(fits, by)
+    table = inner.selectExpr(*(f"`{c}`" for c in (*by, group)), *means).join(fits, by)
     return (attach(df, table, [*by, group]).withColumns(new)
-            .drop(*means, *(f"_b{t}" for t in range(len(targets)))))
+            .drop(*(c for c in table.columns if c not in (*by, group))))
 
 
 def ols_residual(df: DataFrame, by: Sequence[str], targets: Sequence[str],
@@ -130,9 +132,9 @@ def ols_residual(df: DataFrame, by: Sequence[str], targets: Sequence[str],
                          if group else F.lit(UNKNOWN_GROUP))
     if exposures:
         work = attach(work, quantile_table(df, by, exposures, (0.5,)), by)
-        work = (work.withColumns({filled[x]: F.coalesce(F.col(x).cast("double"),
-                                                        F.col(f"{x}__q0"), F.lit(0.0))
-                                  for x in exposures})
+        # Taking the median off leaves the residual as it is and keeps sums small.
+        work = (work.withColumns({
+            filled[x]: F.expr(f"coalesce(`{x}` - `{x}__q0`, 0D)") for x in exposures})
                 .drop(*(f"{x}__q0" for x in exposures)))
     targets = list(targets)
     for start in range(0, len(targets), COLUMNS_PER_PASS):
