@@ -20,6 +20,7 @@ from paneltide.session import settle
 
 UNKNOWN_GROUP = "UNKNOWN"
 COLUMNS_PER_PASS = 25
+STATS_PER_PASS = 100
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
@@ -47,10 +48,11 @@ def standardize(df: DataFrame, by: Sequence[str], columns: Sequence[str],
     A group without spread gives 0 on every row, or null with
     ``zero_when_flat=False``.
     """
-    names = names or {}
-    stats = df.groupBy(*by).agg(*(F.avg(c).alias(f"{c}__m") for c in columns),
-                                *(F.stddev_samp(c).alias(f"{c}__s") for c in columns))
-    scored = attach(df, stats, by)
+    names, scored = names or {}, df
+    for start in range(0, len(columns), STATS_PER_PASS):
+        part = columns[start:start + STATS_PER_PASS]
+        scored = attach(scored, df.groupBy(*by).agg(*(F.expr(e) for c in part for e in (
+            f"avg(`{c}`) AS `{c}__m`", f"stddev_samp(`{c}`) AS `{c}__s`"))), by)
     out = {}
     for c in columns:
         z = ratio(F.col(c) - F.col(f"{c}__m"), F.col(f"{c}__s"))

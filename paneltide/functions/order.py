@@ -20,15 +20,22 @@ from paneltide.session import settle
 GROUP_CONF = "paneltide.group.maxRows"
 GROUP_ROWS = 1_000_000
 SKETCH_ACCURACY = 10_000
+CELLS_PER_PASS = 2_000_000
+
+
+def largest_group(df: DataFrame, by: Sequence[str]) -> int:
+    """Rows of the largest group, by a count of the keys alone."""
+    return df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+
+
+def group_limit(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get(GROUP_CONF, str(GROUP_ROWS)))
 
 
 def groups_are_small(df: DataFrame, by: Sequence[str]) -> bool:
     """Whether every group fits one task, by a measured count."""
-    limit = int(df.sparkSession.conf.get(GROUP_CONF, str(GROUP_ROWS)))
-    if limit <= 0:
-        return False
-    largest = df.groupBy(*by).count().agg(F.max("count")).first()[0]
-    return (largest or 0) <= limit
+    limit = group_limit(df)
+    return limit > 0 and largest_group(df, by) <= limit
 
 
 def _window_rank(df: DataFrame, by: list[str], value: str, entity: str,
@@ -98,6 +105,27 @@ def average_rank(df: DataFrame, by: Sequence[str], value: str, entity: str,
             .drop("_tied"))
 
 
+def shift_rows(df: DataFrame, by: Sequence[str], order: str, column: str,
+               offsets: dict[str, int]) -> DataFrame:
+    """Add ``column`` of the row some places later (negative: earlier) in its group.
+
+    ``order`` is unique in a group. Small groups use a window; in large ones
+    rows are numbered by a range sort and matched by number.
+    """
+    by = list(by)
+    if groups_are_small(df, by):
+        window = Window.partitionBy(*by).orderBy(order)
+        return df.withColumns({name: F.lead(column, n).over(window)
+                               for name, n in offsets.items()})
+    numbered = settle(_spread_rank(df, by, order, by[0], "_rank", "_count"))
+    out = numbered
+    for name, n in offsets.items():
+        other = numbered.select(*by, (F.col("_rank") - n).alias("_rank"),
+                                F.col(column).alias(name))
+        out = out.join(other, [*by, "_rank"], "left")
+    return out.select(*df.columns, *offsets)
+
+
 def percentile_of(average: str = "_avg_rank", count: str = "_count") -> Column:
     """Average rank scaled to [0, 1]; a lone row gets 0."""
     return (F.col(average) - 1) / F.greatest(F.col(count) - 1, F.lit(1))
@@ -114,9 +142,22 @@ def quantile_table(df: DataFrame, by: Sequence[str], columns: Sequence[str],
 
     Columns are named ``<column>__q<i>`` in the order of ``fractions``.
     """
-    by = list(by)
-    if not groups_are_small(df, by):
-        return _spread_quantiles(df, by, columns, fractions)
+    by, columns = list(by), list(columns)
+    limit = group_limit(df)
+    rows = largest_group(df, by) if limit > 0 else 0
+    # Values of a group held at once: many columns are taken in several scans,
+    # each of which reads only its own columns.
+    width = max(1, CELLS_PER_PASS // max(min(rows, 5 * SKETCH_ACCURACY), 1))
+    exact = _task_quantiles if 0 < rows <= limit else _spread_quantiles
+    out = None
+    for start in range(0, len(columns), width):
+        part = exact(df, by, columns[start:start + width], fractions)
+        out = part if out is None else out.join(part, by, "full")
+    return out
+
+
+def _task_quantiles(df: DataFrame, by: list[str], columns: list[str],
+                    fractions: Sequence[float]) -> DataFrame:
     wanted = ", ".join(f"{float(f)!r}D" for f in fractions)
     exact = df.groupBy(*by).agg(*(
         F.expr(f"percentile(CAST(`{c}` AS DOUBLE), array({wanted}))").alias(f"_p_{c}")

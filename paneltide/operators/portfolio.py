@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paneltide.functions.lookup import attach
 from paneltide.functions.moments import UNKNOWN_GROUP, ratio
-from paneltide.functions.order import average_rank, percentile_of, quantile_table
+from paneltide.functions.order import average_rank, percentile_of, quantile_table, shift_rows
 from paneltide.operators.evaluation import PERIODS, _side_by_side, annualize, drawdown
 from paneltide.session import settle
 from paneltide.sources.panel_store import calendar
@@ -21,8 +21,7 @@ TINY = 1e-12
 
 def next_returns(returns: DataFrame, ret: str = "return") -> DataFrame:
     """The entity's next return, aligned to the date a position is taken."""
-    return returns.withColumn("next_return", F.lead(ret).over(
-        Window.partitionBy("stock_id").orderBy("date")))
+    return shift_rows(returns, ["stock_id"], "date", ret, {"next_return": 1})
 
 
 def long_short_weights(signal: DataFrame, top: float = 0.1, bottom: float = 0.1,
@@ -101,9 +100,8 @@ def turnover_series(weights: DataFrame, mode: str = "calendar") -> DataFrame:
     compares with the entity's own previous row.
     """
     if mode == "row_lag":
-        before = F.lag("weight").over(Window.partitionBy("stock_id").orderBy("date"))
-        moved = weights.withColumn("_move", F.coalesce("weight", F.lit(0.0))
-                                   - F.coalesce(before, F.lit(0.0)))
+        moved = shift_rows(weights, ["stock_id"], "date", "weight", {"_before": -1}).withColumn(
+            "_move", F.coalesce("weight", F.lit(0.0)) - F.coalesce("_before", F.lit(0.0)))
         return moved.groupBy("date").agg(F.sum(F.abs("_move")).alias("turnover"))
     if mode not in ("calendar", "held_today"):
         raise ValueError(f"unknown turnover mode: {mode}")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paneltide.functions.lookup import attach
+from paneltide.functions.order import shift_rows
+from paneltide.session import settle
+
 STYLES = ["log_mktcap", "beta", "turnover", "volatility"]
 FACTORS = ["factor_001", "factor_002", "factor_003", "factor_004"]
 MODELS = {  # model name -> (family, source column)
@@ -19,7 +23,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def _cents(column: str):
-    return F.sum(F.round(F.col(column) * 100).cast("bigint")).cast("double")
+    return F.sum(F.rint(F.col(column) * 100).cast("bigint")).cast("double")
 
 
 def supplier_months(spark: SparkSession, folder: str) -> DataFrame:
@@ -29,7 +33,7 @@ def supplier_months(spark: SparkSession, folder: str) -> DataFrame:
     exact integer sums are used, so the digits do not depend on the order.
     """
     lines = (table(spark, folder, "lineitem")
-             .withColumn("date", F.to_date(F.date_trunc("month", "l_shipdate"))))
+             .withColumn("date", F.trunc("l_shipdate", "month")))
     quantity, n = F.sum("l_quantity"), F.count(F.lit(1))
     returned = F.sum(F.when(F.col("l_returnflag") == "R", 1).otherwise(0))
     many = F.col("n_lines") > 1
@@ -59,15 +63,19 @@ def supplier_months(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("_returned") == F.col("n_lines")).cast("int").alias("is_suspended"))
 
 
+def stored_months(spark: SparkSession, folder: str) -> DataFrame:
+    """The supplier panel, derived once and kept for the several scans of a query."""
+    return settle(supplier_months(spark, folder))
+
+
 def with_returns(panel: DataFrame) -> DataFrame:
     """Add ``return`` against the entity's previous row."""
-    earlier = F.lag("close").over(Window.partitionBy("stock_id").orderBy("date"))
-    return panel.withColumn("return", F.col("close") / earlier - 1)
+    before = shift_rows(panel, ["stock_id"], "date", "close", {"_before": -1})
+    return before.withColumn("return", F.col("close") / F.col("_before") - 1).drop("_before")
 
 
 def with_benchmark(panel: DataFrame) -> DataFrame:
     """Add the share of the date's volume."""
-    from paneltide.functions.lookup import attach
     totals = panel.groupBy("date").agg(F.sum("volume").alias("_total"))
     return (attach(panel, totals, ["date"])
             .withColumn("benchmark_weight", F.col("volume") / F.col("_total")).drop("_total"))

@@ -17,7 +17,7 @@ RISK_STYLES = ["log_mktcap", "beta", "volatility"]
 
 
 def panel(spark, folder):
-    return settle(P.with_returns(P.supplier_months(spark, folder)))
+    return P.with_returns(P.stored_months(spark, folder))
 
 
 def signal(df):
@@ -32,7 +32,7 @@ def exposures(df):
 SELECT date, stock_id, round(lead(return) OVER (PARTITION BY stock_id ORDER BY date), 6)
   AS next_return FROM panel_r"""))
 def _(spark, folder):
-    df = P.with_returns(P.supplier_months(spark, folder)).select(*KEY, "return")
+    df = P.with_returns(P.stored_months(spark, folder)).select(*KEY, "return")
     return tidy(I.next_returns(df).drop("return"))
 
 

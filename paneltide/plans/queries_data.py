@@ -19,7 +19,7 @@ KEY = ["date", "stock_id"]
 
 
 def panel(spark, folder):
-    return settle(P.supplier_months(spark, folder))
+    return P.stored_months(spark, folder)
 
 
 @query("a1_scan_range", """

@@ -15,8 +15,8 @@ KEY = ["date", "stock_id"]
 
 def panel(spark, folder):
     """Labels need prices, returns, benchmark weights and styles, not the factors."""
-    return P.with_benchmark(settle(P.with_returns(P.supplier_months(spark, folder)).drop(
-        *P.FACTORS, "n_lines", "adv")))
+    months = P.stored_months(spark, folder).drop(*P.FACTORS, "n_lines", "adv")
+    return settle(P.with_benchmark(P.with_returns(months)))
 
 
 def _raw(h: int) -> str:
@@ -52,7 +52,7 @@ _BOTH = {**_ONE, **_FIVE}
 SELECT date, stock_id, {rounded('y_raw_1', 'y_raw_5')} FROM
 (SELECT date, stock_id, {_raw(1)}, {_raw(5)} FROM panel)"""))
 def _(spark, folder):
-    df = P.supplier_months(spark, folder).select(*KEY, "close")
+    df = P.stored_months(spark, folder).select(*KEY, "close")
     return tidy(C.forward_return(C.forward_return(df, 1), 5).drop("close"))
 
 
@@ -60,7 +60,7 @@ def _(spark, folder):
 SELECT date, stock_id, {rounded('y_raw_3')} FROM
 (SELECT date, stock_id, {_raw(3)} FROM user_day)"""))
 def _(spark, folder):
-    df = P.user_days(spark, folder).select(*KEY, "close")
+    df = settle(P.user_days(spark, folder)).select(*KEY, "close")
     return tidy(C.forward_return(df, 3).drop("close"))
 
 

@@ -22,7 +22,7 @@ SMALL_GBT = {"maxIter": 5, "maxDepth": 3, "minInstancesPerNode": 5}
 
 def _prepared(spark, folder):
     """(cleaned features, labels) of the supplier panel."""
-    df = settle(P.with_returns(P.supplier_months(spark, folder)))
+    df = P.stored_months(spark, folder)
     features = settle(preprocess(df, FACTORS, {}, float32=False).select(*KEY, *FACTORS))
     raw = C.forward_return(df.select(*KEY, "close"), 1)
     labels = settle(C.rank_labels(raw, 1, kinds=("group",)).select(*KEY, "y_raw_1", "y_group_1"))
@@ -78,7 +78,7 @@ _LINEAR = {
 
 
 def _linear(spark, folder):
-    df = settle(P.supplier_months(spark, folder))
+    df = P.stored_months(spark, folder)
     labels = settle(C.forward_return(df.select(*KEY, "close"), 1).drop("close"))
     rows = _first_window(spark, folder, df.select(*KEY, "factor_001"), labels)
     return rows, E.run_window(rows, ["factor_001"], "y_raw_1", None, "linear")

@@ -21,11 +21,11 @@ LOOKBACK, MIN_HISTORY, REFIT = 12, 6, 3
 
 
 def panel(spark, folder):
-    return settle(P.supplier_months(spark, folder))
+    return P.stored_months(spark, folder)
 
 
 def signals(spark, folder):
-    return settle(P.raw_signals(panel(spark, folder)))
+    return P.raw_signals(panel(spark, folder))
 
 
 def exposures(df):
@@ -34,7 +34,7 @@ def exposures(df):
 
 def scored_panel(spark, folder):
     """factor_001 as the signal, next month's return as the outcome."""
-    df = C.forward_returns(P.supplier_months(spark, folder), [1])
+    df = C.forward_returns(P.stored_months(spark, folder), [1])
     return settle(df.withColumnsRenamed({"factor_001": "signal", "future_return_1d": "ret"})
                   .select(*KEY, "industry", *P.STYLES, "signal", "ret"))
 
@@ -47,7 +47,7 @@ def processed(spark, folder):
 
 def _with_exposures(spark, folder):
     df = panel(spark, folder)
-    return settle(P.raw_signals(df).join(exposures(df), KEY))
+    return P.raw_signals(df).join(exposures(df), KEY)
 
 
 # --- standardizing and neutralizing -----------------------------------------------------

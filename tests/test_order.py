@@ -4,8 +4,9 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from paneltide.functions import order
 from paneltide.functions.order import (average_rank, bucket_of, ordinal_rank, percentile_of,
-                                       quantile_table, winsorize)
+                                       quantile_table, shift_rows, winsorize)
 
 
 @pytest.fixture(scope="module")
@@ -74,3 +75,24 @@ def test_lone_row_has_percentile_zero_and_buckets_fill(spark, either_path):
         "g", "stock_id", percentile_of().alias("p"), bucket_of(5).alias("b")).toPandas()
     assert out[out.g == "a"].p.item() == 0
     assert out[out.g == "b"].sort_values("stock_id").b.tolist() == [0, 0, 1, 2, 2, 3, 4]
+
+
+def test_shifted_rows_match_pandas(skewed, either_path):
+    """Also with one entity that holds most rows."""
+    pdf, df = skewed
+    out = shift_rows(df, ["g"], "stock_id", "v", {"ahead": 3, "behind": -1}).toPandas()
+    out = out.set_index(["g", "stock_id"]).sort_index()
+    want = pdf.sort_values(["g", "stock_id"]).set_index(["g", "stock_id"])
+    for name, n in (("ahead", -3), ("behind", 1)):
+        shifted = want.groupby("g").v.shift(n).reindex(out.index)
+        assert out[name].isna().equals(shifted.isna())
+        assert (out[name] - shifted).abs().max() == 0
+
+
+def test_many_columns_are_taken_in_several_scans(skewed, monkeypatch):
+    pdf, df = skewed
+    wide = df.selectExpr("g", "v AS a", "v * 2 AS b", "v + 1 AS c")
+    whole = quantile_table(wide, ["g"], ["a", "b", "c"], (0.5,)).toPandas().set_index("g")
+    monkeypatch.setattr(order, "CELLS_PER_PASS", 1)
+    split = quantile_table(wide, ["g"], ["a", "b", "c"], (0.5,)).toPandas().set_index("g")
+    pd.testing.assert_frame_equal(whole.sort_index(), split.sort_index())

@@ -145,3 +145,16 @@ def test_signal_store_round_trip(spark):
     got = S.read_signals(spark, root, "m", "2020-01-01", "2020-12-31", ["stock_id", "raw_score"])
     assert sorted((r[0], r[1]) for r in got.collect()) == [("a", 10.0), ("b", 20.0)]
     assert S.read_signals(spark, root).count() == 4
+
+
+def test_stream_of_deliveries_is_merged(spark):
+    from paneltide.streaming.incremental import upsert_stream
+    inbox, root, state = (scratch_path(spark, n) for n in ("inbox", "p", "state"))
+    rows(spark, (D(2020, 1, 2), "a", 1.0), (D(2020, 1, 2), "b", 2.0)).coalesce(1).write.parquet(inbox)
+    for late in (None, (D(2020, 1, 2), "a", 5.0)):
+        if late:
+            rows(spark, late).coalesce(1).write.mode("append").parquet(inbox)
+        stream = spark.readStream.schema("date date, stock_id string, v double").parquet(inbox)
+        query = upsert_stream(stream, root, state)
+        query.awaitTermination()
+    assert {(r.stock_id, r.v) for r in A.scan_panel(spark, root).collect()} == {("a", 5.0), ("b", 2.0)}
