@@ -77,23 +77,25 @@ def _spread_rank(df: DataFrame, by: list[str], value: str, entity: str,
 
 
 def ordinal_rank(df: DataFrame, by: Sequence[str], value: str, entity: str,
-                 rank: str = "_rank", count: str = "_count") -> DataFrame:
+                 rank: str = "_rank", count: str = "_count",
+                 small: bool | None = None) -> DataFrame:
     """Add the 1-based rank of ``value`` in its group and the group's non-null count.
 
-    Ties are broken by ``entity``; a null value has a null rank.
+    Ties are broken by ``entity``; a null value has a null rank. ``small`` passes
+    on what ``groups_are_small`` found for these groups or larger ones.
     """
     by = list(by)
-    if groups_are_small(df, by):
+    if groups_are_small(df, by) if small is None else small:
         return _window_rank(df, by, value, entity, rank, count, None)
     return _spread_rank(df, by, value, entity, rank, count)
 
 
 def average_rank(df: DataFrame, by: Sequence[str], value: str, entity: str,
                  average: str = "_avg_rank", rank: str = "_rank",
-                 count: str = "_count") -> DataFrame:
+                 count: str = "_count", small: bool | None = None) -> DataFrame:
     """``ordinal_rank`` plus the mean rank of all rows that share the value."""
     by = list(by)
-    if groups_are_small(df, by):
+    if groups_are_small(df, by) if small is None else small:
         return _window_rank(df, by, value, entity, rank, count, average)
     ranked = _spread_rank(df, by, value, entity, rank, count)
     ties = (ranked.filter(F.col(value).isNotNull()).groupBy(*by, value)

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from paneltide.functions.lookup import attach
 from paneltide.functions.moments import UNKNOWN_GROUP, pearson, ratio
-from paneltide.functions.order import average_rank, bucket_of, ordinal_rank
+from paneltide.functions.order import (average_rank, bucket_of, groups_are_small,
+                                       ordinal_rank)
 from paneltide.session import settle
 
 PERIODS = 252
@@ -37,8 +38,9 @@ def daily_rank_ic(df: DataFrame, signal: str, ret: str, series: Sequence[str] =
     """Correlation of average ranks per date, ranked after incomplete pairs are dropped."""
     by = [*series, "date"]
     pairs = _pairs(df, signal, ret).select(*by, "stock_id", signal, ret)
-    first = average_rank(pairs, by, signal, "stock_id", "_rs").drop("_rank", "_count")
-    both = average_rank(first, by, ret, "stock_id", "_rr")
+    small = groups_are_small(pairs, by)
+    first = average_rank(pairs, by, signal, "stock_id", "_rs", small=small).drop("_rank", "_count")
+    both = average_rank(first, by, ret, "stock_id", "_rr", small=small)
     return both.groupBy(*by).agg(pearson("_rs", "_rr").alias("rank_ic"))
 
 
@@ -241,12 +243,15 @@ def evaluate_signals(signals: DataFrame, returns: DataFrame, exposures: DataFram
     n_top = _number_of_buckets(quantile)
     long = stack_scores(joined, score_columns)
     # Rank once among rows with a score and once among rows that also have a return.
-    scored = ordinal_rank(settle(long), by, "score", "stock_id")
+    long = settle(long)
+    small = groups_are_small(long, by)
+    scored = ordinal_rank(long, by, "score", "stock_id", small=small)
     scored = scored.withColumn("_top", bucket_of(n_top) == n_top - 1).drop("_rank", "_count")
     scored = settle(scored)
-    pairs = average_rank(_pairs(scored, "score", "ret"), by, "score", "stock_id", "_rs")
+    pairs = average_rank(_pairs(scored, "score", "ret"), by, "score", "stock_id", "_rs",
+                         small=small)
     pairs = pairs.withColumn("bucket", bucket_of(n_groups)).drop("_rank", "_count")
-    pairs = settle(average_rank(pairs, by, "ret", "stock_id", "_rr"))
+    pairs = settle(average_rank(pairs, by, "ret", "stock_id", "_rr", small=small))
     daily = settle(pairs.groupBy(*by).agg(pearson("score", "ret").alias("ic"),
                                           pearson("_rs", "_rr").alias("rank_ic")))
     buckets = settle(_bucket_means(pairs, "ret", series))

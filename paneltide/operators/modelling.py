@@ -211,7 +211,7 @@ def walk_forward(features: DataFrame, labels: DataFrame, config: dict, versions:
         raise ValueError("no factor columns in the features")
     tuning, tuned, log = config.get("search", {}), {}, []
     for window in windows.orderBy("test_start").collect():  # one small row per window
-        rows = settle(window_rows(windows, window["window_id"], features, labels, embargo))
+        rows = window_rows(windows, window["window_id"], features, labels, embargo)
         for spec in config["model_specs"]:
             name = model_name(spec["model_family"], spec["objective_type"], spec["label_type"],
                               spec["horizon"], spec["model_version"])

@@ -96,9 +96,15 @@ def windowed_rows(windows: DataFrame, features: DataFrame, labels: DataFrame,
 
 def window_rows(windows: DataFrame, window_id: str, features: DataFrame, labels: DataFrame,
                 embargo_days: int = 20) -> DataFrame:
-    """Rows of one window; raises if one of its splits is empty or leaks."""
+    """Stored rows of one window; raises if one of its splits is empty.
+
+    The window's bounds filter both inputs before they are joined.
+    """
     one = windows.filter(F.col("window_id") == window_id)
-    rows = windowed_rows(one, features, labels, embargo_days)
+    span = one.first()
+    inside = F.col("date").between(F.lit(span["train_start"]), F.lit(span["test_end"]))
+    rows = settle(windowed_rows(one, features.filter(inside), labels.filter(inside),
+                                embargo_days))
     counts = {r["split"]: r["count"] for r in rows.groupBy("split").count().collect()}
     empty = [s for s in ("train", "valid", "test") if not counts.get(s)]
     if empty:

@@ -80,7 +80,7 @@ def _(spark, folder):
     late = df.filter("date >= '1998-06-01' AND is_st = 0").withColumn("volume", F.col("volume") * 2)
     new = df.filter("is_st = 1").withColumn("stock_id", F.concat(F.lit("n"), "stock_id"))
     A.write_by_year(late.unionByName(new).select(*columns), root)
-    return A.scan_panel(spark, root).select(*columns)
+    return A.scan_panel(spark, root, merge_schema=True).select(*columns)
 
 
 def _metadata(spark, name="gbt_reg_excess_h1_v01", family="lightgbm"):

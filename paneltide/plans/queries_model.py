@@ -32,7 +32,7 @@ def _prepared(spark, folder):
 def _first_window(spark, folder, features, labels):
     windows = settle(_anchored(spark, folder, D.rolling_windows, **YEARLY))
     first = windows.agg(F.min("window_id")).first()[0]
-    return settle(D.window_rows(windows, first, features, labels, 1))
+    return D.window_rows(windows, first, features, labels, 1)
 
 
 def _run(spark, folder, family, params, label="y_raw_1"):

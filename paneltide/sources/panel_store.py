@@ -6,9 +6,9 @@ import datetime as dt
 import re
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from paneltide.functions.lookup import attach
 from paneltide.session import settle
@@ -23,14 +23,15 @@ def _day(value: str | dt.date | None):
 
 def scan_panel(spark: SparkSession, path: str, start: str | dt.date | None = None,
                end: str | dt.date | None = None, columns: Sequence[str] | None = None,
-               date_col: str = "date") -> DataFrame:
+               date_col: str = "date", merge_schema: bool = False) -> DataFrame:
     """Rows of a parquet file or folder in the closed date range.
 
     The date filter and the column list reach the parquet scan; in a folder
-    split by ``year`` the bounds also select the directories.
+    split by ``year`` the bounds also select the directories. ``merge_schema``
+    reads every file's footer, for stores whose years differ in columns.
     """
     try:
-        df = spark.read.option("mergeSchema", "true").parquet(path)
+        df = spark.read.option("mergeSchema", str(merge_schema).lower()).parquet(path)
     except AnalysisException as exc:
         if "PATH_NOT_FOUND" in str(exc):
             raise FileNotFoundError(f"dataset not found: {path}") from exc
@@ -119,16 +120,17 @@ def write_by_year(df: DataFrame, root: str, overwrite: bool = False, date_col: s
     fresh = df.withColumn("year", F.year(date_col))
     if not overwrite:
         fresh = settle(fresh)
-        touched = fresh.select(*parts).distinct()
+        years = [r[0] for r in fresh.select("year").distinct().collect()]  # calendar years
+        touched = f"{root}{'/*' * len(also_by)}/year={{{','.join(map(str, years))}}}"
         try:
-            stored = spark.read.option("mergeSchema", "true").parquet(root)
+            old = (spark.read.option("basePath", root).option("mergeSchema", "true")
+                   .parquet(touched))
         except AnalysisException as exc:
             if "PATH_NOT_FOUND" not in str(exc):
                 raise
-            stored = None
-        if stored is not None:
-            # The partition values select the directories; other years stay unread.
-            old = attach(stored, touched, parts, "left_semi")
+        else:
+            # Directories this batch does not write to are left out.
+            old = attach(old, fresh.select(*parts).distinct(), parts, "left_semi")
             # The result is stored before its own source directory is replaced.
             fresh = settle(keep_last([old, fresh], date_col, parts))
     # Ranges end inside a date, so one large date is written by many tasks.

@@ -24,7 +24,7 @@ def test_upsert_keeps_the_last_row_and_other_years(spark):
                          (D(2021, 1, 4), "b", 3.0)), root)
     A.write_by_year(rows(spark, (D(2021, 1, 4), "a", 9.0), (D(2021, 1, 5), "a", 4.0)
                          ).withColumn("extra", F.lit(1)), root)
-    got = {(r.date, r.stock_id): (r.v, r.extra) for r in A.scan_panel(spark, root).collect()}
+    got = {(r.date, r.stock_id): (r.v, r.extra) for r in A.scan_panel(spark, root, merge_schema=True).collect()}
     assert got == {(D(2020, 1, 2), "a"): (1.0, None), (D(2021, 1, 4), "a"): (9.0, 1),
                    (D(2021, 1, 4), "b"): (3.0, None), (D(2021, 1, 5), "a"): (4.0, 1)}
     A.write_by_year(rows(spark, (D(2021, 3, 1), "z", 7.0)), root, overwrite=True)
