@@ -119,8 +119,10 @@ SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS date, l_suppkey, count(*
   CAST(sum(CAST(round(l_tax * 100) AS BIGINT)) AS DOUBLE) AS tax,
   CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS DOUBLE) AS disc,
   sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS returned,
-  max(l_extendedprice) - min(l_extendedprice) AS price_span,
-  max(l_discount) - min(l_discount) AS disc_span
+  CAST(max(CAST(round(l_extendedprice * 100) AS BIGINT)) - min(CAST(round(l_extendedprice * 100) AS BIGINT))
+    AS DOUBLE) / 100 AS price_span,
+  CAST(max(CAST(round(l_discount * 100) AS BIGINT)) - min(CAST(round(l_discount * 100) AS BIGINT))
+    AS DOUBLE) / 100 AS disc_span
 FROM lineitem GROUP BY ALL"""
 SHARED["panel"] = """
 SELECT date, CAST(l_suppkey AS VARCHAR) AS stock_id, r_name AS industry, price / volume AS close,

@@ -22,8 +22,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def _cents(column: str):
-    return F.sum(F.rint(F.col(column) * 100).cast("bigint")).cast("double")
+def _cents(column: str, f=F.sum):
+    return f(F.rint(F.col(column) * 100).cast("bigint")).cast("double")
+
+
+def _span(column: str):
+    """Largest less smallest value, as a quotient of whole numbers."""
+    return (_cents(column, F.max) - _cents(column, F.min)) / 100
 
 
 def supplier_months(spark: SparkSession, folder: str) -> DataFrame:
@@ -41,8 +46,8 @@ def supplier_months(spark: SparkSession, folder: str) -> DataFrame:
               .agg(n.alias("n_lines"), quantity.alias("volume"),
                    _cents("l_extendedprice").alias("_price"), _cents("l_tax").alias("_tax"),
                    _cents("l_discount").alias("_disc"), returned.alias("_returned"),
-                   (F.max("l_extendedprice") - F.min("l_extendedprice")).alias("_price_span"),
-                   (F.max("l_discount") - F.min("l_discount")).alias("_disc_span")))
+                   _span("l_extendedprice").alias("_price_span"),
+                   _span("l_discount").alias("_disc_span")))
     places = (table(spark, folder, "supplier")
               .join(table(spark, folder, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
               .join(table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
