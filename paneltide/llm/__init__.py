@@ -3,4 +3,4 @@
 
 def load_all() -> None:
     """Register the queries of all operators."""
-    from paneltide.llm import bpe, langid, warc  # noqa: F401
+    from paneltide.llm import bpe, langid, near_vectors, topk, warc  # noqa: F401
