@@ -114,35 +114,32 @@ def components(edges: DataFrame) -> DataFrame:
     return ends.unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
 
 
-def link_groups(keys: DataFrame, near, verify) -> tuple[DataFrame, DataFrame]:
+def link_groups(keys: DataFrame, traits: DataFrame, near: str, verify) -> tuple[DataFrame, DataFrame]:
     """Verified links that connect what the candidate keys allow, and their components.
 
-    ``keys``: a stored table (key, id, more columns by which ``near(left, right)`` builds a
-    cheap necessary condition). First every id is checked against the smallest id that shares
-    a key; then ids that share a key but not yet a component are checked with one another, so
-    a large group of copies costs links in its size, not in its square, and no link that joins
-    two components is missed. ``verify`` takes (a, b) with a < b and returns those that hold.
+    ``keys``: (key, id). ``traits``: a stored table (id, ...) for the cheap necessary condition
+    ``near`` of two rows ``l`` and ``r``. First every id is checked against the smallest id that
+    shares a key; then ids that share a key but not yet a component are checked with one another.
+    So a large group of copies costs links in its size, not in its square, and no link that joins
+    two components is missed. ``verify`` takes pairs (a, b) and returns those that hold.
     """
-    sides = [c for c in keys.columns if c not in ("key", "id")]
-    lead = keys.groupBy("key").agg(F.min(F.struct("id", *sides)).alias("lead"),
-                                   F.count("*").alias("n")).where("n > 1")
+    lead = (keys.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last"))
+            .where("lead < last").drop("last"))
     shared = store(keys.join(lead, "key"), "shared")
-    left = {c: F.col(f"lead.{c}") for c in sides}
-    tried = store(shared.where("id <> lead.id")
-                  .where(near(left, {c: F.col(c) for c in sides}))
-                  .select(F.col("lead.id").alias("a"), F.col("id").alias("b")).distinct(), "tried")
+    pairs = shared.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
+    one, two = traits.alias("l"), traits.alias("r")
+    tried = store(pairs.join(one, F.expr("a = l.id")).join(two, F.expr("b = r.id"))
+                  .where(near).select("a", "b"), "tried")
     links = store(verify(tried), "links")
     found = components(links)
-    own = (shared.drop("lead", "n").join(found, "id", "left")
-           .withColumn("component", F.coalesce("component", "id")))
+    own = shared.drop("lead").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = (own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-             .where("lo <> hi").select("key"))
-    own = store(own.join(mixed, "key"), "mixed")
-    one, two = own.alias("l"), own.alias("r")
-    rest = (one.join(two, F.expr("l.key = r.key AND l.id < r.id AND l.component <> r.component")
-                     & near({c: F.col(f"l.{c}") for c in sides}, {c: F.col(f"r.{c}") for c in sides}))
-            .select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
-            .join(tried, ["a", "b"], "left_anti"))
+             .where("lo < hi").select("key"))
+    own = store(own.join(mixed, "key").join(traits, "id"), "mixed")
+    rest = (own.alias("l").join(own.alias("r"), F.expr(
+        f"l.key = r.key AND l.id < r.id AND l.component <> r.component AND ({near})"))
+        .select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
+        .join(tried, ["a", "b"], "left_anti"))
     more = store(verify(store(rest, "rest")), "more")
     links = links.unionByName(more)
     return links, (components(links) if more.limit(1).count() else found)
