@@ -3,4 +3,4 @@
 
 def load_all() -> None:
     """Register the queries of all operators."""
-    from paneltide.llm import bpe, langid, mixing, near_vectors, ngram_join, substrings, topk, warc  # noqa: F401
+    from paneltide.llm import bpe, langid, lm_scoring, mixing, near_vectors, ngram_join, substrings, topk, warc  # noqa: F401

@@ -49,7 +49,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 def split_words(texts: pa.Array, lower: bool) -> tuple[np.ndarray, pa.Array]:
     """Words of a batch: their offsets per text (null counts as empty) and the words in order."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    # A fresh array: the kernels below misread the offsets of a slice.
+    texts = pa.array([t or "" for t in texts.to_pylist()], pa.large_string())
     if lower:
         texts = pc.ascii_lower(texts)
     lists = pc.ascii_split_whitespace(texts)
