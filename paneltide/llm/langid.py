@@ -126,18 +126,20 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Lang
 def predict(docs: DataFrame, model: LanguageModel, keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns ``keep`` of every row with ``lang_pred`` and ``score``."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    inner = docs.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(keep)], F.col(text_col).alias("_text"))
+    asked = keep if text_col in keep else [*keep, text_col]
+    inner = docs.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(asked)])
     names = [*[f"_{i}" for i in range(len(keep))], "lang_pred", "score"]
     schema = ", ".join([*[f"_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)],
                         "lang_pred string, score double"])
+    at = asked.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, stop in slices(batch.column(len(keep))):
+            for start, stop in slices(batch.column(at)):
                 part = batch.slice(start, stop - start)
-                found, scores = sent.value.predict(part.column(len(keep)).to_pylist())
+                found, scores = sent.value.predict(part.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:-1], pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=names)
+                    [*part.columns[:len(keep)], pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=names)
 
     return inner.mapInArrow(run, schema).toDF(*keep, "lang_pred", "score")
 
