@@ -142,6 +142,9 @@ class Codec:
                 i = i[~np.isin(i, np.array(sorted(taken)))]
                 j = after[i]
             k = after[j]
+            # A merge with a neighbour that this round changes as well, were it ranked lower.
+            between = self.ranks_of(np.full(len(k), rank), sym[k])
+            odd.update(owner[i[(k >= 0) & (between >= 0) & (between <= rank)]].tolist())
             sym[i] = rank
             live[j] = False
             after[i] = k
