@@ -79,7 +79,8 @@ def frequent(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketch(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(id, n, f1, f2, head): set size, fingerprint and the n-grams that find candidates."""
+    """(id, n, f1, f2, head, probe): set size, fingerprint, the n-grams that find candidates, and
+    the set's part in the first fragment of the hash range, 32 bits of each."""
     sent = docs.sparkSession.sparkContext.broadcast(frequent(docs, size))
 
     def head(own: np.ndarray, gram: np.ndarray, often: np.ndarray) -> np.ndarray:
@@ -91,15 +92,18 @@ def sketch(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gram, often = sent.value
+        first_end = np.uint64(1 << (64 - FRAGMENT_BITS))
         for part, found in sets(batches, size):
             marks = [fingerprint(own) for own in found]
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array([len(own) for own in found], pa.int64()),
                  pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()),
-                 lists([head(own, gram, often).view(np.int64) for own in found], pa.int64())],
-                names=["id", "n", "f1", "f2", "head"])
+                 lists([head(own, gram, often).view(np.int64) for own in found], pa.int64()),
+                 lists([np.unique(own[:np.searchsorted(own, first_end)].astype(np.uint32).view(np.int32))
+                        for own in found], pa.int32())],
+                names=["id", "n", "f1", "f2", "head", "probe"])
 
-    return docs.mapInArrow(run, "id bigint, n bigint, f1 bigint, f2 bigint, head array<bigint>")
+    return docs.mapInArrow(run, "id bigint, n bigint, f1 bigint, f2 bigint, head array<bigint>, probe array<int>")
 
 
 def fragments(docs: DataFrame, size: int) -> DataFrame:
@@ -127,25 +131,30 @@ def jaccard_groups(docs: DataFrame, size: int, percent: int, id_col: str = "doc_
     one = (sketched.where("id IS NOT NULL AND n > 0").groupBy("id")
            .agg(F.max(F.struct("f1", "f2", "n")).alias("s")).select("id", "s.*"))
     classes = store(one.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep")), "classes")
-    traits = classes.select(F.col("rep").alias("id"), "n", "f1", "f2")
-    heads = (sketched.drop("n").join(small_side(traits, 40), ["id", "f1", "f2"]).select("id", "head"))
-    keys = heads.select(F.explode("head").alias("key"), "id")
+    size_of = classes.select(F.col("rep").alias("id"), "n", "f1", "f2")
+    reps = sketched.drop("n").join(small_side(size_of, 40), ["id", "f1", "f2"])
+    keys = reps.select(F.explode("head").alias("key"), "id")
+    traits = store(reps.select("id", "n", "probe"), "traits")
 
     def verify(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-        asked = store(traits.join(ids, "id", "left_semi").select("id", "f1"), "asked")
-        parts = store(fragments(texts.join(small_side(asked, 24), "id").select("id", "text", "f1"), size)
-                      .dropDuplicates(["id", "fragment"]), "fragments")
+        asked = store(size_of.join(ids, "id", "left_semi").select("id", "f1"), "asked")
+        parts = store(fragments(texts.join(small_side(asked, 24), "id").select("id", "text", "f1"), size), "fragments")
         left = parts.select(F.col("id").alias("a"), "fragment", F.col("part").alias("pa"))
         right = parts.select(F.col("id").alias("b"), "fragment", F.col("part").alias("pb"))
         partial = (pairs.join(left, "a").join(right, ["b", "fragment"])
-                   .select("a", "b", F.size(F.array_intersect("pa", "pb")).cast("long").alias("common")))
-        total = partial.groupBy("a", "b").agg(F.sum("common").alias("common"))
-        n_a, n_b = (traits.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}")) for c in "ab")
+                   .select("a", "b", "fragment", F.size(F.array_intersect("pa", "pb")).cast("long").alias("common")))
+        # A repeated row has its fragments twice.
+        total = (partial.groupBy("a", "b", "fragment").agg(F.max("common").alias("common"))
+                 .groupBy("a", "b").agg(F.sum("common").alias("common")))
+        n_a, n_b = (size_of.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}")) for c in "ab")
         return (total.join(n_a, "a").join(n_b, "b")
                 .where(f"100 * common >= {percent} * (n_a + n_b - common)").select("a", "b"))
 
-    near = f"100 * least(l.n, r.n) >= {percent} * greatest(l.n, r.n)"
+    # What the first fragments miss bounds the overlap, and rules most candidates out at once.
+    near = (f"100 * least(l.n, r.n) >= {percent} * greatest(l.n, r.n) AND "
+            f"{100 + percent} * (size(array_intersect(l.probe, r.probe)) + "
+            f"least(l.n - size(l.probe), r.n - size(r.probe))) >= {percent} * (l.n + r.n)")
     _, found = link_groups(keys, traits, near, verify)
     group = (one.join(classes, ["f1", "f2", "n"]).join(found.withColumnRenamed("id", "rep"), "rep", "left")
              .select("id", F.coalesce("component", "rep").alias("component")))
