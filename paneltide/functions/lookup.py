@@ -19,9 +19,21 @@ def _row_bytes(schema: T.StructType) -> int:
     return 16 + sum(8 if isinstance(f.dataType, fixed) else 64 for f in schema)
 
 
+def null_safe_join(df: DataFrame, table: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
+    """Join on equally named keys, where a null key equals a null key."""
+    own = {c: f"_key_{i}" for i, c in enumerate(on)}
+    same = F.lit(True)
+    for name, renamed in own.items():
+        same = same & F.col(name).eqNullSafe(F.col(renamed))
+    joined = df.join(table.withColumnsRenamed(own), same, how)
+    if how == "full":
+        joined = joined.withColumns({c: F.coalesce(c, k) for c, k in own.items()})
+    return joined.drop(*own.values())
+
+
 def attach(df: DataFrame, table: DataFrame, on: Sequence[str], how: str = "left",
            settled: bool = False) -> DataFrame:
-    """Join ``table`` to ``df`` on equally named keys.
+    """Join ``table`` to ``df`` on equally named keys, null to null.
 
     ``table`` is computed first and its size measured. Within the limit it is
     broadcast and ``df`` is not shuffled; beyond it both sides are shuffled on
@@ -30,4 +42,4 @@ def attach(df: DataFrame, table: DataFrame, on: Sequence[str], how: str = "left"
     kept = table if settled else settle(table)
     limit = int(df.sparkSession.conf.get(BROADCAST_CONF, str(BROADCAST_BYTES)))
     fits = kept.count() * _row_bytes(kept.schema) <= limit
-    return df.join(F.broadcast(kept) if fits else kept, list(on), how)
+    return null_safe_join(df, F.broadcast(kept) if fits else kept, on, how)

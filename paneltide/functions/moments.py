@@ -83,13 +83,13 @@ def solve_rows(matrix: str, right: str) -> Column:
     return F.pandas_udf(solve, T.ArrayType(T.DoubleType()))(matrix, right)
 
 
-def _residual_pass(df: DataFrame, by: list[str], targets: list[str], xs: list[str],
-                   group: str, out: dict[str, str]) -> DataFrame:
+def _residual_pass(df: DataFrame, by: list[str], targets: dict[str, str], xs: list[str],
+                   group: str) -> DataFrame:
     """Residuals of a few targets: two small aggregates, then one lookup."""
     k = len(xs)
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
     moments, sums, means, new = [], ["count(1) AS _groups"], [], {}
-    for t, y in enumerate(targets):
+    for t, (y, shown) in enumerate(targets.items()):
         kept = [f"CASE WHEN `{y}` IS NOT NULL THEN `{x}` END" for x in xs]
         moments += [f"count(`{y}`) AS _n{t}", f"sum(`{y}`) AS _y{t}",
                     *(f"sum({kept[i]}) AS _x{t}_{i}" for i in range(k)),
@@ -106,7 +106,7 @@ def _residual_pass(df: DataFrame, by: list[str], targets: list[str], xs: list[st
         means += [f"{c} / nullif(_n{t}, 0) AS {c}"
                   for c in (f"_y{t}", *(f"_x{t}_{i}" for i in range(k)))]
         fitted = "".join(f" - _b{t}[{i}] * (`{x}` - _x{t}_{i})" for i, x in enumerate(xs))
-        new[out[y]] = F.expr(f"CASE WHEN _b{t} IS NOT NULL THEN `{y}` - _y{t}{fitted} END")
+        new[shown] = F.expr(f"CASE WHEN _b{t} IS NOT NULL THEN `{y}` - _y{t}{fitted} END")
     inner = settle(df.groupBy(*by, group).agg(*map(F.expr, moments)))
     fits = inner.groupBy(*by).agg(*map(F.expr, sums))
     none = F.expr("CAST(array() AS array<double>)")
@@ -124,23 +124,29 @@ def ols_residual(df: DataFrame, by: Sequence[str], targets: Sequence[str],
                  names: dict[str, str] | None = None) -> DataFrame:
     """Residual of each target on [1, exposures, group dummies], fitted per ``by``.
 
-    Null exposures take the day's median, then 0. Null targets are left out of
-    the fit and stay null. A day with no more usable rows than regressors gives
-    null for all of its rows.
+    Missing exposures (null or NaN) take the day's median, then 0. A row with an
+    infinite exposure or a target that is not a finite number is left out of the
+    fit and gets null. A day with no more usable rows than regressors gives null
+    for all of its rows.
     """
-    by, exposures, names = list(by), list(exposures), dict(names or {})
+    by, exposures, targets, names = list(by), list(exposures), list(targets), dict(names or {})
     filled = {x: f"_fill{i}" for i, x in enumerate(exposures)}
+    masked = {y: f"_target{i}" for i, y in enumerate(targets)}
+    infinite = " OR ".join([f"coalesce(abs(CAST(`{x}` AS DOUBLE)) = double('infinity'), false)"
+                            for x in exposures]) or "false"
     work = df.withColumn("_group", F.coalesce(F.col(group).cast("string"), F.lit(UNKNOWN_GROUP))
                          if group else F.lit(UNKNOWN_GROUP))
+    finite = "CASE WHEN abs(CAST(`{0}` AS DOUBLE)) < double('infinity') THEN `{0}` END".format
+    work = work.withColumns({masked[y]: F.expr(f"CASE WHEN NOT ({infinite}) THEN {finite(y)} END")
+                             for y in targets})
     if exposures:
-        work = attach(work, quantile_table(df, by, exposures, (0.5,)), by)
+        work = work.withColumns({filled[x]: F.expr(finite(x)) for x in exposures})
+        work = attach(work, quantile_table(work, by, list(filled.values()), (0.5,)), by)
         # Taking the median off leaves the residual as it is and keeps sums small.
-        work = (work.withColumns({
-            filled[x]: F.expr(f"coalesce(`{x}` - `{x}__q0`, 0D)") for x in exposures})
-                .drop(*(f"{x}__q0" for x in exposures)))
-    targets = list(targets)
+        work = (work.withColumns({f: F.expr(f"coalesce({f} - {f}__q0, 0D)") for f in filled.values()})
+                .drop(*(f"{f}__q0" for f in filled.values())))
     for start in range(0, len(targets), COLUMNS_PER_PASS):
         part = targets[start:start + COLUMNS_PER_PASS]
-        work = _residual_pass(work, by, part, [filled[x] for x in exposures], "_group",
-                              {y: names.get(y, y) for y in part})
-    return work.drop("_group", *filled.values())
+        work = _residual_pass(work, by, {masked[y]: names.get(y, y) for y in part},
+                              [filled[x] for x in exposures], "_group")
+    return work.drop("_group", *filled.values(), *masked.values())

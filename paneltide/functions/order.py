@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paneltide.functions.lookup import attach
+from paneltide.functions.lookup import attach, null_safe_join
 from paneltide.session import settle
 
 GROUP_CONF = "paneltide.group.maxRows"
@@ -111,20 +111,22 @@ def shift_rows(df: DataFrame, by: Sequence[str], order: str, column: str,
                offsets: dict[str, int]) -> DataFrame:
     """Add ``column`` of the row some places later (negative: earlier) in its group.
 
-    ``order`` is unique in a group. Small groups use a window; in large ones
-    rows are numbered by a range sort and matched by number.
+    ``order`` is unique in a group; a row without it has no place, gets null and
+    is not counted. Small groups use a window; in large ones rows are numbered by
+    a range sort and matched by number.
     """
     by = list(by)
     if groups_are_small(df, by):
-        window = Window.partitionBy(*by).orderBy(order)
-        return df.withColumns({name: F.lead(column, n).over(window)
+        placed = F.col(order).isNotNull()
+        window = Window.partitionBy(*by, placed).orderBy(order)
+        return df.withColumns({name: F.when(placed, F.lead(column, n).over(window))
                                for name, n in offsets.items()})
     numbered = settle(_spread_rank(df, by, order, by[0], "_rank", "_count"))
     out = numbered
     for name, n in offsets.items():
         other = numbered.select(*by, (F.col("_rank") - n).alias("_rank"),
                                 F.col(column).alias(name))
-        out = out.join(other, [*by, "_rank"], "left")
+        out = null_safe_join(out, other.where("_rank IS NOT NULL"), [*by, "_rank"])
     return out.select(*df.columns, *offsets)
 
 
@@ -149,12 +151,14 @@ def quantile_table(df: DataFrame, by: Sequence[str], columns: Sequence[str],
     rows = largest_group(df, by) if limit > 0 else 0
     # Values of a group held at once: many columns are taken in several scans,
     # each of which reads only its own columns.
-    width = max(1, CELLS_PER_PASS // max(min(rows, 5 * SKETCH_ACCURACY), 1))
-    exact = _task_quantiles if 0 < rows <= limit else _spread_quantiles
+    in_task = 0 < rows <= limit
+    held = rows if in_task else 5 * SKETCH_ACCURACY
+    width = max(1, CELLS_PER_PASS // max(held, 1))
+    exact = _task_quantiles if in_task else _spread_quantiles
     out = None
     for start in range(0, len(columns), width):
         part = exact(df, by, columns[start:start + width], fractions)
-        out = part if out is None else out.join(part, by, "full")
+        out = part if out is None else null_safe_join(out, part, by, "full")
     return out
 
 
@@ -169,9 +173,10 @@ def _task_quantiles(df: DataFrame, by: list[str], columns: list[str],
 
 
 def _spread_quantiles(df: DataFrame, by: list[str], columns: Sequence[str],
-                      fractions: Sequence[float], accuracy: int = SKETCH_ACCURACY) -> DataFrame:
+                      fractions: Sequence[float], accuracy: int = SKETCH_ACCURACY,
+                      widen: float = 1.0) -> DataFrame:
     # Bracket half-widths: at least four rows and four sketch errors wide.
-    fine, coarse = 4.0 / accuracy, 200.0 / accuracy
+    fine, coarse = widen * 4.0 / accuracy, widen * 200.0 / accuracy
     edges = ", ".join(f"{min(max(f + side, 0.0), 1.0):.8f}D" for f in fractions
                       for side in (-fine, fine, -coarse, coarse))
     sketch = df.groupBy(*by).agg(*(F.expr(e) for c in columns for e in (
@@ -181,6 +186,8 @@ def _spread_quantiles(df: DataFrame, by: list[str], columns: Sequence[str],
     near = attach(df.select(*by, *columns), sketch, by)
 
     def edge(c: str, i: int, high: int) -> str:
+        if fine >= 1.0:
+            return f"`_{'lh'[high]}_{c}`"
         return (f"CASE WHEN `_n_{c}` > {accuracy} THEN `_e_{c}`[{4 * i + high}] "
                 f"WHEN `_n_{c}` > {accuracy // 50} THEN `_e_{c}`[{4 * i + 2 + high}] "
                 f"ELSE `_{'lh'[high]}_{c}` END")
@@ -217,11 +224,12 @@ def _spread_quantiles(df: DataFrame, by: list[str], columns: Sequence[str],
         "min(CASE WHEN value IS NOT NULL AND below + run > floor(spot) THEN value END) AS lower",
         "min(CASE WHEN value IS NOT NULL AND below + run > ceil(spot) THEN value END) AS upper",
         "max(below) AS below", "max(below + inner_rows) AS top")))
-    exact = F.expr(
-        "CASE WHEN below > floor(spot) OR top <= ceil(spot)"
-        " THEN CAST(raise_error('quantile bracket missed its position') AS DOUBLE)"
-        " ELSE lower + (upper - lower) * (spot - floor(spot)) END")
-    values = picked.select(*by, "name", "item", exact.alias("value"))
+    values = settle(picked.select(
+        *by, "name", "item", F.expr("below > floor(spot) OR top <= ceil(spot)").alias("missed"),
+        F.expr("lower + (upper - lower) * (spot - floor(spot))").alias("value")))
+    if values.filter("missed").limit(1).count():
+        # A sketch was worse than its bound: take wider brackets, in the end all values.
+        return _spread_quantiles(df, by, columns, fractions, accuracy, widen * 50)
     return values.groupBy(*by).agg(*(
         F.expr(f"max(CASE WHEN name = '{c}' AND item = {i} THEN value END)").alias(f"{c}__q{i}")
         for c in columns for i in range(len(fractions))))

@@ -50,15 +50,19 @@ def model_name(family: str, objective: str, label_type: str, horizon: int, versi
                      LABEL_SHORT[label_type], f"h{horizon}", version])
 
 
+#: What a model fits and what its scores are measured with, where it is not the label itself.
+FITTED = {"ranking": "group_label"}
+MEASURED = {"rank_return": "excess_return", "group_label": "excess_return"}
+
+
 def training_labels(objective: str, label_type: str, horizon: int) -> tuple[str, str]:
     """Label to fit and continuous label to measure with.
 
     Ranking is fitted pointwise on the bucket label; ranks and buckets are
     measured against the excess return.
     """
-    measured = "excess_return" if label_type in ("rank_return", "group_label") else label_type
-    fitted = "group_label" if objective == "ranking" else label_type
-    return label_column(fitted, horizon), label_column(measured, horizon)
+    chosen = (FITTED.get(objective, label_type), MEASURED.get(label_type, label_type))
+    return tuple(label_column(label, horizon) for label in chosen)
 
 
 def _assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:

@@ -151,32 +151,39 @@ def hold_weights(weights: DataFrame, days: DataFrame, frequency: str) -> DataFra
         "held_on", "date").select(*weights.columns)
 
 
+#: Settings of a long-short backtest that a caller may leave out.
+LONG_SHORT_DEFAULTS = {"rebalance_freq": "daily", "top_quantile": 0.1, "bottom_quantile": 0.1,
+                       "weighting": "equal", "hold": False, "cost_rate": 0.0015}
+
+
+def target_weights(signal: DataFrame, own: dict, exposures: DataFrame | None) -> DataFrame:
+    """Weights on rebalance days, neutral to what is asked for, held in between if asked for."""
+    picked = long_short_weights(rebalance_rows(signal, own["rebalance_freq"]), own["top_quantile"],
+                                own["bottom_quantile"], own["weighting"])
+    neutral = {kind: bool(own.get(f"{kind}_neutral")) for kind in ("industry", "mktcap", "beta")}
+    if exposures is not None and True in neutral.values():
+        picked = neutralize_weights(picked, exposures, *neutral.values())
+    return hold_weights(picked, calendar(signal), own["rebalance_freq"]) if own["hold"] else picked
+
+
+def net_of_costs(gross: DataFrame, moved: DataFrame, cost_rate: float) -> DataFrame:
+    """Daily leg returns with turnover and what is left after its cost."""
+    traded = gross.join(moved, "date", "left").withColumn("turnover", F.coalesce("turnover", F.lit(0.0)))
+    return traded.withColumn("ls_ret_net", F.col("ls_ret") - F.col("turnover") * float(cost_rate))
+
+
 def long_short_backtest(signal: DataFrame, returns: DataFrame, config: dict,
                         exposures: DataFrame | None = None,
                         turnover_mode: str = "calendar") -> dict[str, DataFrame]:
     """Weights, daily gross and net returns, summary, months and style exposure."""
-    options = config.get("long_short", config)
-    frequency = options.get("rebalance_freq", "daily")
-    weights = long_short_weights(rebalance_rows(signal, frequency),
-                                 options.get("top_quantile", 0.1),
-                                 options.get("bottom_quantile", 0.1),
-                                 options.get("weighting", "equal"))
-    wanted = [bool(options.get(f"{k}_neutral")) for k in ("industry", "mktcap", "beta")]
-    if exposures is not None and any(wanted):
-        weights = neutralize_weights(weights, exposures, *wanted)
-    if options.get("hold", False):
-        weights = hold_weights(weights, calendar(signal), frequency)
-    weights = settle(weights)
-    moved = turnover_series(weights, turnover_mode)
-    cost = F.col("turnover") * float(options.get("cost_rate", 0.0015))
-    daily = settle(long_short_return(weights, returns).join(moved, "date", "left")
-                   .withColumn("turnover", F.coalesce("turnover", F.lit(0.0)))
-                   .withColumn("ls_ret_net", F.col("ls_ret") - cost))
-    summary, months = long_short_performance(daily)
-    out = {"weights": weights, "daily": daily, "summary": summary, "monthly": months}
+    own = {**LONG_SHORT_DEFAULTS, **config.get("long_short", config)}
+    tables = {"weights": settle(target_weights(signal, own, exposures))}
+    moved = turnover_series(tables["weights"], turnover_mode)
+    tables["daily"] = settle(net_of_costs(long_short_return(tables["weights"], returns), moved, own["cost_rate"]))
+    tables["summary"], tables["monthly"] = long_short_performance(tables["daily"])
     if exposures is not None:
-        out["style_exposure"] = style_exposure(weights, exposures)
-    return out
+        tables["style_exposure"] = style_exposure(tables["weights"], exposures)
+    return tables
 
 
 def long_short_performance(daily: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -298,8 +305,7 @@ def structured_risk(active: DataFrame, exposures: DataFrame, styles: Sequence[st
         common = loads.groupBy("date").agg((F.sum(F.col("b") ** 2) * factor_var).alias("_f"))
     else:
         second = loads.select("date", F.col("factor").alias("f2"), F.col("b").alias("b2"))
-        cov = F.broadcast(settle(factor_cov))  # factors squared
-        common = (loads.withColumnRenamed("factor", "f1").join(cov, "f1")
+        common = (attach(loads.withColumnRenamed("factor", "f1"), factor_cov, ["f1"], "inner")
                   .join(second, ["date", "f2"]).groupBy("date")
                   .agg(F.sum(F.col("b") * F.col("b2") * F.col("cov")).alias("_f")))
     if vol and vol in have:

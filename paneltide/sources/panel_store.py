@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paneltide.functions.lookup import attach
+from paneltide.functions.moments import nan_to_null
 from paneltide.session import settle
 
 FACTOR_NAME = re.compile(r"^factor_\d+$")
@@ -28,7 +29,8 @@ def scan_panel(spark: SparkSession, path: str, start: str | dt.date | None = Non
 
     The date filter and the column list reach the parquet scan; in a folder
     split by ``year`` the bounds also select the directories. ``merge_schema``
-    reads every file's footer, for stores whose years differ in columns.
+    reads every file's footer, for stores whose years differ in columns. NaN is
+    read as null.
     """
     try:
         df = spark.read.option("mergeSchema", str(merge_schema).lower()).parquet(path)
@@ -45,8 +47,8 @@ def scan_panel(spark: SparkSession, path: str, start: str | dt.date | None = Non
         df = df.filter(F.col(date_col) < F.date_add(_day(end), 1))
         df = df.filter(F.col("year") <= F.year(_day(end))) if by_year else df
     if columns is not None:
-        return df.select(*columns)
-    return df.drop("year") if by_year else df
+        return nan_to_null(df.select(*columns))
+    return nan_to_null(df.drop("year") if by_year else df)
 
 
 def cross_section(spark: SparkSession, path: str, day: str | dt.date,
@@ -92,19 +94,23 @@ def enforce_types(df: DataFrame, factors: Sequence[str]) -> DataFrame:
 
 
 def keep_last(batches: Sequence[DataFrame], date_col: str = "date",
-              extra_keys: Sequence[str] = ()) -> DataFrame:
+              extra_keys: Sequence[str] = (), arrival: str | None = None) -> DataFrame:
     """Union by name; of rows with the same key the latest batch's row stays.
 
-    One aggregation per key, so the newest row is picked before the shuffle too.
+    Inside one batch rows have no order of their own: the one with the largest
+    ``arrival`` stays, and without that column the one with the largest values, so
+    that reruns agree. One aggregation per key, so a row is picked before the
+    shuffle too.
     """
     merged = None
     for number, batch in enumerate(batches):
         tagged = batch.withColumn("_turn", F.struct(
-            F.lit(number).alias("batch"), F.monotonically_increasing_id().alias("row")))
+            F.lit(number).alias("batch"), (F.col(arrival) if arrival else F.lit(0)).alias("turn")))
         merged = tagged if merged is None else merged.unionByName(tagged, allowMissingColumns=True)
     keys = [*extra_keys, date_col, *(["stock_id"] if "stock_id" in merged.columns else [])]
     rest = [c for c in merged.columns if c not in keys and c != "_turn"]
-    return (merged.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_turn").alias("_row"))
+    return (merged.groupBy(*keys)
+            .agg(F.max_by(F.struct(*rest), F.struct("_turn", *rest)).alias("_row"))
             .select(*keys, "_row.*").select(*(c for c in merged.columns if c != "_turn")))
 
 
@@ -113,7 +119,8 @@ def write_by_year(df: DataFrame, root: str, overwrite: bool = False, date_col: s
     """Write under ``year=``; touched years are replaced, or merged with what is there.
 
     On a merge the new row wins over a stored row with the same key. Untouched
-    years are neither read nor written.
+    years are neither read nor written. A row without a date has no year to be
+    merged into and is refused.
     """
     spark = df.sparkSession
     parts = [*also_by, "year"]
@@ -121,6 +128,8 @@ def write_by_year(df: DataFrame, root: str, overwrite: bool = False, date_col: s
     if not overwrite:
         fresh = settle(fresh)
         years = [r[0] for r in fresh.select("year").distinct().collect()]  # calendar years
+        if None in years:
+            raise ValueError(f"rows without {date_col} cannot be merged")
         touched = f"{root}{'/*' * len(also_by)}/year={{{','.join(map(str, years))}}}"
         try:
             old = (spark.read.option("basePath", root).option("mergeSchema", "true")

@@ -28,14 +28,19 @@ SIGNAL_KEY = ["date", "stock_id", "model_name", "model_version"]
 
 
 def signal_frame(predictions: DataFrame, metadata: DataFrame) -> DataFrame:
-    """Predictions (date, stock_id, raw_score) with the constants of one run."""
+    """Predictions (date, stock_id, raw_score) with the constants of one run.
+
+    ``metadata`` has exactly one row; a join of several runs would need their keys.
+    """
     constants = [c for c in SIGNAL_FIELDS
                  if c not in ("date", "stock_id", "raw_score", "created_time")]
     absent = set(constants) - set(metadata.columns)
     if absent:
         raise ValueError(f"run metadata lacks {sorted(absent)}")
+    if metadata.limit(2).count() != 1:
+        raise ValueError("run metadata must have exactly one row")
     rows = predictions.select("date", "stock_id", "raw_score").crossJoin(
-        F.broadcast(metadata.select(*constants).limit(1)))  # one row per run
+        F.broadcast(metadata.select(*constants)))
     rows = rows.withColumn("created_time", F.current_timestamp())
     return rows.select(*(F.col(c).cast(t).alias(c) for c, t in SIGNAL_FIELDS.items()))
 
