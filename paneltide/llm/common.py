@@ -115,32 +115,53 @@ def components(edges: DataFrame) -> DataFrame:
     return ends.unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
 
 
-def link_groups(keys: DataFrame, traits: DataFrame, near: str, verify) -> tuple[DataFrame, DataFrame]:
-    """Verified links that connect what the candidate keys allow, and their components.
-
-    ``keys``: (key, id). ``traits``: a stored table (id, ...) for the cheap necessary condition
-    ``near`` of two rows ``l`` and ``r``. First every id is checked against the smallest id that
-    shares a key; then ids that share a key but not yet a component are checked with one another.
-    So a large group of copies costs links in its size, not in its square, and no link that joins
-    two components is missed. ``verify`` takes pairs (a, b) and returns those that hold.
-    """
+def star_pairs(keys: DataFrame, traits: DataFrame, near: str) -> tuple[DataFrame, DataFrame]:
+    """(key, id, lead) of ids that share a key, and the pairs (a, b) of each id with the smallest
+    id of its key for which ``near`` holds. ``keys``: (key, id); ``traits``: a stored table (id, ...);
+    ``near``: a condition on two of its rows ``l`` and ``r``."""
     lead = (keys.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last"))
             .where("lead < last").drop("last"))
     shared = store(keys.join(lead, "key"), "shared")
     pairs = shared.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
     one, two = traits.alias("l"), traits.alias("r")
-    tried = store(pairs.join(one, F.expr("a = l.id")).join(two, F.expr("b = r.id"))
-                  .where(near).select("a", "b"), "tried")
-    links = store(verify(tried), "links")
-    found = components(links)
+    return shared, store(pairs.join(one, F.expr("a = l.id")).join(two, F.expr("b = r.id"))
+                         .where(near).select("a", "b"), "stars")
+
+
+def cross_pairs(shared: DataFrame, found: DataFrame, traits: DataFrame, near: str) -> DataFrame:
+    """Pairs (a, b) that share a key and are ``near`` but stand in different components of ``found``."""
     own = shared.drop("lead").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = (own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
              .where("lo < hi").select("key"))
     own = store(own.join(mixed, "key").join(traits, "id"), "mixed")
-    rest = (own.alias("l").join(own.alias("r"), F.expr(
+    return (own.alias("l").join(own.alias("r"), F.expr(
         f"l.key = r.key AND l.id < r.id AND l.component <> r.component AND ({near})"))
-        .select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
-        .join(tried, ["a", "b"], "left_anti"))
+        .select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct())
+
+
+def link_groups(keys: DataFrame, traits: DataFrame, near: str, verify) -> DataFrame:
+    """(id, component) over the verified links that the candidate keys allow.
+
+    First every id is checked against the smallest id that shares a key; then ids that share a
+    key but not yet a component are checked with one another. So a large group of copies costs
+    links in its size, not in its square, and no link that joins two components is missed.
+    ``verify`` takes pairs (a, b) and returns those that hold.
+    """
+    shared, tried = star_pairs(keys, traits, near)
+    links = store(verify(tried), "links")
+    found = components(links)
+    rest = cross_pairs(shared, found, traits, near).join(tried, ["a", "b"], "left_anti")
     more = store(verify(store(rest, "rest")), "more")
-    links = links.unionByName(more)
-    return links, (components(links) if more.limit(1).count() else found)
+    return components(links.unionByName(more)) if more.limit(1).count() else found
+
+
+def candidate_clusters(keys: DataFrame, traits: DataFrame, near: str) -> DataFrame:
+    """(id, component): any two ids that share a key and are ``near`` stand in one component.
+
+    Pairs are only listed with the smallest id of a key, and between components that these leave
+    apart, so a family of near copies is not paired with itself.
+    """
+    shared, stars = star_pairs(keys, traits, near)
+    found = components(stars)
+    rest = store(cross_pairs(shared, found, traits, near), "rest")
+    return components(stars.unionByName(rest)) if rest.limit(1).count() else found

@@ -3,12 +3,14 @@
 All n-grams stand in one global order: by how often they occur, rare ones first, then by hash.
 Only the most frequent ones are ranked by number; the order decides what is compared, not the
 result. Two documents that reach the threshold share one of the first n-grams of either, so the
-rare heads of the sets find the candidates. For these the sets are cut into fragments of the
-order; a fragment's overlap is counted by itself, and the counts are summed per pair and held
-against the threshold in whole numbers.
+rare heads of the sets find the candidates, which form clusters. For these the sets are cut into
+fragments by ranges of the hash; a fragment's overlaps are counted by itself, for all pairs of a
+cluster at once, and the counts are summed per pair and held against the threshold in whole
+numbers. Clusters of many documents are cut into blocks, and pairs of blocks go to different
+tasks.
 
-Documents with equal sets are one node. The result has a row per document, not per pair: see
-``link_groups`` for how groups of near copies stay linear.
+Documents with equal sets are one node. The result has a row per document, and tasks return
+links that span each connected part of a block, not all pairs.
 
 Null, empty or wordless texts have an empty set and link with nothing. A null id links with
 nothing. Of rows that share an id, one set (the largest by fingerprint) stands for it in links;
@@ -21,10 +23,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paneltide.llm.common import link_groups, mix64, slices, small_side, split_words, store, word_hashes
+from paneltide.llm.common import (candidate_clusters, components, mix64, slices, small_side, split_words, store,
+                                  word_hashes)
+from paneltide.llm.near_vectors import spanning
 from paneltide.llm.registry import query, table
 from paneltide.llm.substrings import BASES, lists, rolling
 
@@ -32,8 +37,11 @@ from paneltide.llm.substrings import BASES, lists, rolling
 RANKED = 1 << 17
 #: An n-gram is counted where so many documents of one block have it.
 LEAST_COUNT = 3
-#: Fragments of the order in which overlaps are counted.
+#: log2 of the fragments in which overlaps are counted.
 FRAGMENT_BITS = 3
+#: Documents of a cluster that one block holds, and n-grams counted at once in a task.
+BLOCK, COUNTED = 1024, 2048
+GROUP = ["component", "lo", "hi"]
 
 
 def shingle_set(words: np.ndarray, size: int) -> np.ndarray:
@@ -123,6 +131,64 @@ def fragments(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "id bigint, fragment int, part array<bigint>")
 
 
+def block_overlaps(part: pa.Table, percent: int) -> np.ndarray:
+    """Spanning links (a, b) of one block pair, from (id, n, side, fragment, part) rows.
+
+    ``side`` is 1 for the left block, 2 for the right one, 3 if they are one block.
+    """
+    row_id = part.column("id").to_numpy()
+    ids, first, doc = np.unique(row_id, return_index=True, return_inverse=True)
+    n, side = (part.column(c).to_numpy()[first] for c in ("n", "side"))
+    left, right = np.flatnonzero(side & 1), np.flatnonzero(side & 2)
+    grams = part.column("part").combine_chunks()
+    size = pc.list_value_length(grams).to_numpy(zero_copy_only=False)
+    gram, owner = pc.list_flatten(grams).to_numpy(), np.repeat(doc, size)
+    fragment = np.repeat(part.column("fragment").to_numpy(), size)
+    common = np.zeros((len(left), len(right)), np.int64)
+    for own in range(1 << FRAGMENT_BITS):
+        inside = fragment == own
+        _, code, times = np.unique(gram[inside], return_inverse=True, return_counts=True)
+        shared = times[code] > 1
+        code, holder = code[shared], owner[inside][shared]
+        _, code = np.unique(code, return_inverse=True)
+        for start in range(0, int(code.max(initial=-1)) + 1, COUNTED):
+            here = (code >= start) & (code < start + COUNTED)
+            has = np.zeros((len(ids), COUNTED), np.float32)
+            has[holder[here], code[here] - start] = 1
+            common += (has[left] @ has[right].T).astype(np.int64)
+    linked = 100 * common >= percent * (n[left][:, None] + n[right] - common)
+    linked &= ids[left][:, None] != ids[right]
+    i, j = np.nonzero(linked)
+    return np.array([(ids[a], ids[b]) for a, b in spanning(left[i], right[j], len(ids))], np.int64).reshape(-1, 2)
+
+
+def cluster_links(dealt: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of (component, lo, hi, side, id, n, fragment, part), block pair by block pair."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links(table: pa.Table) -> pa.RecordBatch:
+            group = np.column_stack([table.column(c).to_numpy() for c in GROUP])
+            cuts = [0, *(np.flatnonzero((group[1:] != group[:-1]).any(axis=1)) + 1), len(group)]
+            found = np.concatenate([block_overlaps(table.slice(a, b - a), percent)
+                                    for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+            return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+
+        held: pa.Table | None = None
+        for batch in batches:
+            now = pa.Table.from_batches([batch])
+            held = now if held is None else pa.concat_tables([held, now])
+            same = np.ones(len(held), bool)
+            for c in GROUP:
+                same &= held.column(c).to_numpy() == held.column(c)[len(held) - 1].as_py()
+            if cut := int(np.argmax(same)):  # the last block pair may go on
+                yield links(held.slice(0, cut))
+                held = held.slice(cut).combine_chunks()
+        if held is not None and len(held):
+            yield links(held)
+
+    return (dealt.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(run, "a bigint, b bigint"))
+
+
 def jaccard_groups(docs: DataFrame, size: int, percent: int, id_col: str = "doc_id",
                    text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of every row, linked from ``percent`` per cent similarity on."""
@@ -136,26 +202,25 @@ def jaccard_groups(docs: DataFrame, size: int, percent: int, id_col: str = "doc_
     keys = reps.select(F.explode("head").alias("key"), "id")
     traits = store(reps.select("id", "n", "probe"), "traits")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-        asked = store(size_of.join(ids, "id", "left_semi").select("id", "f1"), "asked")
-        parts = store(fragments(texts.join(small_side(asked, 24), "id").select("id", "text", "f1"), size), "fragments")
-        left = parts.select(F.col("id").alias("a"), "fragment", F.col("part").alias("pa"))
-        right = parts.select(F.col("id").alias("b"), "fragment", F.col("part").alias("pb"))
-        partial = (pairs.join(left, "a").join(right, ["b", "fragment"])
-                   .select("a", "b", "fragment", F.size(F.array_intersect("pa", "pb")).cast("long").alias("common")))
-        # A repeated row has its fragments twice.
-        total = (partial.groupBy("a", "b", "fragment").agg(F.max("common").alias("common"))
-                 .groupBy("a", "b").agg(F.sum("common").alias("common")))
-        n_a, n_b = (size_of.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}")) for c in "ab")
-        return (total.join(n_a, "a").join(n_b, "b")
-                .where(f"100 * common >= {percent} * (n_a + n_b - common)").select("a", "b"))
+    def verify(clusters: DataFrame) -> DataFrame:
+        many = clusters.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
+        dealt = (clusters.join(many, "component").join(size_of, "id")
+                 .withColumn("own", F.pmod(F.xxhash64("id"), "blocks"))
+                 .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+                 .select("component", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"),
+                         F.when(F.col("own") == F.col("other"), 3).when(F.col("own") < F.col("other"), 1)
+                         .otherwise(2).alias("side"), "id", "n", "f1"))
+        dealt = store(dealt, "dealt")
+        asked = store(dealt.select("id", "f1").distinct(), "asked")
+        parts = fragments(texts.join(small_side(asked, 24), "id").select("id", "text", "f1"), size)
+        return cluster_links(parts.join(small_side(dealt.drop("f1"), 64), "id"), percent)
 
     # What the first fragments miss bounds the overlap, and rules most candidates out at once.
     near = (f"100 * least(l.n, r.n) >= {percent} * greatest(l.n, r.n) AND "
             f"{100 + percent} * (size(array_intersect(l.probe, r.probe)) + "
             f"least(l.n - size(l.probe), r.n - size(r.probe))) >= {percent} * (l.n + r.n)")
-    _, found = link_groups(keys, traits, near, verify)
+    clusters = candidate_clusters(keys, traits, near)
+    found = components(store(verify(clusters), "links"))
     group = (one.join(classes, ["f1", "f2", "n"]).join(found.withColumnRenamed("id", "rep"), "rep", "left")
              .select("id", F.coalesce("component", "rep").alias("component")))
     return (sketched.select("id", "n").join(group, "id", "left")

@@ -139,8 +139,11 @@ def test_jaccard_groups_match_brute_force(documents, size, percent):
     assert {top[i] for i in (6, 7, 8, 9)} == {6} and top[5] == 4 and top[12] == 12
 
 
-def test_jaccard_many_near_copies(documents):
-    """A large group: links of all shapes, with a chain that only the second round joins."""
+@pytest.mark.parametrize("block,counted", [(1024, 2048), (7, 16)])
+def test_jaccard_many_near_copies(documents, monkeypatch, block, counted):
+    """A large group with links of all shapes, in one block and in many."""
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "COUNTED", counted)
     base = prose(100, 21).split(" ")
     rows = [(i, " ".join(base[:5 * (i % 7)] + ["other"] * (i % 3) + base[5 * (i % 7):])) for i in range(60)]
     got = {r.doc_id: r.component_id for r in ngram_join.jaccard_groups(documents(rows), 3, 90).collect()}
