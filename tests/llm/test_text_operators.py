@@ -117,22 +117,27 @@ def test_substrings_match_brute_force(documents):
     assert len(found[23]) == 2 and found[7][0].n_removed == 200 and found[8][0].n_removed == 0
 
 
-@pytest.mark.parametrize("size,percent", [(3, 90), (5, 80)])
-def test_jaccard_groups_match_brute_force(documents, size, percent):
-    found = by_id(ngram_join.jaccard_groups(documents(CORPUS), size, percent))
+def brute_groups(rows, size, percent):
+    """Sets of n-grams and smallest reachable ids."""
     sets = {}
-    for i, text in CORPUS:
+    for i, text in rows:
         own = words(text, lower=True)
         sets[i] = {tuple(own[s:s + size]) for s in range(len(own) - size + 1)} if len(own) >= size else (
             {tuple(own)} if own else set())
     ids = sorted(i for i in sets if i is not None)
+    links = [(a, b) for a in ids for b in ids if a < b and (both := len(sets[a] & sets[b]))
+             and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both)]
     top = {i: i for i in ids}
     for _ in ids:
-        for a in ids:
-            for b in ids:
-                both = len(sets[a] & sets[b])
-                if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
-                    top[a] = top[b] = min(top[a], top[b])
+        for a, b in links:
+            top[a] = top[b] = min(top[a], top[b])
+    return sets, top
+
+
+@pytest.mark.parametrize("size,percent", [(3, 90), (5, 80)])
+def test_jaccard_groups_match_brute_force(documents, size, percent):
+    found = by_id(ngram_join.jaccard_groups(documents(CORPUS), size, percent))
+    sets, top = brute_groups(CORPUS, size, percent)
     for i, _ in CORPUS:
         for row in found[i]:
             assert row.n_shingles == len(sets[i]) and row.component_id == (None if i is None else top[i])
@@ -147,15 +152,7 @@ def test_jaccard_many_near_copies(documents, monkeypatch, block, counted):
     base = prose(100, 21).split(" ")
     rows = [(i, " ".join(base[:5 * (i % 7)] + ["other"] * (i % 3) + base[5 * (i % 7):])) for i in range(60)]
     got = {r.doc_id: r.component_id for r in ngram_join.jaccard_groups(documents(rows), 3, 90).collect()}
-    sets = {i: {tuple(t.split()[s:s + 3]) for s in range(len(t.split()) - 2)} for i, t in rows}
-    top = {i: i for i, _ in rows}
-    for _ in range(5):
-        for a in top:
-            for b in top:
-                both = len(sets[a] & sets[b])
-                if 100 * both >= 90 * (len(sets[a]) + len(sets[b]) - both):
-                    top[a] = top[b] = min(top[a], top[b])
-    assert got == top
+    assert got == brute_groups(rows, 3, 90)[1]
 
 
 def edit_distance(a, b):
@@ -180,11 +177,8 @@ def shares_blocks(a, b):
     return sum(same) >= 2 and x.bit_count() <= 12
 
 
-def test_line_dedup(documents):
-    rows = [r for r in CORPUS if r[0] not in (14, 16)]
-    out = line_dedup.dedup_lines(documents(rows))
-    assert {"id", "n", "size", "component"} <= set(out.columns)
-    found = by_id(out)
+def brute_lines(rows):
+    """(document, line number) of the lines that go."""
     occurrences = defaultdict(list)
     for i, text in rows:
         for n, line in enumerate((text or "").split("\n")):
@@ -210,7 +204,14 @@ def test_line_dedup(documents):
     groups = defaultdict(set)
     for x, line in enumerate(lines):
         groups[find(x)] |= set(occurrences[line])
-    gone = {place for places in groups.values() for place in sorted(places)[1:]}
+    return {place for places in groups.values() for place in sorted(places)[1:]}
+
+
+def test_line_dedup(documents):
+    rows = [r for r in CORPUS if r[0] not in (14, 16)]
+    out = line_dedup.dedup_lines(documents(rows))
+    assert {"id", "n", "size", "component"} <= set(out.columns)
+    found, gone = by_id(out), brute_lines(rows)
     for i, text in rows:
         for row in found[i]:
             split = (text or "").split("\n")
@@ -336,3 +337,70 @@ def test_empty_and_null_tables(documents, rows):
     assert {r.lang_pred for r in langid.predict(docs, langid.fit(docs), ["doc_id"]).collect()} <= {"und"}
     out = bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     assert [r.n_tokens for r in out.collect()] == [0] * n
+
+
+def brute_mix(rows):
+    """Times that (id, text, source) rows are taken."""
+    sizes = [len(words(t)) for _, t, _ in rows]
+    names = sorted({s for *_, s in rows}, key=lambda s: (s is None, (s or "").encode()))
+    full = {s: sum(n for n, r in zip(sizes, rows, strict=True) if r[2] == s) for s in names}
+    weight = {s: (3., 1., 2.)[n % 3] for n, s in enumerate(names)}
+    target, left, total = {}, sorted(names, key=lambda s: (full[s] / weight[s], names.index(s))), 1.5 * sum(full.values())
+    while left:
+        level = total / sum(weight[s] for s in left)
+        if level * weight[left[0]] <= 2 * full[left[0]]:
+            target |= {s: level * weight[s] for s in left}
+            break
+        target[left[0]] = 2. * full[left[0]]
+        total -= target[left.pop(0)]
+    takes, upto = [], Counter()
+    place = [int(hashlib.md5(f"{'null' if r[0] is None else r[0]}{mixing.SEED}".encode()).hexdigest()[:15], 16) for r in rows]
+    for k in sorted(range(len(rows)), key=lambda k: (place[k], rows[k][0] is None, rows[k][0] or 0, sizes[k])):
+        s = rows[k][2]
+        upto[s] += sizes[k]
+        takes += [((upto[s] + p * full[s]) / target[s], names.index(s), place[k], rows[k][0] is None, rows[k][0] or 0,
+                   sizes[k], p, k) for p in (0, 1) if sizes[k]]
+    times, total = Counter(), 0
+    for take in sorted(takes):
+        total += sizes[take[-1]]
+        if total > sum(target.values()):
+            break
+        times[take[-1]] += 1
+    return times
+
+
+def test_pipeline_matches_brute_force(spark, documents, tmp_path):
+    """All five stages over a corpus, against the plain versions one after the other."""
+    import public_tokenizers
+    import tiktoken
+
+    import corpus_pipeline
+
+    rows = [(i, t, "en", ["a", "b", None][n % 3]) for n, (i, t) in enumerate(CORPUS)
+            if i not in (14, 15, 16, 23, None)]
+    rows += [(300 + i, prose(80, 300 + i) + "\n" + prose(20, 400 + i % 7), "en", "ab"[i % 2]) for i in range(30)]
+    rows += [(400 + i, "\n".join(prose(12, 500 + j) if j != i else "now for something else it is" for j in range(40)),
+              "en", "c") for i in range(3)]
+    documents(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.doc_id, r.n_tokens, r.ids_sha256) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    now = [(i, t, s) for i, t, _, s in rows if t and any(c.isalpha() for c in t)]
+    gone = brute_lines([r[:2] for r in now])
+    kept = []
+    for i, text, s in now:
+        left = "\n".join(line for n, line in enumerate(text.split("\n")) if (i, n) not in gone)
+        if left == text or any(c.isalnum() for c in left):
+            kept.append((i, left, s))
+    top = brute_groups([r[:2] for r in kept], corpus_pipeline.SHINGLE_WORDS, corpus_pipeline.SIMILARITY)[1]
+    kept = [r for r in kept if top[r[0]] == r[0]]
+    times = brute_mix(kept)
+    tokens = bpe.read_ranks(open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb").read())
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, special_tokens={},
+                            mergeable_ranks={t: i for i, t in enumerate(tokens)})
+    wanted = []
+    for k, (i, text, _) in enumerate(kept):
+        ids = own.encode_ordinary(text)
+        wanted += [(i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())] * times[k]
+    assert got == sorted(wanted) and len(got) > 30
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, documents(rows), "").columns == documents(rows).columns, name
+    assert corpus_pipeline.STAGES[-1][1](spark, documents([]), "").count() == 0
