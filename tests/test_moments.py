@@ -88,3 +88,21 @@ def test_attach_broadcasts_only_what_fits(spark):
     finally:
         spark.conf.unset("paneltide.broadcast.maxBytes")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_standardize_of_a_null_group(spark, either_path):
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 5.0), ("a", 9.0)], "g string, v double")
+    got = sorted((r.g or "", round(r.v, 6)) for r in standardize(df, ["g"], ["v"]).collect())
+    assert got == [("", -0.707107), ("", 0.707107), ("a", -0.707107), ("a", 0.707107)]
+
+
+def test_residual_leaves_out_only_rows_that_are_not_finite(spark, either_path):
+    rng = np.random.default_rng(2)
+    pdf = pd.DataFrame({"date": 1, "stock_id": range(30), "x": rng.normal(size=30), "y": rng.normal(size=30)})
+    rows = [(1, int(i), float(x), float(y)) for i, x, y in zip(pdf.stock_id, pdf.x, pdf.y)]
+    broken = [(1, 100, 0.5, float("nan")), (1, 101, 0.5, float("inf")), (1, 102, float("-inf"), 0.3), (1, 103, 0.1, None)]
+    df = spark.createDataFrame(rows + broken, "date int, stock_id int, x double, y double")
+    got = {r.stock_id: r.e for r in ols_residual(df, ["date"], ["y"], ["x"], names={"y": "e"}).collect()}
+    wanted = lstsq_residual(pdf, "y", ["x"])
+    assert np.allclose([got[i] for i in range(30)], wanted, atol=1e-9)
+    assert all(got[i] is None for i in (100, 101, 102, 103))

@@ -96,3 +96,40 @@ def test_many_columns_are_taken_in_several_scans(skewed, monkeypatch):
     monkeypatch.setattr(order, "CELLS_PER_PASS", 1)
     split = quantile_table(wide, ["g"], ["a", "b", "c"], (0.5,)).toPandas().set_index("g")
     pd.testing.assert_frame_equal(whole.sort_index(), split.sort_index())
+
+
+def test_null_groups_and_orders_agree_on_both_paths(spark, either_path):
+    rows = [(g, f"{i:03d}", None if i % 7 == 0 else float(i % 5), None if i % 11 == 3 else i)
+            for g in (None, "a", "b") for i in range(40)]
+    df = spark.createDataFrame(rows, "g string, stock_id string, v double, place int")
+    got = {(r.g, r.stock_id): r for r in average_rank(df, ["g"], "v", "stock_id").collect()}
+    pdf = pd.DataFrame(rows, columns=["g", "stock_id", "v", "place"])
+    for g in (None, "a", "b"):
+        own = pdf[pdf.g.isna() if g is None else pdf.g == g]
+        wanted = own.v.rank()
+        for i, name in zip(own.index, own.stock_id):
+            r = got[g, name]
+            assert r._count == own.v.notna().sum()
+            assert (r._avg_rank is None) == np.isnan(wanted[i]) and (r._avg_rank is None or r._avg_rank == wanted[i])
+    quantiles = {r.g: r.v__q0 for r in quantile_table(df, ["g"], ["v"], (0.3,)).collect()}
+    assert set(quantiles) == {None, "a", "b"}
+    assert all(np.isclose(q, np.nanquantile(pdf.v[pdf.g == "a"].astype(float), 0.3)) for q in quantiles.values())
+    moved = {(r.g, r.stock_id): (r.next, r.before) for r in shift_rows(
+        df, ["g"], "place", "v", {"next": 1, "before": -1}).collect()}
+    for g in (None, "a", "b"):
+        placed = [r for r in rows if r[0] == g and r[3] is not None]
+        for n, r in enumerate(placed):
+            later = placed[n + 1][2] if n + 1 < len(placed) else None
+            assert moved[g, r[1]] == (later, placed[n - 1][2] if n else None)
+        assert all(moved[g, r[1]] == (None, None) for r in rows if r[0] == g and r[3] is None)
+
+
+def test_missed_bracket_is_widened(spark, monkeypatch):
+    """A sketch that is far off costs another scan, not the answer."""
+    spark.conf.set("paneltide.group.maxRows", "0")
+    try:
+        df = spark.createDataFrame(pd.DataFrame({"g": 1, "v": np.arange(3000.0) ** 2}))
+        out = order._spread_quantiles(df, ["g"], ["v"], (0.5, 0.99), accuracy=2000, widen=1e-6).first()
+    finally:
+        spark.conf.unset("paneltide.group.maxRows")
+    assert np.allclose([out.v__q0, out.v__q1], np.quantile(np.arange(3000.0) ** 2, (0.5, 0.99)))

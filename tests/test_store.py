@@ -158,3 +158,35 @@ def test_stream_of_deliveries_is_merged(spark):
         query = upsert_stream(stream, root, state)
         query.awaitTermination()
     assert {(r.stock_id, r.v) for r in A.scan_panel(spark, root).collect()} == {("a", 5.0), ("b", 2.0)}
+
+
+def test_null_dates_are_refused_and_stored_ones_stay(spark):
+    root = scratch_path(spark, "p")
+    A.write_by_year(rows(spark, (D(2020, 1, 2), "a", 1.0), (None, "b", 2.0)), root, overwrite=True)
+    with pytest.raises(ValueError, match="without date"):
+        A.write_by_year(rows(spark, (None, "c", 3.0)), root)
+    A.write_by_year(rows(spark, (D(2020, 1, 3), "a", 4.0)), root)
+    assert sorted(r.v for r in A.scan_panel(spark, root).collect()) == [1.0, 2.0, 4.0]
+
+
+def test_scan_reads_nan_as_null(spark):
+    root = scratch_path(spark, "p")
+    A.write_by_year(rows(spark, (D(2020, 1, 2), "a", float("nan"))), root, overwrite=True)
+    assert A.scan_panel(spark, root).first().v is None
+
+
+def test_arrival_decides_inside_a_batch(spark):
+    df = spark.createDataFrame([(D(2020, 1, 2), "a", 1.0, 2), (D(2020, 1, 2), "a", 5.0, 1)],
+                               "date date, stock_id string, v double, seq int")
+    assert A.keep_last([df.repartition(2)], arrival="seq").first().v == 1.0
+    assert A.keep_last([df.repartition(2)]).first().v == 5.0
+
+
+def test_signal_frame_wants_one_row_of_metadata(spark):
+    meta = spark.createDataFrame([("m0",), ("m1",)], "model_name string")
+    meta = meta.withColumns({c: F.lit(None).cast(t) for c, t in S.SIGNAL_FIELDS.items() if c not in (
+        "model_name", "date", "stock_id", "raw_score", "created_time")})
+    scores = spark.createDataFrame([(D(2020, 1, 2), "a", 1.0)], "date date, stock_id string, raw_score double")
+    with pytest.raises(ValueError, match="exactly one row"):
+        S.signal_frame(scores, meta)
+    assert S.signal_frame(scores, meta.limit(1)).count() == 1
