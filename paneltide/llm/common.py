@@ -115,27 +115,30 @@ def components(edges: DataFrame) -> DataFrame:
     return ends.unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
 
 
-def star_pairs(keys: DataFrame, traits: DataFrame, near: str) -> tuple[DataFrame, DataFrame]:
+def near_pairs(pairs: DataFrame, traits: DataFrame, near: str) -> DataFrame:
+    """Those of the pairs (a, b) whose rows ``l`` and ``r`` of ``traits`` (id, ...) are ``near``."""
+    return (pairs.join(traits.alias("l"), F.expr("a = l.id")).join(traits.alias("r"), F.expr("b = r.id"))
+            .where(near).select("a", "b"))
+
+
+def star_pairs(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(key, id, lead) of ids that share a key, and the pairs (a, b) of each id with the smallest
-    id of its key for which ``near`` holds. ``keys``: (key, id); ``traits``: a stored table (id, ...);
-    ``near``: a condition on two of its rows ``l`` and ``r``."""
+    id of its key. ``keys``: (key, id)."""
     lead = (keys.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last"))
             .where("lead < last").drop("last"))
-    shared = store(keys.join(lead, "key"), "shared")
-    pairs = shared.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    one, two = traits.alias("l"), traits.alias("r")
-    return shared, store(pairs.join(one, F.expr("a = l.id")).join(two, F.expr("b = r.id"))
-                         .where(near).select("a", "b"), "stars")
+    shared = store(keys.join(lead, "key").where("id <> lead"), "shared")
+    return shared, shared.select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
 
 
-def cross_pairs(shared: DataFrame, found: DataFrame, traits: DataFrame, near: str) -> DataFrame:
-    """Pairs (a, b) that share a key and are ``near`` but stand in different components of ``found``."""
+def cross_pairs(shared: DataFrame, found: DataFrame, light: DataFrame, rough: str) -> DataFrame:
+    """Pairs (a, b) that share a key, besides those with its smallest id, where ``rough`` holds for
+    their rows of ``light`` and that stand in different components of ``found``."""
     own = shared.drop("lead").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = (own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
              .where("lo < hi").select("key"))
-    own = store(own.join(mixed, "key").join(traits, "id"), "mixed")
+    own = store(own.join(mixed, "key").join(light, "id"), "mixed")
     return (own.alias("l").join(own.alias("r"), F.expr(
-        f"l.key = r.key AND l.id < r.id AND l.component <> r.component AND ({near})"))
+        f"l.key = r.key AND l.id < r.id AND l.component <> r.component AND ({rough})"))
         .select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct())
 
 
@@ -145,9 +148,11 @@ def link_groups(keys: DataFrame, traits: DataFrame, near: str, verify) -> DataFr
     First every id is checked against the smallest id that shares a key; then ids that share a
     key but not yet a component are checked with one another. So a large group of copies costs
     links in its size, not in its square, and no link that joins two components is missed.
-    ``verify`` takes pairs (a, b) and returns those that hold.
+    ``keys``: (key, id); ``traits``: a stored table (id, ...); ``near``: a necessary condition on two
+    of its rows ``l`` and ``r``; ``verify`` takes pairs (a, b) and returns those that hold.
     """
-    shared, tried = star_pairs(keys, traits, near)
+    shared, stars = star_pairs(keys)
+    tried = store(near_pairs(stars, traits, near), "stars")
     links = store(verify(tried), "links")
     found = components(links)
     rest = cross_pairs(shared, found, traits, near).join(tried, ["a", "b"], "left_anti")
@@ -155,13 +160,19 @@ def link_groups(keys: DataFrame, traits: DataFrame, near: str, verify) -> DataFr
     return components(links.unionByName(more)) if more.limit(1).count() else found
 
 
-def candidate_clusters(keys: DataFrame, traits: DataFrame, near: str) -> DataFrame:
-    """(id, component): any two ids that share a key and are ``near`` stand in one component.
+def candidate_clusters(keys: DataFrame, light: DataFrame, rough: str, traits: DataFrame, near: str) -> DataFrame:
+    """(id, component): any two ids that share a key, and for which ``rough`` holds on ``light`` (id,
+    few columns) and ``near`` on ``traits``, stand in one component.
 
     Pairs are only listed with the smallest id of a key, and between components that these leave
     apart, so a family of near copies is not paired with itself.
     """
-    shared, stars = star_pairs(keys, traits, near)
+    shared, stars = star_pairs(keys)
+
+    def hold(pairs: DataFrame, name: str) -> DataFrame:
+        return store(near_pairs(pairs, traits, near), name)
+
+    stars = hold(near_pairs(stars, light, rough), "stars")
     found = components(stars)
-    rest = store(cross_pairs(shared, found, traits, near), "rest")
+    rest = hold(cross_pairs(shared, found, light, rough), "rest")
     return components(stars.unionByName(rest)) if rest.limit(1).count() else found

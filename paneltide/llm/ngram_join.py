@@ -199,7 +199,8 @@ def jaccard_groups(docs: DataFrame, size: int, percent: int, id_col: str = "doc_
     classes = store(one.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep")), "classes")
     size_of = classes.select(F.col("rep").alias("id"), "n", "f1", "f2")
     reps = sketched.drop("n").join(small_side(size_of, 40), ["id", "f1", "f2"])
-    keys = reps.select(F.explode("head").alias("key"), "id")
+    # Dealt by key once, for the smallest id of a key and for the rows that share it.
+    keys = reps.select(F.explode("head").alias("key"), "id").repartition("key")
     traits = store(reps.select("id", "n", "probe"), "traits")
 
     def verify(clusters: DataFrame) -> DataFrame:
@@ -215,11 +216,11 @@ def jaccard_groups(docs: DataFrame, size: int, percent: int, id_col: str = "doc_
         parts = fragments(texts.join(small_side(asked, 24), "id").select("id", "text", "f1"), size)
         return cluster_links(parts.join(small_side(dealt.drop("f1"), 64), "id"), percent)
 
+    rough = f"100 * least(l.n, r.n) >= {percent} * greatest(l.n, r.n)"
     # What the first fragments miss bounds the overlap, and rules most candidates out at once.
-    near = (f"100 * least(l.n, r.n) >= {percent} * greatest(l.n, r.n) AND "
-            f"{100 + percent} * (size(array_intersect(l.probe, r.probe)) + "
+    near = (f"{100 + percent} * (size(array_intersect(l.probe, r.probe)) + "
             f"least(l.n - size(l.probe), r.n - size(r.probe))) >= {percent} * (l.n + r.n)")
-    clusters = candidate_clusters(keys, traits, near)
+    clusters = candidate_clusters(keys, size_of.select("id", "n"), rough, traits, near)
     found = components(store(verify(clusters), "links"))
     group = (one.join(classes, ["f1", "f2", "n"]).join(found.withColumnRenamed("id", "rep"), "rep", "left")
              .select("id", F.coalesce("component", "rep").alias("component")))
