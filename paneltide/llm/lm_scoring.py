@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paneltide.llm.common import remainder, slices, split_words, store
@@ -31,7 +31,7 @@ from paneltide.llm.mixing_model import (CONTEXTS, END, GATES, SLOT_BITS, STEPS,
                                         block_parts, spelling_decisions, state)
 from paneltide.llm.registry import query, table
 
-LEXICON = (1 << 18) - 2
+LEXICON = (1 << 16) - 2
 #: Longer words are always spelled, which bounds the lexicon's bytes.
 LEXICON_WORD_BYTES = 64
 BLOCK_BYTES = 1 << 20
@@ -74,8 +74,13 @@ def count_words(texts: DataFrame) -> DataFrame:
 def make_lexicon(counts: DataFrame) -> tuple[Lexicon, int, int]:
     """The lexicon, the number of training tokens and of distinct ones."""
     total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    top = (counts.where((F.col("word") != END) & (F.octet_length("word") <= LEXICON_WORD_BYTES))
-           .orderBy(F.desc("n"), "word").limit(LEXICON).toPandas())
+    words = counts.where((F.col("word") != END) & (F.octet_length("word") <= LEXICON_WORD_BYTES))
+    # The least count that at most LEXICON words reach: one row per distinct count is ordered.
+    above = F.sum("words").over(Window.orderBy(F.desc("n")))
+    least = (words.groupBy("n").agg(F.count("*").alias("words")).withColumn("above", above)
+             .where(F.col("above") <= LEXICON).agg(F.min("n")).first()[0])
+    top = (words.where(F.col("n") >= (least if least is not None else 1 << 62)).toPandas()
+           .sort_values(["n", "word"], ascending=[False, True]))
     end = counts.where(F.col("word") == END).first()
     words, n = [END, *top["word"]], np.array([end.n if end else 0, *top["n"]], np.int64)
     n_all = int(total.n or 0)

@@ -23,7 +23,7 @@ from paneltide.llm.substrings import powers
 
 CONTEXTS = 4
 #: log2 of the slots per context.
-SLOT_BITS = 22
+SLOT_BITS = 21
 GATES = 2 << 6
 STEPS = 33
 MULTIPLIER = np.uint32(0x9E3779B1)
@@ -49,16 +49,23 @@ def huffman(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         bit[j] = 1
         heapq.heappush(heap, (a + b, fresh))
         fresh += 1
-    root, nodes, bits, sizes = fresh - 1, [], [], []
-    for i in range(n):
-        path = []
-        while i != root:
-            path.append((parent[i] - n, bit[i]))
-            i = parent[i]
-        nodes += [p[0] for p in reversed(path)]
-        bits += [p[1] for p in reversed(path)]
-        sizes.append(len(path))
-    return starts_of(sizes), np.array(nodes, np.uint32), np.array(bits, np.uint8)
+    # All paths at once, one step up the tree at a time; kept from the leaf, then turned round.
+    root, at = fresh - 1, np.arange(n)
+    owner, steps, nodes, bits = [], [], [], []
+    for step in range(2 * n):
+        open_ = np.flatnonzero(at != root)
+        if not len(open_):
+            break
+        owner.append(open_)
+        steps.append(np.full(len(open_), step))
+        bits.append(bit[at[open_]])
+        at[open_] = parent[at[open_]]
+        nodes.append(at[open_] - n)
+    if not owner:
+        return np.zeros(n + 1, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.uint8)
+    owner, steps, nodes, bits = (np.concatenate(x) for x in (owner, steps, nodes, bits))
+    order = np.lexsort((-steps, owner))
+    return (starts_of(np.bincount(owner, minlength=n)), nodes[order].astype(np.uint32), bits[order].astype(np.uint8))
 
 
 def expand(starts: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
