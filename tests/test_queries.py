@@ -1,7 +1,7 @@
-"""Registered queries against their SQL twins on the smallest tables.
+"""Registered queries of the library against their SQL twins on the smallest tables.
 
-By default a cheap selection runs; PANELTIDE_ALL=1 runs every query, and
-``python tests/compare.py`` prints a table for any scale.
+``PANELTIDE_QUICK=1`` runs a cheap selection; ``python tests/compare.py`` prints a table for
+any scale.
 """
 
 import os
@@ -10,13 +10,14 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import check, duck, difference
+from paneltide.plans import catalog
 
 FOLDER = os.environ.get("PANELTIDE_DATA", "/root/testdata/sf0.001")
 QUICK = ["a1_", "a2_", "a3_", "a4_", "a6_", "a8_", "b1_", "b3_", "b4_", "b5_fill_ind", "b6_", "b7_",
          "c1_", "c2_", "c4_", "c7_", "c11_", "d1_", "d2_", "d3_", "d4_", "f1_", "g1_", "g2_", "g5_",
          "g7_", "g10_", "h1_", "i2_", "i5_", "i6_", "i9_", "i13_"]
-NAMES = [n for n in entry.queries()
-         if os.environ.get("PANELTIDE_ALL") or n.startswith(tuple(QUICK))]
+NAMES = [n for n in catalog.QUERIES
+         if not os.environ.get("PANELTIDE_QUICK") or n.startswith(tuple(QUICK))]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 
