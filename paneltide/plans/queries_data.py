@@ -245,11 +245,10 @@ def _(spark, folder):
 
 
 @query("b7_neutralize", sql(f"""
-SELECT date, stock_id, {rounded('factor_001', 'factor_002')} FROM n2""", {
-    "n1": ols("panel", "factor_001", ""), "n2": ols("n1", "factor_002", "")}))
+SELECT date, stock_id, {rounded(*FACTORS)} FROM n4""", {
+    f"n{i + 1}": ols(f"n{i}" if i else "panel", c, "") for i, c in enumerate(FACTORS)}))
 def _(spark, folder):
-    out = B.neutralize(panel(spark, folder), ["factor_001", "factor_002"], P.STYLES)
-    return tidy(out.select(*KEY, "factor_001", "factor_002"))
+    return tidy(B.neutralize(panel(spark, folder), FACTORS, P.STYLES).select(*KEY, *FACTORS))
 
 
 CLEANING = {"filter": {"drop_st": True, "drop_suspended": True},
