@@ -147,18 +147,20 @@ def _(spark, folder):
     return tidy(C.label_quality(df, ["y_raw_1", "y_raw_5"]))
 
 
+_HORIZONS = (1, 5, 10, 20)
 _ALL = {f"lab_{h}": f"""SELECT *, {pct(f'y_raw_{h}', 'date')} AS y_rank_{h},
-  {bucket(f'y_raw_{h}', 'date', 5)} AS y_group_{h} FROM clip_{h}""" for h in (1, 5)}
-_FOURS = [f"y_{k}_{h}" for h in (1, 5) for k in ("raw", "excess", "ind_neutral", "residual",
-                                                 "rank")]
+  {bucket(f'y_raw_{h}', 'date', 5)} AS y_group_{h} FROM clip_{h}""" for h in _HORIZONS}
+_ALL |= {name: text for h in _HORIZONS for name, text in _steps(h).items()}
+_FIVES = [f"y_{k}_{h}" for h in _HORIZONS for k in ("raw", "excess", "ind_neutral", "residual", "rank")]
 
 
 @query("c12_all_labels", sql(f"""
-SELECT date, stock_id, {rounded(*_FOURS)}, y_group_1, y_group_5, """ + ", ".join(
-    f"CAST({_CLASS.format(y=f'y_raw_{h}', p=f'y_rank_{h}')} AS INTEGER) AS y_class_{h}"
-    for h in (1, 5)) + " FROM lab_1 JOIN lab_5 USING (date, stock_id)", {**_BOTH, **_ALL}))
+SELECT date, stock_id, {rounded(*_FIVES)}, """ + ", ".join(
+    f"y_group_{h}, CAST({_CLASS.format(y=f'y_raw_{h}', p=f'y_rank_{h}')} AS INTEGER) AS y_class_{h}"
+    for h in _HORIZONS) + " FROM lab_1 " + " ".join(
+        f"JOIN lab_{h} USING (date, stock_id)" for h in _HORIZONS[1:]), _ALL))
 def _(spark, folder):
-    return tidy(C.build_labels(panel(spark, folder), {"horizons": [1, 5]}))
+    return tidy(C.build_labels(panel(spark, folder), {}))
 
 
 @query("c13_group_sizes", sql("""
