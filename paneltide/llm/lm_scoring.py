@@ -38,7 +38,7 @@ BLOCK_BYTES = 1 << 20
 LEARN_EVERY = 4
 CHUNK_BITS = 14
 #: Distinct words that a task counts before it passes the counts on.
-COUNTED = 500_000
+COUNTED = 150_000
 
 
 def count_words(texts: DataFrame) -> DataFrame:
