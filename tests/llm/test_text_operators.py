@@ -221,6 +221,45 @@ def test_line_dedup(documents):
     assert (21, 0) not in gone and (20, 0) in gone and (7, 0) in gone
 
 
+def edited(line, share, seed):
+    """``line`` with edits of single characters, up to ``share`` of its size."""
+    r, out = random.Random(seed), list(line)
+    for _ in range(int(share * len(line))):
+        i = r.randrange(len(out))
+        kind = r.randrange(3)
+        out[i:i + (kind != 1)] = [] if kind == 2 and len(out) > 1 else [r.choice("abdeinorst")]
+    return "".join(out)
+
+
+def test_line_dedup_finds_pairs_of_the_asked_similarity(documents):
+    """Recall against plain edit similarity, by the kind of the lines and of the edits."""
+    han = [chr(0x4E00 + n) for n in range(0, 9000, 3)]
+    r = random.Random(3)
+    kinds = {}
+    for n in range(40):
+        for k, size in enumerate((3, 6, 12, 20)):  # one word replaced
+            line = prose(size, 1000 * k + n)
+            own = line.split(" ")
+            own[r.randrange(size)] = r.choice(VOCABULARY)
+            kinds.setdefault(f"word of {size}", []).append((line, " ".join(own)))
+        for size in (5, 12, 30):  # characters
+            line = prose(size, 5000 + 100 * size + n)
+            kinds.setdefault(f"characters of {size}", []).append((line, edited(line, .15, n)))
+        line = "".join(r.choice(han) for _ in range(10 + n))
+        kinds.setdefault("no spaces", []).append((line, line[:n // 4] + "\u4e01" + line[n // 4 + 1:]))
+    for kind, pairs in kinds.items():
+        pairs[:] = [(a, b) for a, b in pairs if a != b and b.strip() == b and "  " not in b
+                    and edit_distance(a, b) <= .2 * max(len(a), len(b)) + 1e-9]
+    rows = [(i, text) for i, text in enumerate(t for pairs in kinds.values() for pair in pairs for t in pair)]
+    gone = {r.doc_id for r in line_dedup.dedup_lines(documents(rows)).collect() if r._n_removed}
+    at = 0
+    for kind, pairs in kinds.items():
+        assert len(pairs) >= 5, kind
+        found = sum(at + 2 * n + 1 in gone for n in range(len(pairs)))
+        assert found >= .9 * len(pairs), (kind, found, len(pairs))
+        at += 2 * len(pairs)
+
+
 def test_simhash_is_the_majority_of_bits(spark, monkeypatch):
     """Both lane widths, against bits counted one by one."""
     from pyspark.sql import functions as F
