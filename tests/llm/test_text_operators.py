@@ -247,6 +247,8 @@ def test_line_dedup_finds_pairs_of_the_asked_similarity(documents):
             kinds.setdefault(f"characters of {size}", []).append((line, edited(line, .15, n)))
         line = "".join(r.choice(han) for _ in range(10 + n))
         kinds.setdefault("no spaces", []).append((line, line[:n // 4] + "\u4e01" + line[n // 4 + 1:]))
+        line = "".join(r.choice("abdeinorst") for _ in range(5 + n % 8))
+        kinds.setdefault("tiny", []).append((line, edited(line, .2, n)))
     for kind, pairs in kinds.items():
         pairs[:] = [(a, b) for a, b in pairs if a != b and b.strip() == b and "  " not in b
                     and edit_distance(a, b) <= .2 * max(len(a), len(b)) + 1e-9]
@@ -260,6 +262,14 @@ def test_line_dedup_finds_pairs_of_the_asked_similarity(documents):
         at += 2 * len(pairs)
 
 
+def test_line_dedup_links_lines_of_any_form(documents):
+    rows = [(0, "Copyright 2023 Example"), (1, "Copyright 2024 Example"), (2, "Example 9"), (3, "Copyright"), (4, "ab"),
+            (5, "ac"), (6, prose(200, 1)), (10, changed(prose(200, 1), 60, 7)), (11, "\u65e5\u672c\u8a9e\u306e\u6587"),
+            (12, "\u65e5\u672c\u8a9e\u306e\u672c"), (13, None)]
+    gone = {r.doc_id for r in line_dedup.dedup_lines(documents(rows)).collect() if r._n_removed}
+    assert gone == {1, 10, 12}
+
+
 def test_simhash_is_the_majority_of_bits(spark, monkeypatch):
     """Both lane widths, against bits counted one by one."""
     from pyspark.sql import functions as F
