@@ -1,9 +1,9 @@
 """LM scoring: online logistic mixing of hashed-context bit predictors.
 
 1. Words are counted over all training texts; the most frequent ones form the lexicon.
-2. Each training shard goes through its texts in order: slot counts are updated block by block,
-   and on every fourth block the mixing weights take gradient steps on predictions made before
-   that block is counted. Spark sums the slot counts of all shards and averages the weights.
+2. Each training shard goes through its texts in order: slot counts are updated piece by piece,
+   and on every piece the mixing weights take gradient steps on predictions made before that
+   piece is counted. The first pieces are small, later ones grow up to a block. Spark sums the slot counts of all shards and averages the weights.
 3. Every text is scored with the finished model: log probabilities of its bits are summed. The
    unigram baseline needs exact counts, so words outside the lexicon are joined with the table
    of all counts.
@@ -35,7 +35,8 @@ LEXICON = (1 << 16) - 2
 #: Longer words are always spelled, which bounds the lexicon's bytes.
 LEXICON_WORD_BYTES = 64
 BLOCK_BYTES = 1 << 20
-LEARN_EVERY = 4
+#: Bits of the first piece; a later one has at most as many as were counted before, over ``GROWTH``.
+FIRST_PIECE, GROWTH = 1 << 10, 4
 CHUNK_BITS = 14
 #: Distinct words that a task counts before it passes the counts on.
 COUNTED = 150_000
@@ -110,34 +111,41 @@ def train(texts: DataFrame, lexicon: Lexicon) -> tuple[list[np.ndarray], Mixer]:
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # A slot's uses in the upper and its ones in the lower half.
         tables = [np.zeros(1 << SLOT_BITS, np.uint64) for _ in range(CONTEXTS)]
-        mixer, blocks, mass = Mixer(), 0, np.zeros(GATES)
-
-        def take(d: Decisions, learn: bool) -> None:
+        mixer, mass, counted = Mixer(), np.zeros(GATES), [0, 0]
+
+        def take(d: Decisions) -> None:
+            start = 0
+            while start < len(d.bit):
+                stop = min(len(d.bit), start + max(FIRST_PIECE, counted[d.spelled] // GROWTH))
+                piece(d, slice(start, stop))
+                counted[d.spelled] += stop - start
+                start = stop
+
+        def piece(d: Decisions, part: slice) -> None:
+            """Predict and learn, then count."""
             nonlocal mass
-            if learn and len(d.bit):
-                states = []
-                for own, at in zip(tables, d.slots, strict=True):
-                    cell = own[at]
-                    states.append(state((cell >> np.uint64(32)).astype(np.float32),
-                                        (cell & np.uint64(0xFFFFFFFF)).astype(np.float32)))
-                before = mixer.seen.sum(axis=1)
-                mixer.learn(states, d.bit, d.weight if d.spelled else np.ones(0), d.spelled)
-                mass += mixer.seen.sum(axis=1) - before
-            use = (np.uint64(1 << 32) | d.bit.astype(np.uint64))
+            slots, bit, states = [at[part] for at in d.slots], d.bit[part], []
+            weight = d.weight[part] if d.spelled else np.ones(0)
+            for own, at in zip(tables, slots, strict=True):
+                cell = own[at]
+                states.append(state((cell >> np.uint64(32)).astype(np.float32),
+                                    (cell & np.uint64(0xFFFFFFFF)).astype(np.float32)))
+            before = mixer.seen.sum(axis=1)
+            mixer.learn(states, bit, weight, d.spelled)
+            mass += mixer.seen.sum(axis=1) - before
+            use = (np.uint64(1 << 32) | bit.astype(np.uint64))
             if d.spelled:
-                use = use * d.weight.astype(np.uint64)
-            for own, at in zip(tables, d.slots, strict=True):
+                use = use * weight.astype(np.uint64)
+            for own, at in zip(tables, slots, strict=True):
                 np.add.at(own, at.astype(np.intp), use)
 
         for batch in batches:
             for start, stop in slices(batch.column(0), BLOCK_BYTES):
                 starts, words = split_words(batch.column(0).slice(start, stop - start), lower=True)
                 _, _, path, rare, number, _ = block_parts(sent.value, starts, words)
-                learn = blocks % LEARN_EVERY == 1
-                take(path, learn)
+                take(path)
                 if len(rare):
-                    take(spelling_decisions(rare, np.bincount(number, minlength=len(rare))), learn)
-                blocks += 1
+                    take(spelling_decisions(rare, np.bincount(number, minlength=len(rare))))
         step = 1 << CHUNK_BITS
         for k, own in enumerate(tables):
             for n in range(0, len(own), step):

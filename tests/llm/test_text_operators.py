@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -282,6 +283,16 @@ def test_simhash_is_the_majority_of_bits(spark, monkeypatch):
     assert got == {n: plain_simhash(t) for n, t in enumerate(texts)}
 
 
+def test_lm_learns_on_a_shard_of_one_block(spark):
+    """Also one text alone moves the weights and fills the correction."""
+    texts = spark.createDataFrame([(prose(3000, 31),)], "text string").coalesce(1)
+    lexicon, *_ = lm_scoring.make_lexicon(lm_scoring.count_words(texts))
+    _, mixer = lm_scoring.train(texts, lexicon)
+    assert np.abs(mixer.weights - 0.4).max() > 0.01
+    per_word = np.diff(lexicon.starts)[lexicon.symbols(pa.array(prose(3000, 31).split(" "), pa.large_string()))]
+    assert mixer.seen.sum() == per_word.sum() + lexicon.starts[1]  # every bit of every token taught once
+
+
 def test_mix_matches_plain_queueing(documents):
     rows = [(i, prose(10 + i % 50, i), None, [None, "a", "b", "ä", "Z", "a"][i % 6]) for i in range(150)]
     rows += [(200, None, None, "b"), (201, "", None, "c"), (202, "single", None, "d")]
