@@ -3,4 +3,5 @@
 
 def load_all() -> None:
     """Register the queries of all operators."""
-    from paneltide.llm import bpe, langid, line_dedup, lm_scoring, mixing, near_vectors, ngram_join, substrings, topk, warc  # noqa: F401
+    from paneltide.llm import (bpe, langid, lexical, line_dedup, lm_scoring, manifest, mixing, near_vectors,  # noqa: F401
+                               ngram_join, substrings, token_files, topk, warc)
