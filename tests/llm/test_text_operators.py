@@ -170,13 +170,6 @@ def plain_simhash(line):
     return sum(1 << j for j in range(56) if sum(h >> j & 1 for h in hashes) > len(hashes) / 2)
 
 
-def shares_blocks(a, b):
-    """Two of four blocks of the SimHashes agree, and few bits differ."""
-    x = plain_simhash(a) ^ plain_simhash(b)
-    same = [x >> 14 * k & (1 << 14) - 1 == 0 for k in range(4)]
-    return sum(same) >= 2 and x.bit_count() <= 8
-
-
 def brute_lines(rows):
     """(document, line number) of the lines that go."""
     occurrences = defaultdict(list)
@@ -196,9 +189,7 @@ def brute_lines(rows):
     for a in range(len(lines)):
         for b in range(a):
             size = max(len(lines[a]), len(lines[b]))
-            if min(len(lines[a]), len(lines[b])) >= .8 * size and len(lines[a].split()) >= 4 and \
-                    len(lines[b].split()) >= 4 and shares_blocks(lines[a], lines[b]) and \
-                    edit_distance(lines[a], lines[b]) <= .2 * size:
+            if min(len(lines[a]), len(lines[b])) >= .8 * size and edit_distance(lines[a], lines[b]) <= .2 * size:
                 x, y = find(a), find(b)
                 top[max(x, y)] = min(x, y)
     groups = defaultdict(set)
