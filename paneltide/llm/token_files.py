@@ -50,8 +50,8 @@ LANES = 128
 BLOCK_TOKENS, SEGMENT_STEPS = 1 << 17, 512
 FILE_TOKENS = 1 << 21
 #: Distinct stretches of text whose ids a worker remembers from one slice of texts to the next.
-REMEMBERED = 600_000
-SLICE_BYTES = 8 << 20
+REMEMBERED = 500_000
+SLICE_BYTES = 4 << 20
 END_ID = 0
 #: Where a stretch starts besides spaces: line breaks, and marks that never join with a letter.
 MARKS = "\n,."
