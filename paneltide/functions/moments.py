@@ -7,6 +7,7 @@ one small row per task in the shuffle.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -14,13 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paneltide.functions.lookup import attach
-from paneltide.functions.order import quantile_table
-from paneltide.session import settle
+from paneltide.functions.lookup import null_safe_join
+from paneltide.functions.order import quantile_arrays
+from paneltide.functions.wide import (WIDE, aggregates, attach_arrays, cell_aggregates, item, pack, per_cell,
+                                       unpack)
+from paneltide.session import stored
 
 UNKNOWN_GROUP = "UNKNOWN"
-COLUMNS_PER_PASS = 25
-STATS_PER_PASS = 100
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
@@ -48,19 +49,30 @@ def standardize(df: DataFrame, by: Sequence[str], columns: Sequence[str],
     A group without spread gives 0 on every row, or null with
     ``zero_when_flat=False``.
     """
-    names, scored = names or {}, df
-    for start in range(0, len(columns), STATS_PER_PASS):
-        part = columns[start:start + STATS_PER_PASS]
-        scored = attach(scored, df.groupBy(*by).agg(*(F.expr(e) for c in part for e in (
-            f"avg(`{c}`) AS `{c}__m`", f"stddev_samp(`{c}`) AS `{c}__s`"))), by)
+    names = names or {}
+    if len(columns) > WIDE and not names:
+        return unpack(standardize_cells(pack(df, columns), by, len(columns), zero_when_flat), columns).select(*df.columns)
+    stats = aggregates(df, by, columns, ("avg({0})", "stddev_samp({0})"), "_stats")
     out = {}
-    for c in columns:
-        z = ratio(F.col(c) - F.col(f"{c}__m"), F.col(f"{c}__s"))
+    for k, c in enumerate(columns):
+        mean, std = item("_stats", 2 * k), item("_stats", 2 * k + 1)
+        z = ratio(F.col(c) - mean, std)
         if zero_when_flat:
-            flat = F.col(f"{c}__s").isNull() | (F.col(f"{c}__s") == 0)
-            z = F.when(flat, F.lit(0.0)).otherwise(z)
+            z = F.when(std.isNull() | (std == 0), F.lit(0.0)).otherwise(z)
         out[names.get(c, c)] = z
-    return scored.withColumns(out).drop(*(f"{c}__{k}" for c in columns for k in "ms"))
+    return attach_arrays(df, stats, by, 2 * len(columns)).withColumns(out).drop("_stats")
+
+
+def standardize_cells(df: DataFrame, by: Sequence[str], n: int, zero_when_flat: bool = True) -> DataFrame:
+    """``standardize`` of the ``n`` values of the array ``_v``."""
+    stats = cell_aggregates(df, by, ("avg(v)", "stddev_samp(v)"), "_stats")
+
+    def scored(x: Column, i: Column) -> Column:
+        mean, std = F.get("_stats", 2 * i), F.get("_stats", 2 * i + 1)
+        z = ratio(x - mean, std)
+        return F.when(std.isNull() | (std == 0), F.lit(0.0)).otherwise(z) if zero_when_flat else z
+
+    return per_cell(attach_arrays(df, stats, by, 2 * n), scored).drop("_stats")
 
 
 def solve_rows(matrix: str, right: str) -> Column:
@@ -83,40 +95,62 @@ def solve_rows(matrix: str, right: str) -> Column:
     return F.pandas_udf(solve, T.ArrayType(T.DoubleType()))(matrix, right)
 
 
-def _residual_pass(df: DataFrame, by: list[str], targets: dict[str, str], xs: list[str],
-                   group: str) -> DataFrame:
-    """Residuals of a few targets: two small aggregates, then one lookup."""
-    k = len(xs)
+def _co_moments(df: DataFrame, by: list[str], group: str, targets: list[str] | None, xs: list[str]) -> DataFrame:
+    """(by, group, t, n, y, xs, gs, rs): sums over the usable rows of each target ``t``.
+
+    ``xs`` are the sums of the exposures, ``gs`` of their products (upper triangle), ``rs`` of their
+    products with the target. Targets are columns, or the places of the array ``_v`` if None.
+    """
+    pairs = [(i, j) for i in range(len(xs)) for j in range(i, len(xs))]
+
+    def array(cells: list[str]) -> str:
+        return f"array({', '.join(cells)})" if cells else "CAST(array() AS array<double>)"
+
+    def sums(y: str) -> dict[str, str]:
+        kept = [f"CASE WHEN {y} IS NOT NULL THEN CAST(`{x}` AS DOUBLE) END" for x in xs]
+        return {"n": f"count({y})", "y": f"CAST(sum({y}) AS DOUBLE)", "xs": array([f"sum({k})" for k in kept]),
+                "gs": array([f"sum({kept[i]} * `{xs[j]}`)" for i, j in pairs]),
+                "rs": array([f"sum(`{x}` * {y})" for x in xs])}
+
+    if targets is None:
+        cells = df.select(*by, group, *xs, F.posexplode("_v").alias("t", "v"))
+        return cells.groupBy(*by, group, "t").agg(*(F.expr(e).alias(c) for c, e in sums("v").items()))
+    cells = [f"named_struct('t', {t}, " + ", ".join(f"'{c}', {e}" for c, e in sums(f"`{y}`").items()) + ")"
+             for t, y in enumerate(targets)]
+    found = df.groupBy(*by, group).agg(F.expr(f"array({', '.join(cells)})").alias("_cells"))
+    return found.select(*by, group, F.explode("_cells").alias("_c")).select(*by, group, "_c.*")
+
+
+def _regressions(moments: DataFrame, by: list[str], group: str, k: int) -> tuple[DataFrame, DataFrame]:
+    """Arrays of the slopes (by, _slopes), ``k`` per target, and levels (by, group, _levels).
+
+    A target's residual is the target less its level less the slopes times the exposures; both are
+    null for a group of rows ``by`` that has no more usable rows than regressors.
+    """
+    # Regressing on group dummies equals regressing what is centred in each group, so the systems
+    # are sums of the within-group co-moments.
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    moments, sums, means, new = [], ["count(1) AS _groups"], [], {}
-    for t, (y, shown) in enumerate(targets.items()):
-        kept = [f"CASE WHEN `{y}` IS NOT NULL THEN `{x}` END" for x in xs]
-        moments += [f"count(`{y}`) AS _n{t}", f"sum(`{y}`) AS _y{t}",
-                    *(f"sum({kept[i]}) AS _x{t}_{i}" for i in range(k)),
-                    *(f"sum({kept[i]} * `{xs[j]}`) AS _g{t}_{i}_{j}" for i, j in pairs),
-                    *(f"sum(`{xs[i]}` * `{y}`) AS _r{t}_{i}" for i in range(k))]
-        # Regressing on group dummies equals regressing what is centred in each
-        # group, so the systems are sums of the within-group co-moments.
-        total = "coalesce(sum({0} - {1} * {2} / nullif(_n{3}, 0)), 0D)".format
-        matrix = [total(f"_g{t}_{min(i, j)}_{max(i, j)}", f"_x{t}_{i}", f"_x{t}_{j}", t)
-                  for i in range(k) for j in range(k)]
-        vector = [total(f"_r{t}_{i}", f"_x{t}_{i}", f"_y{t}", t) for i in range(k)]
-        sums += [f"sum(_n{t}) AS _n{t}", f"array({', '.join(matrix)}) AS _m{t}",
-                 f"array({', '.join(vector)}) AS _v{t}"]
-        means += [f"{c} / nullif(_n{t}, 0) AS {c}"
-                  for c in (f"_y{t}", *(f"_x{t}_{i}" for i in range(k)))]
-        fitted = "".join(f" - _b{t}[{i}] * (`{x}` - _x{t}_{i})" for i, x in enumerate(xs))
-        new[shown] = F.expr(f"CASE WHEN _b{t} IS NOT NULL THEN `{y}` - _y{t}{fitted} END")
-    inner = settle(df.groupBy(*by, group).agg(*map(F.expr, moments)))
-    fits = inner.groupBy(*by).agg(*map(F.expr, sums))
-    none = F.expr("CAST(array() AS array<double>)")
-    fits = fits.select(*by, *(
-        F.when(F.expr(f"_n{t} > {k} + _groups"),
-               solve_rows(f"_m{t}", f"_v{t}") if k else none).alias(f"_b{t}")
-        for t in range(len(targets))))
-    table = inner.selectExpr(*(f"`{c}`" for c in (*by, group)), *means).join(fits, by)
-    return (attach(df, table, [*by, group]).withColumns(new)
-            .drop(*(c for c in table.columns if c not in (*by, group))))
+    place = {p: at for at, p in enumerate(pairs)}
+    centred = "coalesce(sum({0} - {1} * {2} / nullif(n, 0)), 0D)".format
+    matrix = [centred(f"gs[{place[min(i, j), max(i, j)]}]", f"xs[{i}]", f"xs[{j}]") for i in range(k) for j in range(k)]
+    vector = [centred(f"rs[{i}]", f"xs[{i}]", "y") for i in range(k)]
+    empty = "CAST(array() AS array<double>)"
+    systems = moments.groupBy(*by, "t").agg(
+        F.sum("n").alias("_rows"), F.count(F.lit(1)).alias("_groups"),
+        F.expr(f"array({', '.join(matrix)})" if k else empty).alias("_m"),
+        F.expr(f"array({', '.join(vector)})" if k else empty).alias("_v"))
+    solved = F.when(F.expr(f"_rows > {k} + _groups"), solve_rows("_m", "_v") if k else F.expr(empty))
+    fits = stored(systems.select(*by, "t", solved.alias("_b")), "fits")
+
+    def in_order(value: Column) -> Column:
+        return F.transform(F.array_sort(F.collect_list(F.struct("t", value.alias("v")))), lambda x: x["v"])
+
+    none = F.array_repeat(F.lit(None).cast("double"), k)
+    slopes = fits.groupBy(*by).agg(F.flatten(in_order(F.coalesce("_b", none))).alias("_slopes"))
+    less = "".join(f" - _b[{i}] * xs[{i}]" for i in range(k))
+    level = F.expr(f"CASE WHEN _b IS NOT NULL THEN (y{less}) / nullif(n, 0) END")
+    levels = (null_safe_join(moments, fits, [*by, "t"]).groupBy(*by, group).agg(in_order(level).alias("_levels")))
+    return slopes, levels
 
 
 def ols_residual(df: DataFrame, by: Sequence[str], targets: Sequence[str],
@@ -129,24 +163,59 @@ def ols_residual(df: DataFrame, by: Sequence[str], targets: Sequence[str],
     fit and gets null. A day with no more usable rows than regressors gives null
     for all of its rows.
     """
-    by, exposures, targets, names = list(by), list(exposures), list(targets), dict(names or {})
-    filled = {x: f"_fill{i}" for i, x in enumerate(exposures)}
+    by, targets, names = list(by), list(targets), dict(names or {})
+    if len(targets) > WIDE and not names:
+        return unpack(residual_cells(pack(df, targets), by, len(targets), exposures, group), targets).select(*df.columns)
     masked = {y: f"_target{i}" for i, y in enumerate(targets)}
-    infinite = " OR ".join([f"coalesce(abs(CAST(`{x}` AS DOUBLE)) = double('infinity'), false)"
-                            for x in exposures]) or "false"
+    work, filled, usable = _with_exposures(df, by, list(exposures), group)
+    work = work.withColumns({masked[y]: F.when(usable, finite(F.col(y))) for y in targets})
+    k, ys = len(filled), list(masked.values())
+    moments = stored(_co_moments(work, by, "_group", ys, filled), "moments")
+    slopes, levels = _regressions(moments, by, "_group", k)
+    work = attach_arrays(attach_arrays(work, slopes, by, k * len(ys)), levels, [*by, "_group"], len(ys))
+    new = {names.get(y, y): F.expr(f"`{masked[y]}` - _levels[{t}]" + "".join(
+        f" - _slopes[{k * t + i}] * {x}" for i, x in enumerate(filled))) for t, y in enumerate(targets)}
+    return work.withColumns(new).drop("_group", "_usable", "_slopes", "_levels", *filled, *ys)
+
+
+def finite(value: Column) -> Column:
+    """The value if it is a number; NaN and infinities are null."""
+    return F.when(F.abs(value.cast("double")) < F.lit(float("inf")), value)
+
+
+def _with_exposures(df: DataFrame, by: list[str], exposures: list[str],
+                    group: str | None) -> tuple[DataFrame, list[str], Column]:
+    """``df`` with ``_group`` and the filled, centred exposures; their names; which rows are usable."""
+    filled = [f"_fill{i}" for i in range(len(exposures))]
+    infinite = F.lit(False)
+    for x in exposures:
+        infinite = infinite | F.coalesce(F.abs(F.col(x).cast("double")) == F.lit(float("inf")), F.lit(False))
     work = df.withColumn("_group", F.coalesce(F.col(group).cast("string"), F.lit(UNKNOWN_GROUP))
-                         if group else F.lit(UNKNOWN_GROUP))
-    finite = "CASE WHEN abs(CAST(`{0}` AS DOUBLE)) < double('infinity') THEN `{0}` END".format
-    work = work.withColumns({masked[y]: F.expr(f"CASE WHEN NOT ({infinite}) THEN {finite(y)} END")
-                             for y in targets})
+                         if group else F.lit(UNKNOWN_GROUP)).withColumn("_usable", ~infinite)
     if exposures:
-        work = work.withColumns({filled[x]: F.expr(finite(x)) for x in exposures})
-        work = attach(work, quantile_table(work, by, list(filled.values()), (0.5,)), by)
+        work = work.withColumns({f: finite(F.col(x)) for f, x in zip(filled, exposures, strict=True)})
+        medians = quantile_arrays(work, by, filled, (0.5,), "_medians")
         # Taking the median off leaves the residual as it is and keeps sums small.
-        work = (work.withColumns({f: F.expr(f"coalesce({f} - {f}__q0, 0D)") for f in filled.values()})
-                .drop(*(f"{f}__q0" for f in filled.values())))
-    for start in range(0, len(targets), COLUMNS_PER_PASS):
-        part = targets[start:start + COLUMNS_PER_PASS]
-        work = _residual_pass(work, by, {masked[y]: names.get(y, y) for y in part},
-                              [filled[x] for x in exposures], "_group")
-    return work.drop("_group", *filled.values(), *masked.values())
+        work = (attach_arrays(work, medians, by, len(filled))
+                .withColumns({f: F.expr(f"coalesce({f} - _medians[{i}], 0D)") for i, f in enumerate(filled)})
+                .drop("_medians"))
+    return work, filled, F.col("_usable")
+
+
+def residual_cells(df: DataFrame, by: Sequence[str], n: int, exposures: Sequence[str],
+                   group: str | None = None) -> DataFrame:
+    """``ols_residual`` of the ``n`` values of the array ``_v``."""
+    by = list(by)
+    work, filled, usable = _with_exposures(df, by, list(exposures), group)
+    work, k = per_cell(work, lambda y: F.when(usable, finite(y))), len(filled)
+    moments = stored(_co_moments(work, by, "_group", None, filled), "moments")
+    slopes, levels = _regressions(moments, by, "_group", k)
+    work = attach_arrays(attach_arrays(work, slopes, by, k * n), levels, [*by, "_group"], n)
+
+    def rest(y: Column, t: Column) -> Column:
+        out = y - F.get("_levels", t)
+        for i, x in enumerate(filled):
+            out = out - F.get("_slopes", k * t + i) * F.col(x)
+        return out
+
+    return per_cell(work, rest).drop("_group", "_usable", "_slopes", "_levels", *filled)

@@ -15,12 +15,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paneltide.functions.lookup import attach, null_safe_join
+from paneltide.functions.wide import attach_arrays, gather, item, packs
 from paneltide.session import settle
 
 GROUP_CONF = "paneltide.group.maxRows"
 GROUP_ROWS = 1_000_000
 SKETCH_ACCURACY = 10_000
 CELLS_PER_PASS = 2_000_000
+#: Columns whose quantiles are taken in one pass, at most.
+MOST_COLUMNS = 200
 
 
 def largest_group(df: DataFrame, by: Sequence[str]) -> int:
@@ -146,6 +149,14 @@ def quantile_table(df: DataFrame, by: Sequence[str], columns: Sequence[str],
 
     Columns are named ``<column>__q<i>`` in the order of ``fractions``.
     """
+    packed, n = quantile_arrays(df, by, columns, fractions), len(fractions)
+    return packed.select(*by, *(F.get("_quantiles", F.lit(n * k + i)).alias(f"{c}__q{i}")
+                                for k, c in enumerate(columns) for i in range(n)))
+
+
+def quantile_arrays(df: DataFrame, by: Sequence[str], columns: Sequence[str],
+                    fractions: Sequence[float], name: str = "_quantiles") -> DataFrame:
+    """(group, array) with the quantiles of the first column, then of the second, and so on."""
     by, columns = list(by), list(columns)
     limit = group_limit(df)
     rows = largest_group(df, by) if limit > 0 else 0
@@ -153,13 +164,14 @@ def quantile_table(df: DataFrame, by: Sequence[str], columns: Sequence[str],
     # each of which reads only its own columns.
     in_task = 0 < rows <= limit
     held = rows if in_task else 5 * SKETCH_ACCURACY
-    width = max(1, CELLS_PER_PASS // max(held, 1))
+    width = min(MOST_COLUMNS, max(1, CELLS_PER_PASS // max(held, 1)))
     exact = _task_quantiles if in_task else _spread_quantiles
-    out = None
-    for start in range(0, len(columns), width):
-        part = exact(df, by, columns[start:start + width], fractions)
-        out = part if out is None else null_safe_join(out, part, by, "full")
-    return out
+    parts = []
+    for part in packs(columns, width):
+        found = exact(df, by, part, fractions)
+        cells = F.array(*(f"{c}__q{i}" for c in part for i in range(len(fractions))))
+        parts.append((found.select(*by, cells.alias("_part")), len(part) * len(fractions)))
+    return gather(parts, by, name)
 
 
 def _task_quantiles(df: DataFrame, by: list[str], columns: list[str],
@@ -245,7 +257,7 @@ def winsorize(df: DataFrame, by: Sequence[str], columns: Sequence[str],
               names: dict[str, str] | None = None) -> DataFrame:
     """Clip each column to its group's quantiles, in place or under new names."""
     names = names or {}
-    bounded = attach(df, quantile_table(df, by, columns, (lower, upper)), by)
-    clipped = {names.get(c, c): clip_to(c, F.col(f"{c}__q0"), F.col(f"{c}__q1"))
-               for c in columns}
-    return bounded.withColumns(clipped).drop(*(f"{c}__q{i}" for c in columns for i in (0, 1)))
+    bounded = attach_arrays(df, quantile_arrays(df, by, columns, (lower, upper)), by, 2 * len(columns))
+    clipped = {names.get(c, c): clip_to(c, item("_quantiles", 2 * k), item("_quantiles", 2 * k + 1))
+               for k, c in enumerate(columns)}
+    return bounded.withColumns(clipped).drop("_quantiles")

@@ -7,9 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paneltide.functions.lookup import attach
-from paneltide.functions.moments import UNKNOWN_GROUP, nan_to_null, ols_residual, standardize
-from paneltide.functions.order import clip_to, quantile_table, winsorize
+from paneltide.functions.moments import (UNKNOWN_GROUP, nan_to_null, ols_residual, residual_cells, standardize,
+                                         standardize_cells)
+from paneltide.functions.order import clip_to, quantile_arrays, winsorize
+from paneltide.functions.wide import WIDE, attach_arrays, item, pack, per_cell, unpack
+from paneltide.session import stored
 from paneltide.sources.panel_store import enforce_types, factor_columns, scan_panel, write_by_year
 
 # Option names and the flag columns they refer to.
@@ -58,21 +60,18 @@ def fill_missing(df: DataFrame, factors: Sequence[str], method: str = "median",
         raise ValueError(f"unknown fill method: {method}")
     if method == "zero":
         return df.fillna(0.0, subset=list(factors))
-    medians = quantile_table(df, by, factors, (0.5,))
-    filled = attach(df, medians, by)
-    levels = {c: [f"{c}__q0"] for c in factors}
+    n = len(factors)
+    filled = attach_arrays(df, quantile_arrays(df, by, factors, (0.5,), "_medians"), by, n)
+    levels = {c: [item("_medians", k)] for k, c in enumerate(factors)}
     if method == "industry_median":
         if industry not in df.columns:
             raise ValueError(f"industry column '{industry}' not found")
-        grouped = df.withColumn("_ind", F.coalesce(F.col(industry), F.lit(UNKNOWN_GROUP)))
-        inner = quantile_table(grouped, [*by, "_ind"], factors, (0.5,)).withColumnsRenamed(
-            {f"{c}__q0": f"{c}__i0" for c in factors})
-        filled = attach(filled.withColumn("_ind", F.coalesce(F.col(industry),
-                                                             F.lit(UNKNOWN_GROUP))),
-                        inner, [*by, "_ind"]).drop("_ind")
-        levels = {c: [f"{c}__i0", f"{c}__q0"] for c in factors}
+        known = F.coalesce(F.col(industry), F.lit(UNKNOWN_GROUP))
+        inner = quantile_arrays(df.withColumn("_ind", known), [*by, "_ind"], factors, (0.5,), "_inner")
+        filled = attach_arrays(filled.withColumn("_ind", known), inner, [*by, "_ind"], n).drop("_ind")
+        levels = {c: [item("_inner", k), *levels[c]] for k, c in enumerate(factors)}
     return (filled.withColumns({c: F.coalesce(c, *levels[c]) for c in factors})
-            .drop(*(name for names in levels.values() for name in names)))
+            .drop("_medians", "_inner"))
 
 
 def clip_and_fill(df: DataFrame, factors: Sequence[str], lower: float, upper: float,
@@ -81,11 +80,10 @@ def clip_and_fill(df: DataFrame, factors: Sequence[str], lower: float, upper: fl
 
     For bounds symmetric about the middle, clipping leaves the median as it is.
     """
-    table = quantile_table(df, by, factors, (lower, 0.5, upper))
-    new = {c: F.coalesce(clip_to(c, F.col(f"{c}__q0"), F.col(f"{c}__q2")), F.col(f"{c}__q1"))
-           for c in factors}
-    return (attach(df, table, by).withColumns(new)
-            .drop(*(f"{c}__q{i}" for c in factors for i in range(3))))
+    table = quantile_arrays(df, by, factors, (lower, 0.5, upper))
+    new = {c: F.coalesce(clip_to(c, item("_quantiles", 3 * k), item("_quantiles", 3 * k + 2)),
+                         item("_quantiles", 3 * k + 1)) for k, c in enumerate(factors)}
+    return attach_arrays(df, table, by, 3 * len(factors)).withColumns(new).drop("_quantiles")
 
 
 def neutralize(df: DataFrame, factors: Sequence[str], exposures: Sequence[str],
@@ -103,6 +101,9 @@ def preprocess(df: DataFrame, factors: Sequence[str], config: dict,
     lower, upper = bounds.get("lower", 0.01), bounds.get("upper", 0.99)
     method = config.get("fill_missing", {}).get("method", "median")
     out = tradable_universe(nan_to_null(df), config.get("filter", {}))
+    if len(factors) > WIDE:
+        out = _preprocess_wide(out, list(factors), config, lower, upper, method, industry)
+        return enforce_types(out, factors) if float32 else out
     if method == "median" and abs(lower + upper - 1) < 1e-12:
         out = clip_and_fill(out, factors, lower, upper)
     else:
@@ -121,6 +122,52 @@ def preprocess(df: DataFrame, factors: Sequence[str], config: dict,
     return enforce_types(out, factors) if float32 else out
 
 
+def _preprocess_wide(df: DataFrame, factors: list[str], config: dict, lower: float, upper: float,
+                     method: str, industry: str) -> DataFrame:
+    """The steps of ``preprocess`` over packed factors.
+
+    The rows are stored once, so that the quantiles of a pass read only their own columns; every
+    step is one joined table of coefficients and one expression over the array.
+    """
+    if method not in FILL_METHODS:
+        raise ValueError(f"unknown fill method: {method}")
+    n, base = len(factors), stored(df, "panel")
+    ind = F.coalesce(F.col(industry), F.lit(UNKNOWN_GROUP)) if industry in df.columns else None
+    fused = method == "median" and abs(lower + upper - 1) < 1e-12
+    out = attach_arrays(pack(base, factors), quantile_arrays(base, ["date"], factors, (lower, 0.5, upper)), ["date"], 3 * n)
+
+    def clipped(x, i):
+        low, high = F.get("_quantiles", 3 * i), F.get("_quantiles", 3 * i + 2)
+        inner = F.when(x.isNotNull(), F.least(F.greatest(x, low), high))
+        return F.coalesce(inner, F.get("_quantiles", 3 * i + 1)) if fused else inner
+
+    out = per_cell(out, clipped).drop("_quantiles")
+    if method == "zero":
+        out = per_cell(out, lambda x: F.coalesce(x, F.lit(0.0)))
+    elif not fused:  # medians of the clipped values
+        flat = unpack(out, factors)
+        levels = [(["date"], "_medians")]
+        if method == "industry_median":
+            if ind is None:
+                raise ValueError(f"industry column '{industry}' not found")
+            out, flat = out.withColumn("_ind", ind), flat.withColumn("_ind", ind)
+            levels.insert(0, (["date", "_ind"], "_inner"))
+        for by, name in levels:
+            out = attach_arrays(out, quantile_arrays(flat, by, factors, (0.5,), name), by, n)
+        out = per_cell(out, lambda x, i: F.coalesce(x, *(F.get(name, i) for _, name in levels)))
+        out = out.drop("_ind", "_inner", "_medians")
+    if config.get("standardize", True):
+        if config.get("standardize_by_industry", False):
+            out = standardize_cells(out.withColumn("_ind", ind), ["date", "_ind"], n).drop("_ind")
+        else:
+            out = standardize_cells(out, ["date"], n)
+    neutral = config.get("neutralize", {})
+    if neutral.get("enabled", False):
+        out = residual_cells(out, ["date"], n, neutral.get("neutral_cols", []),
+                             industry if neutral.get("use_industry", True) else None)
+    return unpack(out, factors).select(*df.columns)
+
+
 def preprocess_dataset(spark: SparkSession, source: str, target: str, config: dict,
                        start: str | None = None, end: str | None = None) -> list[str]:
     """Clean a stored panel and write it by year; returns the fixed factor list."""

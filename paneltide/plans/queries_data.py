@@ -9,7 +9,7 @@ from paneltide.operators import splits as D
 from paneltide.plans import panels as P
 from paneltide.plans.catalog import query, tidy
 from paneltide.plans.oracle import clip, ols, rounded, sql, zscore
-from paneltide.session import scratch_path, settle
+from paneltide.session import scratch_path, settle, stored
 from paneltide.sources import panel_store as A
 from paneltide.sources import reports
 from paneltide.sources import signal_store as S
@@ -277,14 +277,56 @@ def _(spark, folder):
     return tidy(out.select(*KEY, *FACTORS))
 
 
-@query("b8_preprocess_dataset", sql("""
-SELECT date, count(*) AS n_rows FROM panel WHERE is_st = 0 AND is_suspended = 0
-GROUP BY date"""))
+@query("b8_preprocess_dataset", sql(f"""
+SELECT date, stock_id, {', '.join(f'round(CAST(CAST({c} AS FLOAT) AS DOUBLE), 4) AS {c}' for c in FACTORS)}
+FROM c7""", _CLEAN))
 def _(spark, folder):
     source, target = scratch_path(spark, "raw"), scratch_path(spark, "clean")
     A.write_by_year(P.supplier_months(spark, folder), source, overwrite=True)
-    B.preprocess_dataset(spark, source, target, {**CLEANING, "neutralize": {}})
-    return A.scan_panel(spark, target).groupBy("date").agg(F.count(F.lit(1)).alias("n_rows"))
+    B.preprocess_dataset(spark, source, target, CLEANING)
+    return tidy(A.scan_panel(spark, target).select(*KEY, *FACTORS), 4)
+
+
+WIDE = 300
+
+
+def wide_panel(spark, folder):
+    """The supplier panel with ``WIDE`` factors, each a mix of two of the four."""
+    df = panel(spark, folder)
+    names = [f"factor_{i:03d}" for i in range(1, WIDE + 1)]
+    mixes = [(F.col(FACTORS[i % 4]) * F.lit(1 + i % 7 / 8) + F.col(FACTORS[i // 4 % 4]) * F.lit(i % 5 / 4)).alias(name)
+             for i, name in enumerate(names, 1)]
+    keep = [c for c in df.columns if c not in FACTORS]
+    return stored(df.select(*keep, *mixes), "wide"), names
+
+
+def _pick(at: str) -> str:
+    return "CASE " + " ".join(f"WHEN {at} = {k} THEN {c}" for k, c in enumerate(FACTORS)) + " END"
+
+
+_PART = "date, factor"
+_WIDE = {
+    **_CLEAN,
+    "w0": f"SELECT date, stock_id, industry, {', '.join(P.STYLES)}, i AS factor, {_pick('i % 4')} * (1 + CAST(i % 7 AS DOUBLE) / 8)"
+          f" + {_pick('i // 4 % 4')} * (CAST(i % 5 AS DOUBLE) / 4) AS v FROM c0, range(1, {WIDE + 1}) AS r(i)",
+    "w1": f"SELECT * REPLACE ({clip('v', _PART)} AS v) FROM w0",
+    "w2": f"SELECT * REPLACE (coalesce(v, median(v) OVER (PARTITION BY {_PART})) AS v) FROM w1",
+    "w3": f"SELECT * REPLACE ({zscore('v', _PART)} AS v) FROM w2",
+    "w4": ols("w3", "v", "", _PART),
+}
+
+
+@query("b8_preprocess_wide", sql("""
+SELECT date, printf('factor_%03d', factor) AS factor, count(v) AS n_values, round(max(v), 5) AS high,
+  round(min(v), 5) AS low, round(avg(abs(v)), 5) AS spread FROM w4 GROUP BY date, factor""", _WIDE))
+def _(spark, folder):
+    df, names = wide_panel(spark, folder)
+    out = B.preprocess(df, names, CLEANING, float32=False)
+    cells = out.select("date", F.explode(F.array(*(
+        F.struct(F.lit(c).alias("factor"), F.col(c).alias("v")) for c in names))).alias("c")).select("date", "c.*")
+    return tidy(cells.groupBy("date", "factor").agg(
+        F.count("v").alias("n_values"), F.max("v").alias("high"), F.min("v").alias("low"),
+        F.avg(F.abs("v")).alias("spread")), 5)
 
 
 ROLLING = {"train_years": 2, "valid_years": 1, "test_months": 3, "step_months": 3}
