@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from paneltide.functions.lookup import attach, null_safe_join
 from paneltide.functions.wide import attach_arrays, gather, item, packs
-from paneltide.session import settle
+from paneltide.session import settle, stored
 
 GROUP_CONF = "paneltide.group.maxRows"
 GROUP_ROWS = 1_000_000
@@ -110,6 +110,62 @@ def average_rank(df: DataFrame, by: Sequence[str], value: str, entity: str,
             .drop("_tied"))
 
 
+def pair_ranks(df: DataFrame, by: Sequence[str], first: str, second: str, entity: str,
+               small: bool | None = None) -> DataFrame:
+    """Ranks of two columns at once, for all groups, in one sort each.
+
+    Adds ``_all``, ``_all_n``: ordinal rank of ``first`` among its values and their number; and among
+    rows that have both values (null elsewhere): ``_rank``, ``_n`` (ordinal rank of ``first``, number of
+    rows), ``_r1``, ``_r2`` (average ranks). Ordinal ties are broken by ``entity``, which is unique in a
+    group. In groups too large for a task, both columns share one range sort, and every slice of it is
+    given the counts of all rows and of complete rows before it.
+    """
+    by = list(by)
+    both = F.col(first).isNotNull() & F.col(second).isNotNull()
+    if groups_are_small(df, by) if small is None else small:
+        group = Window.partitionBy(*by)
+        one, two = group.orderBy(F.col(first).asc_nulls_first(), entity), group.orderBy(F.col(second).asc_nulls_first(), entity)
+        upto = Window.unboundedPreceding, Window.currentRow
+        ranked = df.withColumns({
+            "_all_n": F.count(first).over(group), "_n": F.count_if(both).over(group),
+            "_all": F.when(F.col(first).isNotNull(), F.count(first).over(one.rowsBetween(*upto))),
+            "_rank": F.when(both, F.count_if(both).over(one.rowsBetween(*upto))),
+            "_second": F.when(both, F.count_if(both).over(two.rowsBetween(*upto)))})
+        ties = {}
+        for name, value, rank in (("_r1", first, "_rank"), ("_r2", second, "_second")):
+            same = Window.partitionBy(*by, value)
+            ties[name] = F.when(both, (F.min(rank).over(same) + F.max(rank).over(same)) / 2)
+        return ranked.withColumns(ties).drop("_second")
+    stacked = df.select(*by, entity, both.alias("_both"), F.explode(F.array(*(
+        F.struct(F.lit(i).alias("_which"), F.col(c).cast("double").alias("_value")) for i, c in enumerate((first, second))))).alias("_c"))
+    stacked = stacked.select(*by, entity, "_both", "_c.*").where("_value IS NOT NULL AND (_which = 0 OR _both)")
+    slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [*by, "_which", "_value", entity]
+    cut = stored(stacked.repartitionByRange(slices, *keys).sortWithinPartitions(*keys)
+                 .withColumn("_slice", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()), "sorted")
+    part = [*by, "_which"]
+    earlier = Window.partitionBy(*part).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*part)
+    # One row per group and slice, so these windows are small; the one inside slices is as long as a slice.
+    starts = cut.groupBy(*part, "_slice").agg(F.count(F.lit(1)).alias("_rows"), F.count_if("_both").alias("_pairs")).select(
+        *part, "_slice", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}0") for c in ("_rows", "_pairs")),
+        *(F.sum(c).over(whole).alias(f"{c}1") for c in ("_rows", "_pairs")))
+    run = Window.partitionBy("_slice", *part).orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = attach(cut.withColumns({"_i": F.count(F.lit(1)).over(run), "_j": F.count_if("_both").over(run)}),
+                    starts, [*part, "_slice"]).withColumns({
+                        "_i": F.col("_i") + F.col("_rows0"), "_j": F.col("_j") + F.col("_pairs0")})
+    placed = stored(placed.select(*keys, "_both", "_i", "_j", "_rows1", "_pairs1"), "placed")
+    tied = (placed.where("_both").groupBy(*part, "_value").agg(((F.min("_j") + F.max("_j")) / 2).alias("_mean")))
+    placed = null_safe_join(placed, tied, [*part, "_value"])
+    own = F.col("_which") == 0
+    found = placed.groupBy(*by, entity).agg(
+        F.max(F.when(own, F.col("_i"))).alias("_all"), F.max(F.when(own, F.col("_rows1"))).alias("_all_n"),
+        F.max(F.when(own & F.col("_both"), F.col("_j"))).alias("_rank"), F.max(F.when(own, F.col("_pairs1"))).alias("_n"),
+        F.max(F.when(own & F.col("_both"), F.col("_mean"))).alias("_r1"),
+        F.max(F.when(~own, F.col("_mean"))).alias("_r2"))
+    return null_safe_join(df, found, [*by, entity])
+
+
 def shift_rows(df: DataFrame, by: Sequence[str], order: str, column: str,
                offsets: dict[str, int]) -> DataFrame:
     """Add ``column`` of the row some places later (negative: earlier) in its group.

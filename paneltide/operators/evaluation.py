@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 from paneltide.functions.lookup import attach
 from paneltide.functions.moments import UNKNOWN_GROUP, pearson, ratio
 from paneltide.functions.order import (average_rank, bucket_of, groups_are_small,
-                                       ordinal_rank)
-from paneltide.session import settle
+                                       ordinal_rank, pair_ranks)
+from paneltide.session import settle, stored
 
 PERIODS = 252
+# Names of style columns, of score columns and of the dimensions of a comparison.
 STYLE_NAMES = ["log_mktcap", "beta", "turnover", "volatility", "liquidity", "value", "growth",
                "quality"]
 SCORE_COLUMNS = ["raw_score", "rank_score", "zscore_score", "neutral_score"]
@@ -103,19 +104,23 @@ def top_turnover(df: DataFrame, signal: str, quantile: float = 0.2,
                             .select(*keys), series)
 
 
-def turnover_of_sets(members: DataFrame, series: Sequence[str] = ()) -> DataFrame:
-    members = settle(members)
-    dates = members.groupBy(*series, "date").agg(F.count(F.lit(1)).alias("size"))
+def turnover_of_sets(members: DataFrame, series: Sequence[str] = (), sizes: DataFrame | None = None) -> DataFrame:
+    """Share of each date's members that were not members on the previous date.
+
+    ``sizes`` (series, date, size) may be given if it is stored already.
+    """
+    keys = [*series, "date"]
+    members = stored(members.select(*keys, "stock_id"), "members")
+    sizes = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("size")) if sizes is None else sizes
     order = Window.partitionBy(*series, F.lit(0)).orderBy("date")
-    dates = settle(dates.withColumn("day_no", F.row_number().over(order)))
-    numbered = attach(members, dates, [*series, "date"])
-    # A member of the previous date votes on the date that follows it.
-    carried = numbered.select(*series, "stock_id", (F.col("day_no") + 1).alias("day_no"))
-    kept = numbered.join(carried, [*series, "stock_id", "day_no"], "left_semi")
-    stayed = kept.groupBy(*series, "date").agg(F.count(F.lit(1)).alias("stay"))
-    return (dates.filter("day_no > 1").join(stayed, [*series, "date"], "left")
-            .select(*series, "date",
-                    (1 - F.coalesce("stay", F.lit(0)) / F.col("size")).alias("turnover")))
+    dates = stored(sizes.select(*keys, "size", F.row_number().over(order).alias("day_no")), "dates")
+    numbered = attach(members, dates.select(*keys, "day_no"), keys, settled=True)
+    # An entity's own dates: it stayed if its row before is of the date before.
+    before = F.lag("day_no").over(Window.partitionBy(*series, "stock_id").orderBy("day_no"))
+    stayed = (numbered.withColumn("_stayed", before == F.col("day_no") - 1)
+              .groupBy(*keys).agg(F.count_if("_stayed").alias("stay")))
+    return (dates.filter("day_no > 1").join(stayed, keys, "left")
+            .select(*keys, (1 - F.coalesce("stay", F.lit(0)) / F.col("size")).alias("turnover")))
 
 
 def _nav(ret: str, series: Sequence[str]) -> tuple[Column, Column]:
@@ -169,18 +174,25 @@ def exposure_of_members(marked: DataFrame, styles: Sequence[str],
         F.count(F.lit(1)).alias("n"), F.count_if(top).alias("n_top"),
         *(F.sum(F.when(top, F.col(c).cast("double"))).alias(f"s_{c}") for c in styles),
         *(F.count_if(top & F.col(c).isNotNull()).alias(f"n_{c}") for c in styles)))
-    whole = Window.partitionBy(*series, F.lit(0))
-    shares = cells.select(
-        *series, F.lit("industry").alias("exposure_type"), F.col("_ind").alias("name"),
-        (F.coalesce(F.col("n_top") / F.nullif(F.sum("n_top").over(whole), F.lit(0)), F.lit(0.0))
-         - F.col("n") / F.sum("n").over(whole)).alias("exposure"))
+    shares = _exposures(cells, series)
     if not styles:
         return shares
     means = cells.groupBy(*series).agg(*(
         ratio(F.sum(f"s_{c}"), F.sum(f"n_{c}").cast("double")).alias(c) for c in styles))
-    return shares.unionByName(
-        means.unpivot(list(series), list(styles), "name", "exposure")
-        .withColumn("exposure_type", F.lit("style")))
+    return shares.unionByName(_style_rows(means, styles, series))
+
+
+def _exposures(cells: DataFrame, series: Sequence[str]) -> DataFrame:
+    """Share of each industry in the top bucket less its share of the universe."""
+    whole = Window.partitionBy(*series, F.lit(0))
+    return cells.select(
+        *series, F.lit("industry").alias("exposure_type"), F.col("_ind").alias("name"),
+        (F.coalesce(F.col("n_top") / F.nullif(F.sum("n_top").over(whole), F.lit(0)), F.lit(0.0))
+         - F.col("n") / F.sum("n").over(whole)).alias("exposure"))
+
+
+def _style_rows(means: DataFrame, styles: Sequence[str], series: Sequence[str]) -> DataFrame:
+    return means.unpivot(list(series), list(styles), "name", "exposure").withColumn("exposure_type", F.lit("style"))
 
 
 def yearly_performance(df: DataFrame, signal: str, ret: str, n_groups: int = 5,
@@ -228,41 +240,58 @@ def evaluate_signals(signals: DataFrame, returns: DataFrame, exposures: DataFram
     tags = ["model_family", "objective_type", "label_type", "horizon"]
     by = [*series, "date"]
     ahead = stack_returns(returns)
-    wanted = {r[0] for r in signals.select("horizon").distinct().collect()}  # a few integers
+    # One row per model.
+    tag_rows = stored(signals.groupBy("model_name").agg(*(F.first(t).alias(t) for t in tags),
+                                                        F.collect_set("horizon").alias("_horizons")), "tags")
+    wanted = {h for r in tag_rows.select("_horizons").collect() for h in r[0]}
     missing = [h for h in wanted if f"future_return_{h}d" not in returns.columns]
     if missing:
         raise ValueError(f"return table lacks horizons {sorted(missing)}")
-    joined = signals.join(ahead, ["date", "stock_id", "horizon"])
-    styles = []
+    have = [c for c in score_columns if c in signals.columns]
+    joined = signals.select("date", "stock_id", "model_name", "horizon", *have).join(ahead, ["date", "stock_id", "horizon"])
+    styles, grouped = [], "industry" in (exposures if exposures is not None else returns).columns
     if exposures is not None:
-        keep = [c for c in exposures.columns if c in ("industry", *STYLE_NAMES)]
-        styles = [c for c in keep if c != "industry"]
-        joined = joined.join(exposures.select("date", "stock_id", *keep), ["date", "stock_id"], "left")
-    elif "industry" in returns.columns:
-        joined = joined.join(returns.select("date", "stock_id", "industry"), ["date", "stock_id"])
+        styles = [c for c in STYLE_NAMES if c in exposures.columns]
+    if grouped:
+        where = exposures if exposures is not None else returns
+        joined = joined.join(where.select("date", "stock_id", F.col("industry").alias("_ind")), ["date", "stock_id"],
+                             "left" if exposures is not None else "inner")
     n_top = _number_of_buckets(quantile)
-    long = stack_scores(joined, score_columns)
-    # Rank once among rows with a score and once among rows that also have a return.
-    long = settle(long)
-    small = groups_are_small(long, by)
-    scored = ordinal_rank(long, by, "score", "stock_id", small=small)
-    scored = scored.withColumn("_top", bucket_of(n_top) == n_top - 1).drop("_rank", "_count")
-    scored = settle(scored)
-    pairs = average_rank(_pairs(scored, "score", "ret"), by, "score", "stock_id", "_rs",
-                         small=small)
-    pairs = pairs.withColumn("bucket", bucket_of(n_groups)).drop("_rank", "_count")
-    pairs = settle(average_rank(pairs, by, "ret", "stock_id", "_rr", small=small))
-    daily = settle(pairs.groupBy(*by).agg(pearson("score", "ret").alias("ic"),
-                                          pearson("_rs", "_rr").alias("rank_ic")))
-    buckets = settle(_bucket_means(pairs, "ret", series))
-    ls = settle(long_short(buckets, n_groups, series))
-    turnover = settle(turnover_of_sets(scored.filter("_top").select(*by, "stock_id"), series))
+    # Keys, score and return of all rows are kept; styles are joined to the top rows alone.
+    kept = [*by, "stock_id", "score", "ret", *(["_ind"] if grouped else [])]
+    long = stored(stack_scores(joined.drop("horizon"), score_columns).select(*kept), "long")
+    ranked = pair_ranks(long, by, "score", "ret", "stock_id")
+    both = F.col("_rank").isNotNull()
+    ranked = stored(ranked.select(
+        *by, "stock_id", *(["_ind"] if grouped else []),
+        (F.coalesce(bucket_of(n_top, "_all", "_all_n") == n_top - 1, F.lit(False))).alias("_top"),
+        F.when(both, bucket_of(n_groups, "_rank", "_n")).alias("bucket"), F.when(both, F.col("score")).alias("score"),
+        F.when(both, F.col("ret")).alias("ret"), "_r1", "_r2"), "ranked")
+    cells = [F.struct(F.lit(b).alias("bucket"), F.avg(F.when(F.col("bucket") == b, F.col("ret"))).alias("group_return"),
+                      F.count_if(F.col("bucket") == b).alias("n_stocks")) for b in range(n_groups)]
+    # One row per date and series, from which all but turnover and exposures follow.
+    days = stored(ranked.groupBy(*by).agg(
+        pearson("score", "ret").alias("ic"), pearson("_r1", "_r2").alias("rank_ic"), F.count("bucket").alias("n_pairs"),
+        F.count_if("_top").alias("size"), F.array(*cells).alias("groups")), "days")
+    daily = days.filter("n_pairs > 0").select(*by, "ic", "rank_ic")
+    buckets = days.select(*by, F.explode("groups").alias("g")).select(*by, "g.*").filter("n_stocks > 0")
+    ls = days.select(*by, F.col("groups")[n_groups - 1]["group_return"].alias("long_ret"),
+                     F.col("groups")[0]["group_return"].alias("short_ret")).filter(
+        "long_ret IS NOT NULL AND short_ret IS NOT NULL").withColumn("long_short_ret", F.col("long_ret") - F.col("short_ret"))
+    top = ranked.filter("_top")
+    turnover = stored(turnover_of_sets(top, series, days.filter("size > 0").select(*by, "size")), "turnover")
     out = {"ic_timeseries": daily, "group_return": buckets, "long_short_return": ls,
            "turnover": turnover, "yearly": _by_year(daily, daily.select(*by, "rank_ic"), ls, series)}
-    if "industry" in scored.columns:
-        flagged = scored.withColumn("_ind", F.coalesce("industry", F.lit(UNKNOWN_GROUP)))
-        out["exposure_report"] = exposure_of_members(flagged, styles, series)
-    tag_rows = signals.groupBy("model_name").agg(*(F.first(t).alias(t) for t in tags))
+    if grouped:
+        shares = stored(ranked.groupBy(*series, F.coalesce("_ind", F.lit(UNKNOWN_GROUP)).alias("_ind")).agg(
+            F.count(F.lit(1)).alias("n"), F.count_if("_top").alias("n_top")), "shares")
+        out["exposure_report"] = _exposures(shares, series)
+        if styles:
+            held = top.select(*by, "stock_id").join(exposures.select("date", "stock_id", *styles), ["date", "stock_id"], "left")
+            means = held.groupBy(*series).agg(*(F.avg(c).alias(c) for c in styles))
+            # A series without top rows has exposures, all null.
+            means = shares.select(*series).distinct().join(means, series, "left")
+            out["exposure_report"] = out["exposure_report"].unionByName(_style_rows(means, styles, series))
     ics = ic_summary(daily, "ic", series).select(*series, "ic_mean", "icir")
     ranks = ic_summary(daily, "rank_ic", series).select(
         *series, F.col("ic_mean").alias("rank_ic_mean"), F.col("icir").alias("rank_icir"))
@@ -274,7 +303,7 @@ def evaluate_signals(signals: DataFrame, returns: DataFrame, exposures: DataFram
     summary = ics
     for part in (ranks, gains, longs, moves):
         summary = summary.join(part, series, "left")
-    out["model_summary"] = summary.join(tag_rows, "model_name").select(
+    out["model_summary"] = summary.join(tag_rows.drop("_horizons"), "model_name").select(
         *series, *tags, *(c for c in summary.columns if c not in series))
     return out
 

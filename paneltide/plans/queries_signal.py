@@ -323,6 +323,33 @@ def _(spark, folder):
     return tidy(evaluation(spark, folder)["ic_timeseries"])
 
 
+@query("g12_group_return", sql(f"SELECT {_K}, bucket, {rounded('group_return')}, n_stocks FROM ev_grp", _EVALUATION))
+def _(spark, folder):
+    return tidy(evaluation(spark, folder)["group_return"])
+
+
+@query("g12_long_short_return", sql(f"SELECT {_K}, {rounded('long_ret', 'short_ret', 'long_short_ret')} FROM ev_ls", _EVALUATION))
+def _(spark, folder):
+    return tidy(evaluation(spark, folder)["long_short_return"])
+
+
+@query("g12_turnover", sql(f"SELECT {_K}, {rounded('turnover')} FROM ev_turn", _EVALUATION))
+def _(spark, folder):
+    return tidy(evaluation(spark, folder)["turnover"])
+
+
+@query("g12_yearly", sql(f"""
+SELECT {_SERIES}, year, {rounded('ic_mean', 'icir', 'rankic_mean', 'ls_ann_return', 'ls_max_drawdown')}
+FROM (SELECT {_SERIES}, year(date) AS year, avg(ic) AS ic_mean, avg(ic) / nullif(stddev_samp(ic), 0) AS icir,
+      avg(rank_ic) AS rankic_mean FROM ev_ic GROUP BY ALL)
+LEFT JOIN (SELECT {_SERIES}, year, avg(long_short_ret) * 252 AS ls_ann_return, max(fall) AS ls_max_drawdown
+      FROM ev_yfall GROUP BY ALL) USING (model_name, score_col, year)""", {
+    **_EVALUATION, "ev_y": "SELECT *, year(date) AS year FROM ev_ls",
+    "ev_yfall": drawdown("ev_y", "long_short_ret", f"{_SERIES}, year")}))
+def _(spark, folder):
+    return tidy(evaluation(spark, folder)["yearly"])
+
+
 @query("g12_exposure_report", sql(f"""
 SELECT {_SERIES}, 'industry' AS exposure_type, industry AS name,
   round(coalesce(n_top / sum(n_top) OVER (PARTITION BY {_SERIES}), 0)
