@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paneltide.session import settle
+from paneltide.session import counted
 
 BROADCAST_CONF = "paneltide.broadcast.maxBytes"
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -35,11 +35,11 @@ def attach(df: DataFrame, table: DataFrame, on: Sequence[str], how: str = "left"
            settled: bool = False) -> DataFrame:
     """Join ``table`` to ``df`` on equally named keys, null to null.
 
-    ``table`` is computed first and its size measured. Within the limit it is
-    broadcast and ``df`` is not shuffled; beyond it both sides are shuffled on
-    the keys and adaptive execution splits hot ones.
+    ``table`` is written first and its rows are counted on the way. Within the
+    limit it is broadcast and ``df`` is not shuffled; beyond it both sides are
+    shuffled on the keys and adaptive execution splits hot ones.
     """
-    kept = table if settled else settle(table)
+    kept, rows = (table, table.count()) if settled else counted(table, "lookup")
     limit = int(df.sparkSession.conf.get(BROADCAST_CONF, str(BROADCAST_BYTES)))
-    fits = kept.count() * _row_bytes(kept.schema) <= limit
+    fits = rows * _row_bytes(kept.schema) <= limit
     return null_safe_join(df, F.broadcast(kept) if fits else kept, on, how)

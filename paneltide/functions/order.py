@@ -60,21 +60,21 @@ def _spread_rank(df: DataFrame, by: list[str], value: str, entity: str,
                  rank: str, count: str) -> DataFrame:
     slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = [*(F.col(c) for c in by), F.col(value).asc_nulls_first(), F.col(entity)]
-    # The row id is taken from the stored slices: it counts up inside a slice.
-    stored = (settle(df.repartitionByRange(slices, *keys).sortWithinPartitions(*keys))
-              .withColumn("_slice", F.spark_partition_id())
-              .withColumn("_row", F.monotonically_increasing_id()))
+    # The row id counts up inside a slice; both are stored with the rows.
+    cut = settle(df.repartitionByRange(slices, *keys).sortWithinPartitions(*keys)
+                 .withColumn("_slice", F.spark_partition_id())
+                 .withColumn("_row", F.monotonically_increasing_id()))
     group = Window.partitionBy(*by)
     earlier = group.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     # One row per group and slice, so these windows are small.
-    starts = (stored.groupBy(*by, "_slice")
+    starts = (cut.groupBy(*by, "_slice")
               .agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_rows"),
                    F.count(value).alias("_valued"))
               .select(*by, "_slice",
                       (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first") + 1
                        - F.sum(F.col("_rows") - F.col("_valued")).over(group)).alias("_shift"),
                       F.sum("_valued").over(group).alias(count)))
-    return (attach(stored, starts, [*by, "_slice"])
+    return (attach(cut, starts, [*by, "_slice"])
             .withColumn(rank, F.when(F.col(value).isNotNull(), F.col("_row") + F.col("_shift")))
             .drop("_slice", "_row", "_shift"))
 

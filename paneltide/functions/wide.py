@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paneltide.functions.lookup import BROADCAST_BYTES, BROADCAST_CONF, null_safe_join
-from paneltide.session import stored
+from paneltide.session import counted
 
 #: Columns above which a panel is wide, and columns whose moments are taken in one pass below it.
 WIDE = 24
@@ -64,10 +64,9 @@ def attach_arrays(df: DataFrame, table: DataFrame, on: Sequence[str], width: int
     and reads only its dates. A table that even ``MOST_SLICES`` do not make small is joined by a shuffle.
     """
     on, spark = list(on), df.sparkSession
-    kept = stored(table, "coefficients")
+    kept, rows = counted(table, "coefficients")
     limit = int(spark.conf.get(BROADCAST_CONF, str(BROADCAST_BYTES)))
     row_bytes = 64 + 64 * len(on) + 8 * width
-    rows = kept.count()
     if rows * row_bytes <= limit:
         return null_safe_join(df, F.broadcast(kept), on)
     if "date" not in on or rows * row_bytes > limit * MOST_SLICES:

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -50,17 +51,21 @@ def settle(df: DataFrame) -> DataFrame:
     """Run ``df`` once and keep the result in the shared folder.
 
     Everything downstream reads the stored rows, so two branches see the same
-    digits and a lost executor cannot change them.
+    digits and a lost executor cannot change them. They are Parquet, so readers
+    still take only the columns and row groups they need.
     """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return stored(df, "settled")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it from there.
-
-    Like ``settle``, but readers still take only the columns and row groups they need.
-    """
+    """Write ``df`` once as Parquet in the shared folder and read it from there."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """``stored`` and the number of rows, which is observed while they are written."""
+    seen = Observation()
+    out = stored(df.observe(seen, F.count(F.lit(1)).alias("rows")), name)
+    return out, int(seen.get["rows"])
