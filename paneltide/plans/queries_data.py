@@ -352,13 +352,15 @@ _ROLL = _windows_sql("w", f"DATE '{SPAN[0]}' + INTERVAL (3 * n) MONTH",
 _GROW = _windows_sql("e", f"DATE '{SPAN[0]}'", f"DATE '{SPAN[0]}' + INTERVAL (3 * n + 36) MONTH")
 
 
+def shipping_days(spark, folder):
+    """Stored calendar of the data's own span: from the first day of its first month to the last of its last."""
+    ends = P.table(spark, folder, "lineitem").agg(F.min("l_shipdate").alias("a"), F.max("l_shipdate").alias("b"))
+    return stored(ends.select(F.explode(F.array(F.trunc("a", "month"), F.last_day("b"))).alias("date")), "span")
+
+
 def _anchored(spark, folder, make, **options):
     """Windows over the span of the data's own shipping months."""
-    days = P.table(spark, folder, "lineitem").select(
-        F.min("l_shipdate").alias("first"), F.max("l_shipdate").alias("last")).agg(
-        F.date_format(F.trunc(F.min("first"), "month"), "yyyy-MM-dd").alias("a"),
-        F.date_format(F.last_day(F.max("last")), "yyyy-MM-dd").alias("b")).first()
-    return make(spark, days["a"], days["b"], **options)
+    return make(spark, shipping_days(spark, folder), **options)
 
 
 _BOUNDS = {
@@ -373,17 +375,6 @@ def _bounded(text: str) -> str:
             .replace(f"DATE '{SPAN[1]}'", "(SELECT b FROM bounds)"))
 
 
-@query("d1_rolling_windows", sql(_bounded(_ROLL), _BOUNDS))
-def _(spark, folder):
-    return _anchored(spark, folder, D.rolling_windows, **ROLLING)
-
-
-@query("d2_expanding_windows", sql(_bounded(_GROW), _BOUNDS))
-def _(spark, folder):
-    return _anchored(spark, folder, D.expanding_windows, min_train_years=3, valid_years=1,
-                     test_months=3, step_months=3)
-
-
 _SPLIT = {
     **_BOUNDS,
     "win": _bounded(_ROLL),
@@ -398,21 +389,49 @@ _SPLIT = {
            "FROM ins JOIN cut USING (window_id)",
     "wrows": "SELECT window_id, split, date, stock_id FROM spl JOIN panel USING (date) "
              "WHERE split IS NOT NULL",
+    "gin": "SELECT * FROM cal JOIN grow ON date BETWEEN train_start AND test_end",
+    "grow": _bounded(_GROW),
 }
 
 
+def _sized(win: str, ins: str) -> str:
+    """Windows with the days and rows of their splits, without an embargo."""
+    cells = ", ".join(f"coalesce(count(*) FILTER (WHERE s = '{s}'), 0) AS {s}_days, "
+                      f"CAST(coalesce(sum(n) FILTER (WHERE s = '{s}'), 0) AS BIGINT) AS {s}_rows"
+                      for s in ("train", "valid", "test"))
+    return (f"SELECT w.*, c.* EXCLUDE (window_id) FROM {win} w JOIN (SELECT window_id, {cells} FROM (SELECT *, CASE "
+            f"WHEN date <= train_end THEN 'train' WHEN date <= valid_end THEN 'valid' ELSE 'test' END AS s FROM {ins} "
+            "JOIN (SELECT date, count(*) AS n FROM panel GROUP BY date) USING (date)) GROUP BY window_id) c USING (window_id)")
+
+
+def _window_sizes(spark, folder, make, **options):
+    df = panel(spark, folder)
+    return D.window_sizes(_anchored(spark, folder, make, **options), df, A.calendar(df), 0)
+
+
+@query("d1_rolling_windows", sql(_sized("win", "ins"), _SPLIT))
+def _(spark, folder):
+    return _window_sizes(spark, folder, D.rolling_windows, **ROLLING)
+
+
+@query("d2_expanding_windows", sql(_sized("grow", "gin"), _SPLIT))
+def _(spark, folder):
+    return _window_sizes(spark, folder, D.expanding_windows, min_train_years=3, valid_years=1,
+                         test_months=3, step_months=3)
+
+
 def _window_rows(spark, folder):
     df = panel(spark, folder)
-    windows = settle(_anchored(spark, folder, D.rolling_windows, **ROLLING))
-    return D.windowed_rows(windows, df.select(*KEY, *FACTORS), df.select(*KEY, "close"), 1)
+    windows = _anchored(spark, folder, D.rolling_windows, **ROLLING)
+    return D.indexed_rows(windows, df.select(*KEY, *FACTORS), df.select(*KEY, "close"), 1)
 
 
 @query("d3_window_rows", sql("""
 SELECT window_id, split, count(*) AS n_rows, min(date) AS first_date, max(date) AS last_date
 FROM wrows GROUP BY window_id, split""", _SPLIT))
 def _(spark, folder):
-    return _window_rows(spark, folder).groupBy("window_id", "split").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.min("date").alias("first_date"),
+    return D.rows_by_window(_window_rows(spark, folder)).groupBy("window_id", "split").agg(
+        F.sum("n_rows").alias("n_rows"), F.min("date").alias("first_date"),
         F.max("date").alias("last_date"))
 
 

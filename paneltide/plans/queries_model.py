@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paneltide.operators import labels as C
@@ -10,9 +13,11 @@ from paneltide.operators import splits as D
 from paneltide.operators.preprocess import preprocess
 from paneltide.plans import panels as P
 from paneltide.plans.catalog import query, tidy
-from paneltide.plans.oracle import avg_rank, corr, rounded, sql
-from paneltide.plans.queries_data import _BOUNDS, _anchored
-from paneltide.session import scratch_path, settle
+from paneltide.plans.oracle import avg_rank, bucket, clip, corr, rounded, sql, zscore
+from paneltide.plans.queries_data import _BOUNDS, _anchored, shipping_days
+from paneltide.session import scratch_path, settle, stored
+from paneltide.sources.panel_store import calendar
+from paneltide.sources.signal_store import read_signals
 
 KEY = ["date", "stock_id"]
 FACTORS = P.FACTORS
@@ -29,94 +34,132 @@ def _prepared(spark, folder):
     return features, labels
 
 
-def _first_window(spark, folder, features, labels):
-    windows = settle(_anchored(spark, folder, D.rolling_windows, **YEARLY))
-    first = windows.agg(F.min("window_id")).first()[0]
-    return D.window_rows(windows, first, features, labels, 1)
+def _windowed(spark, folder, features, labels):
+    """Windows, stored labelled rows and the dates of the windows' splits."""
+    windows = _anchored(spark, folder, D.rolling_windows, **YEARLY)
+    rows = stored(features.join(labels, KEY), "labelled")
+    return windows, rows, stored(D.split_dates(windows, calendar(labels), 1), "dates")
 
 
-def _run(spark, folder, family, params, label="y_raw_1"):
-    rows = _first_window(spark, folder, *_prepared(spark, folder))
-    return E.run_window(rows, FACTORS, label, "y_raw_1", family, params)
+def _fits(spark, folder, names, label, family, params=None):
+    """The fits of all windows."""
+    return E.fit_windows(*_parts(spark, folder), names, label, "y_raw_1", family, params)
 
 
-@query("e1_fit_gbt")
-def _(spark, folder):
-    result = _run(spark, folder, "gbt", SMALL_GBT)
-    return result["predictions"]
+def _parts(spark, folder):
+    windows, rows, dates = _windowed(spark, folder, *_prepared(spark, folder))
+    return rows, windows, dates
 
 
-@query("e1_fit_forest")
-def _(spark, folder):
-    return _run(spark, folder, "forest", {"numTrees": 5, "maxDepth": 3})["predictions"]
+def _together(fits, table):
+    """The tables of all fits, with their window."""
+    return reduce(DataFrame.unionByName, [
+        table(result).withColumn("window_id", F.lit(window["window_id"])) for window, result in fits])
+
 
+# Linear models of all windows in closed form. ``pe`` has the standardized factors, ``le`` the rows
+# of the windows with the raw return and the bucket label.
+def _two(label: str) -> str:
+    """Least squares on factor_001 and factor_003 with an intercept, per window."""
+    x, z, y = "coalesce(factor_001, 0)", "coalesce(factor_003, 0)", label
+    c = "covar_pop({0}, {1})".format
+    det = f"({c(x, x)} * {c(z, z)} - {c(x, z)} * {c(x, z)})"
+    return (f"SELECT window_id, b1, b2, my - b1 * mx - b2 * mz AS b0 FROM (SELECT window_id, avg({x}) AS mx, avg({z}) AS mz, "
+            f"avg({y}) AS my, ({c(z, z)} * {c(x, y)} - {c(x, z)} * {c(z, y)}) / {det} AS b1, "
+            f"({c(x, x)} * {c(z, y)} - {c(x, z)} * {c(x, y)}) / {det} AS b2 FROM le WHERE split = 'train' "
+            f"AND {y} IS NOT NULL GROUP BY window_id)")
 
-# One-factor linear model on the first window: closed form in SQL.
-_LINEAR = {
+
+_USED = ("factor_001", "factor_003")
+_MODELS = {
     **_BOUNDS,
-    "lx": "SELECT date, stock_id, factor_001, lead(close, 1) OVER (PARTITION BY stock_id "
-          "ORDER BY date) / close - 1 AS y FROM panel",
-    "ld": "SELECT date, row_number() OVER (ORDER BY date) - 1 AS d FROM "
-          "(SELECT DISTINCT date FROM panel)",
-    "lc": "SELECT (SELECT max(d) FROM ld WHERE date < (SELECT a FROM bounds) + INTERVAL 2 YEAR) "
-          "AS t, (SELECT max(d) FROM ld WHERE date < (SELECT a FROM bounds) + INTERVAL 3 YEAR) "
-          "AS v",
-    "lt": "SELECT lx.*, CASE WHEN date < (SELECT a FROM bounds) + INTERVAL 2 YEAR AND d <= t - 1 "
-          "THEN 'train' WHEN date >= (SELECT a FROM bounds) + INTERVAL 2 YEAR AND "
-          "date < (SELECT a FROM bounds) + INTERVAL 3 YEAR AND d <= v - 1 THEN 'valid' "
-          "WHEN date >= (SELECT a FROM bounds) + INTERVAL 3 YEAR AND "
-          "date < (SELECT a FROM bounds) + INTERVAL 4 YEAR THEN 'test' END AS split "
-          "FROM lx JOIN ld USING (date), lc",
-    "lb": "SELECT regr_slope(y, factor_001) AS b, regr_intercept(y, factor_001) AS i FROM lt "
-          "WHERE split = 'train' AND y IS NOT NULL",
-    "lp": "SELECT lt.*, i + b * factor_001 AS p FROM lt, lb",
-    "lv": f"SELECT *, {avg_rank('p', 'date')} AS rs, {avg_rank('y', 'date')} AS rr FROM lp "
+    "ew": "SELECT printf('w%03d_%s', n, strftime(a + INTERVAL (12 * n + 36) MONTH, '%Y%m%d')) AS window_id, "
+          "CAST(a + INTERVAL (12 * n) MONTH AS DATE) AS train_start, CAST(a + INTERVAL (12 * n + 24) MONTH AS DATE) AS valid_start, "
+          "CAST(a + INTERVAL (12 * n + 36) MONTH AS DATE) AS test_start, "
+          "CAST(least(a + INTERVAL (12 * n + 48) MONTH - INTERVAL 1 DAY, b) AS DATE) AS test_end "
+          "FROM bounds, (SELECT unnest(generate_series(0, 40)) AS n) WHERE a + INTERVAL (12 * n + 36) MONTH <= b",
+    "ed": "SELECT date, row_number() OVER (ORDER BY date) - 1 AS d FROM (SELECT DISTINCT date FROM panel)",
+    "ei": "SELECT * FROM ed JOIN ew ON date BETWEEN train_start AND test_end",
+    "ec": "SELECT window_id, max(d) FILTER (WHERE date < valid_start) AS t, max(d) FILTER (WHERE date < test_start) AS v "
+          "FROM ei GROUP BY window_id",
+    "es": "SELECT * FROM (SELECT date, window_id, CASE WHEN date < valid_start AND d <= t - 1 THEN 'train' WHEN date >= valid_start "
+          "AND date < test_start AND d <= v - 1 THEN 'valid' WHEN date >= test_start THEN 'test' END AS split "
+          "FROM ei JOIN ec USING (window_id)) WHERE split IS NOT NULL",
+    "p1": "SELECT date, stock_id, " + ", ".join(f"{clip(c, 'date')} AS {c}" for c in _USED)
+          + ", lead(close, 1) OVER (PARTITION BY stock_id ORDER BY date) / close - 1 AS y FROM panel",
+    "p2": "SELECT * REPLACE (" + ", ".join(f"coalesce({c}, median({c}) OVER (PARTITION BY date)) AS {c}" for c in _USED) + ") FROM p1",
+    "pe": "SELECT * REPLACE (" + ", ".join(f"{zscore(c, 'date')} AS {c}" for c in _USED) + f"), {bucket('y', 'date', 5)} AS g FROM p2",
+    "le": "SELECT * FROM pe JOIN es USING (date)",
+    "lb": _two("y"), "lg": _two("g"),
+    "lp": "SELECT le.*, b0 + b1 * coalesce(factor_001, 0) + b2 * coalesce(factor_003, 0) AS p FROM le JOIN lb USING (window_id)",
+    "lv": f"SELECT *, {avg_rank('p', 'window_id, date')} AS rs, {avg_rank('y', 'window_id, date')} AS rr FROM lp "
           "WHERE split = 'valid' AND y IS NOT NULL",
-    "lm": f"SELECT date, {corr('p', 'y')} AS ic, {corr('rs', 'rr')} AS rank_ic FROM lv "
-          "GROUP BY date",
+    "lm": f"SELECT window_id, date, {corr('p', 'y')} AS ic, {corr('rs', 'rr')} AS rank_ic FROM lv GROUP BY window_id, date",
+    "lq": "SELECT window_id, avg(ic) AS ic_valid, avg(ic) / nullif(stddev_samp(ic), 0) AS icir_valid, avg(rank_ic) AS rankic_valid, "
+          "avg(rank_ic) / nullif(stddev_samp(rank_ic), 0) AS rankicir_valid FROM lm GROUP BY window_id",
 }
+USED = list(_USED)
 
 
-def _linear(spark, folder):
-    df = P.stored_months(spark, folder)
-    labels = settle(C.forward_return(df.select(*KEY, "close"), 1).drop("close"))
-    rows = _first_window(spark, folder, df.select(*KEY, "factor_001"), labels)
-    return rows, E.run_window(rows, ["factor_001"], "y_raw_1", None, "linear")
+def _coefficients(spark, fits):
+    rows = [(w["window_id"], float(r["model"].intercept), *map(float, r["model"].coefficients)) for w, r in fits]
+    return tidy(spark.createDataFrame(rows, "window_id string, intercept double, factor_001 double, factor_003 double"))
 
 
-@query("e3_linear_scores", sql(
-    "SELECT date, stock_id, round(p, 6) AS raw_score FROM lp WHERE split = 'test'", _LINEAR))
+def _named(table: str) -> str:
+    return (f"SELECT window_id, round(b0, 6) AS intercept, round(b1, 6) AS factor_001, round(b2, 6) AS factor_003 FROM {table}")
+
+
+@query("e1_fit_linear", sql(_named("lb"), _MODELS))
 def _(spark, folder):
-    return tidy(_linear(spark, folder)[1]["predictions"])
+    return _coefficients(spark, _fits(spark, folder, USED, "y_raw_1", "linear"))
 
 
-@query("e4_validation_metrics", sql(f"""
-SELECT {rounded('ic_valid', 'icir_valid', 'rankic_valid', 'rankicir_valid')} FROM
-(SELECT avg(ic) AS ic_valid, avg(ic) / nullif(stddev_samp(ic), 0) AS icir_valid,
-  avg(rank_ic) AS rankic_valid, avg(rank_ic) / nullif(stddev_samp(rank_ic), 0)
-  AS rankicir_valid FROM lm)""", _LINEAR))
+@query("e1_fit_gbt")
 def _(spark, folder):
-    rows, result = _linear(spark, folder)
-    scored = E.predict(result["model"], rows.filter("split = 'valid'"), ["factor_001"],
-                       (*KEY, "y_raw_1"))
-    return tidy(E.validation_metrics(settle(scored), "y_raw_1"))
+    return _together(_fits(spark, folder, FACTORS, "y_raw_1", "gbt", SMALL_GBT), lambda r: r["predictions"])
 
 
-@query("e2_fit_relevance")
+@query("e1_fit_forest")
 def _(spark, folder):
-    return _run(spark, folder, "gbt", SMALL_GBT, "y_group_1")["predictions"]
+    return _together(_fits(spark, folder, FACTORS, "y_raw_1", "forest", {"numTrees": 5, "maxDepth": 3}),
+                     lambda r: r["predictions"])
 
 
-@query("e5_feature_importance")
+@query("e2_fit_relevance", sql(_named("lg"), _MODELS))
 def _(spark, folder):
-    return _run(spark, folder, "gbt", SMALL_GBT)["importance"]
+    """Pointwise fit on the bucket label."""
+    return _coefficients(spark, _fits(spark, folder, USED, "y_group_1", "linear"))
+
+
+@query("e3_linear_scores", sql(
+    "SELECT window_id, date, stock_id, round(p, 6) AS raw_score FROM lp WHERE split = 'test'", _MODELS))
+def _(spark, folder):
+    return tidy(_together(_fits(spark, folder, USED, "y_raw_1", "linear"), lambda r: r["predictions"]))
+
+
+_METRICS = ("ic_valid", "icir_valid", "rankic_valid", "rankicir_valid")
+
+
+@query("e4_validation_metrics", sql(f"SELECT window_id, {rounded(*_METRICS)} FROM lq", _MODELS))
+def _(spark, folder):
+    fits = _fits(spark, folder, USED, "y_raw_1", "linear")
+    return tidy(spark.createDataFrame([(w["window_id"], *(r[m] for m in _METRICS)) for w, r in fits],
+                                      "window_id string, " + ", ".join(f"{m} double" for m in _METRICS)))
+
+
+@query("e5_feature_importance", sql("""
+SELECT window_id, 'factor_001' AS feature, round(abs(b1), 6) AS importance FROM lb
+UNION ALL SELECT window_id, 'factor_003', round(abs(b2), 6) FROM lb""", _MODELS))
+def _(spark, folder):
+    return tidy(_together(_fits(spark, folder, USED, "y_raw_1", "linear"), lambda r: r["importance"]))
 
 
 def _walk(spark, folder, mode):
+    """Per window and model: the logged metric and the stored signals, read back."""
     features, labels = _prepared(spark, folder)
-    span = P.table(spark, folder, "lineitem").agg(
-        F.date_format(F.trunc(F.min("l_shipdate"), "month"), "yyyy-MM-dd").alias("a"),
-        F.date_format(F.last_day(F.max("l_shipdate")), "yyyy-MM-dd").alias("b")).first()
+    # One row: the ends of the walk.
+    span = shipping_days(spark, folder).agg(F.min("date").cast("string"), F.max("date").cast("string")).first()
     spec = {"label_type": "raw_return", "horizon": 1, "model_version": "v01"}
     config = {
         "rolling": {**YEARLY, "embargo_days": 1},
@@ -127,38 +170,63 @@ def _walk(spark, folder, mode):
             {**spec, "model_family": "gbt", "objective_type": "ranking",
              "params": {"maxIter": 2, "maxDepth": 2}}],
     }
-    return E.walk_forward(features, labels, config,
-                          {"feature_version": "f01", "label_version": "l01"}, span["a"],
-                          span["b"], scratch_path(spark, "models"),
-                          scratch_path(spark, "signals"), FACTORS, mode)
-
-
-@query("e6_rolling_pipeline")
+    signals = scratch_path(spark, "signals")
+    log = E.walk_forward(features, labels, config, {"feature_version": "f01", "label_version": "l01"}, span[0], span[1],
+                         scratch_path(spark, "models"), signals, USED, mode)
+    read = read_signals(spark, signals).groupBy("window_id", "model_name").agg(
+        F.count(F.lit(1)).alias("n_signals"), F.min("date").alias("first_date"), F.max("date").alias("last_date"),
+        F.max("rankic_valid").alias("stored_rankic"))
+    linear = F.col("model_name").startswith("linear")
+    return tidy(log.join(read, ["window_id", "model_name"], "full").select(
+        "window_id", "model_name", "n_signals", "first_date", "last_date",
+        F.when(linear, F.col("rankic_valid")).alias("rankic_valid"),
+        (F.col("rankic_valid") == F.col("stored_rankic")).cast("int").alias("as_logged")))
+
+
+_NAMES = "(SELECT unnest(['linear_reg_raw_h1_v01', 'gbt_rank_raw_h1_v01']) AS model_name)"
+_READ = ("SELECT window_id, model_name, n_signals, first_date, last_date, CASE WHEN model_name LIKE 'linear%' THEN "
+         "round(rankic_valid, 6) END AS rankic_valid, CAST(1 AS INTEGER) AS as_logged FROM (SELECT window_id, count(*) AS n_signals, "
+         "min(date) AS first_date, max(date) AS last_date FROM le WHERE split = 'test' GROUP BY window_id) JOIN lq USING (window_id), "
+         + _NAMES)
+
+
+@query("e6_rolling_pipeline", sql(_READ, _MODELS))
 def _(spark, folder):
     return _walk(spark, folder, "rolling")
 
 
-@query("e6_expanding_pipeline")
+_GROWING = {**_MODELS, "ew": _MODELS["ew"].replace("'w%03d_%s'", "'e%03d_%s'").replace(
+    "CAST(a + INTERVAL (12 * n) MONTH AS DATE) AS train_start", "a AS train_start").replace(
+    "12 * n + 48", "12 * n + 60").replace("12 * n + 36", "12 * n + 48").replace("12 * n + 24", "12 * n + 36")}
+
+
+@query("e6_expanding_pipeline", sql(_READ, _GROWING))
 def _(spark, folder):
     return _walk(spark, folder, "expanding")
 
 
-@query("e7_checkpoint_reload")
+@query("e7_checkpoint_reload", sql("""
+SELECT window_id, count(*) AS n_rows, CAST(0 AS BIGINT) AS n_different FROM le WHERE split = 'test' GROUP BY window_id""", _MODELS))
 def _(spark, folder):
-    """Scores of a model and of its stored copy: one row, no difference."""
-    rows = _first_window(spark, folder, *_prepared(spark, folder))
-    result = E.run_window(rows, FACTORS, "y_raw_1", None, "gbt", SMALL_GBT)
-    root = scratch_path(spark, "model")
-    E.save_model(result, spark.range(1).select(F.lit("w000").alias("window_id")), root)
-    again = E.predict(E.load_model("gbt", root), rows.filter("split = 'test'"), FACTORS)
-    both = result["predictions"].withColumnRenamed("raw_score", "first").join(again, KEY)
-    return both.agg(F.count(F.lit(1)).alias("n_rows"),
-                    F.count_if(F.col("first") != F.col("raw_score")).alias("n_different"))
+    """Scores of the models and of their stored copies: no difference."""
+    rows, windows, dates = _parts(spark, folder)
+    out = []
+    for window, result in E.fit_windows(rows, windows, dates, FACTORS, "y_raw_1", None, "gbt", SMALL_GBT):
+        root = scratch_path(spark, "model")
+        E.save_model(result, spark.createDataFrame([(window["window_id"],)], "window_id string"), root)
+        test = E.rows_of(rows, window, dates).filter("split = 'test'")
+        both = result["predictions"].withColumnRenamed("raw_score", "first").join(
+            E.predict(E.load_model("gbt", root), test, FACTORS), KEY)
+        out.append(both.agg(F.lit(window["window_id"]).alias("window_id"), F.count(F.lit(1)).alias("n_rows"),
+                            F.count_if(F.col("first") != F.col("raw_score")).alias("n_different")))
+    return reduce(DataFrame.unionByName, out)
 
 
 @query("e8_parameter_search")
 def _(spark, folder):
-    rows = _first_window(spark, folder, *_prepared(spark, folder))
+    rows, windows, dates = _parts(spark, folder)
+    first = windows.orderBy("test_start").first()
     space = {"maxDepth": {"type": "int", "low": 2, "high": 4},
              "stepSize": {"type": "float", "low": 0.05, "high": 0.3, "log": True}}
-    return E.search(rows, FACTORS, "y_raw_1", space, None, "gbt", {"maxIter": 3}, trials=3)[1]
+    return E.search(E.rows_of(rows, first, dates), FACTORS, "y_raw_1", space, None, "gbt", {"maxIter": 3}, trials=4,
+                    halving=2)[1]
