@@ -199,7 +199,7 @@ def side_by_side(spark: SparkSession, tasks: Sequence[tuple[str, Callable]], par
         return task()
 
     with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
-        futures = [pool.submit(inheritable_thread_target(start), i, name, task) for i, (name, task) in enumerate(tasks)]
+        futures = [pool.submit(inheritable_thread_target(spark)(start), i, name, task) for i, (name, task) in enumerate(tasks)]
         done, waiting = wait(futures, return_when=FIRST_EXCEPTION)
         failed = [f for f in done if f.exception()]
         if failed:
@@ -224,7 +224,7 @@ def within(spark: SparkSession, name: str, task: Callable, deadline: float | Non
         return task()
 
     pool = ThreadPoolExecutor(max_workers=1)
-    future = pool.submit(inheritable_thread_target(start))
+    future = pool.submit(inheritable_thread_target(spark)(start))
     try:
         return future.result(timeout=max(0.0, deadline - time.monotonic()))
     except FutureTimeout:

@@ -140,3 +140,25 @@ def test_embargo_cuts_trading_days(spark):
         assert sum(r.valid_max < d <= w.valid_end for d in days) == 5
     with pytest.raises(ValueError):
         D.window_rows(windows, audit[0].window_id, feats.filter("date < '2012-01-01'"), labs, 5)
+
+
+def test_indexed_rows_are_not_repeated(spark):
+    """Counts by window from dates equal those of repeated rows; sizes of the windows agree."""
+    days = spark.sql("SELECT explode(sequence(date'2010-01-01', date'2014-12-31', interval 1 month)) AS date")
+    feats = days.selectExpr("date", "explode(sequence(1, 1 + month(date) % 3)) AS n").selectExpr(
+        "date", "CAST(n AS STRING) AS stock_id", "1.0D AS factor_001")
+    labs = feats.select("date", "stock_id", F.lit(0.5).alias("y"))
+    windows = D.rolling_windows(spark, days, None, 2, 1, 3, 3)
+    rows = D.indexed_rows(windows, feats, labs, 1)
+    assert rows.count() == rows.select("date", "stock_id").distinct().count()
+    repeated = D.windowed_rows(windows, feats, labs, 1)
+    want = {(r.window_id, r.split): r["count"] for r in repeated.groupBy("window_id", "split").count().collect()}
+    got = {(r.window_id, r.split): r.n for r in D.rows_by_window(rows).groupBy("window_id", "split").agg(
+        F.sum("n_rows").alias("n")).collect()}
+    assert got == want and len(got) > 9
+    key = lambda df: sorted(tuple(r) for r in df.collect())
+    assert key(D.split_audit(rows)) == key(D.split_audit(repeated))
+    sizes = {r.window_id: r for r in D.window_sizes(windows, rows, D.calendar(labs), 1).collect()}
+    assert all(sizes[w][f"{s}_rows"] == n for (w, s), n in want.items()) and all(r.train_days == 23 for r in sizes.values())
+    with pytest.raises(ValueError):
+        D.rolling_windows(spark, days.where("false"), None)

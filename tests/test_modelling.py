@@ -1,5 +1,7 @@
 """Fitting, scoring, storing and searching on walk-forward splits."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,3 +92,47 @@ def test_walk_forward_stores_models_and_signals(spark, panel):
     assert stored.count() == 24 * 30 and stored.select(*KEY).distinct().count() == 24 * 30
     meta = spark.read.parquet(f"{models}/linear_reg_raw_h1_v01/w000_20130101/meta").first()
     assert meta.ic_valid == rows[0].ic_valid
+
+
+SPACE = {"regParam": {"type": "float", "low": 1e-4, "high": 10.0, "log": True}}
+
+
+def test_search_minimizes_and_halves(rows):
+    best, trials = E.search(rows, NAMES, "y_raw_1", SPACE, None, "linear", trials=3, seed=1, direction="minimize")
+    low = trials.orderBy("rankic_valid", "trial_number").first()
+    assert float(low.p_regParam) == best["regParam"]
+    best, trials = E.search(rows, NAMES, "y_raw_1", SPACE, None, "linear", trials=4, seed=1, halving=2)
+    found = {r.trial_number: r for r in trials.collect()}
+    assert sorted(r.rung for r in found.values()) == [0, 0, 1, 2]
+    top = max(found.values(), key=lambda r: r.rung)
+    assert top.status == "complete" and float(top.p_regParam) == best["regParam"]
+    for wrong in ({"direction": "up"}, {"halving": 1}):
+        with pytest.raises(ValueError):
+            E.search(rows, NAMES, "y_raw_1", SPACE, trials=1, **wrong)
+
+
+def test_search_stops_at_its_timeout(rows, monkeypatch):
+    """A fit that never ends is cancelled; the table has all trials."""
+    def endless(*args):
+        while True:
+            rows.count()
+
+    monkeypatch.setattr(E, "fit", endless)
+    start = time.monotonic()
+    best, trials = E.search(rows, NAMES, "y_raw_1", SPACE, None, "linear", {"maxIter": 7}, trials=3, timeout=2.0)
+    assert time.monotonic() - start < 60
+    assert [r.status for r in trials.orderBy("trial_number").collect()] == ["timeout"] * 3
+    assert best == {"maxIter": 7}
+
+
+def test_side_by_side_keeps_order_and_raises(spark):
+    def slow(n):
+        return lambda: (time.sleep(.2 * (3 - n)), spark.range(n + 1).count())[1]
+
+    assert E.side_by_side(spark, [(str(n), slow(n)) for n in range(4)], 2) == [1, 2, 3, 4]
+
+    def broken():
+        raise KeyError("broken")
+
+    with pytest.raises(KeyError):
+        E.side_by_side(spark, [("a", broken), ("b", slow(0)), ("c", slow(1))], 2)

@@ -133,3 +133,33 @@ def test_missed_bracket_is_widened(spark, monkeypatch):
     finally:
         spark.conf.unset("paneltide.group.maxRows")
     assert np.allclose([out.v__q0, out.v__q1], np.quantile(np.arange(3000.0) ** 2, (0.5, 0.99)))
+
+
+def test_pair_ranks_match_pandas(spark, either_path):
+    """Both plans, with ties, nulls in either column, a null group and a group without pairs."""
+    import numpy as np
+    import pandas as pd
+
+    from paneltide.functions.order import pair_ranks
+
+    rng = np.random.default_rng(4)
+    rows = [(["a", "b", None][i % 3], f"s{i:03d}", float(rng.integers(0, 9)) if i % 7 else None,
+             float(rng.integers(0, 5)) if i % 5 else None) for i in range(150)] + [("c", "s0", 1.0, None), ("c", "s1", None, 2.0)]
+    df = spark.createDataFrame(rows, "g string, id string, x double, y double")
+    got = pair_ranks(df, ["g"], "x", "y", "id").toPandas().sort_values("id").reset_index(drop=True)
+    pdf = pd.DataFrame(rows, columns=["g", "id", "x", "y"]).sort_values(["id", "g"])
+    got = got.sort_values(["id", "g"]).reset_index(drop=True)
+    want = []
+    for _, part in pdf.groupby("g", dropna=False):
+        part = part.sort_values(["x", "id"])
+        part["all"] = np.where(part.x.notna(), part.x.notna().cumsum(), np.nan)
+        pairs = part.dropna(subset=["x", "y"])
+        part["rank"] = pd.Series(range(1, len(pairs) + 1), index=pairs.index, dtype=float)
+        part["r1"], part["r2"], part["n"] = pairs.x.rank(), pairs.y.rank(), len(pairs)
+        want.append(part)
+    want = pd.concat(want).sort_values(["id", "g"]).reset_index(drop=True)
+    assert got.id.tolist() == want.id.tolist()
+    for mine, theirs in (("_all", "all"), ("_rank", "rank"), ("_r1", "r1"), ("_r2", "r2")):
+        np.testing.assert_allclose(got[mine].astype(float), want[theirs].astype(float), equal_nan=True)
+    paired = got["_rank"].notna()
+    assert (got["_n"][paired] == want.n[paired]).all()
