@@ -31,6 +31,17 @@ def small_side(stored: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES)
     return F.broadcast(stored) if stored.count() * row_bytes <= limit else stored
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to differ from all columns."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def remainder(col: Column, divisor: int) -> Column:
     """crc32 of the id as text modulo ``divisor``; 0 for a null id."""
     return F.coalesce(F.crc32(col.cast("string").cast("binary")) % divisor, F.lit(0))

@@ -34,7 +34,8 @@ from paneltide.llm.registry import query, table
 LEXICON = (1 << 16) - 2
 #: Longer words are always spelled, which bounds the lexicon's bytes.
 LEXICON_WORD_BYTES = 64
-BLOCK_BYTES = 1 << 20
+#: Text whose bits a worker holds at once.
+BLOCK_BYTES = 1 << 18
 #: Bits of the first piece; a later one has at most as many as were counted before, over ``GROWTH``.
 FIRST_PIECE, GROWTH = 1 << 10, 4
 CHUNK_BITS = 14
@@ -88,19 +89,29 @@ def make_lexicon(counts: DataFrame) -> tuple[Lexicon, int, int]:
     return Lexicon(words, n, max(1, n_all - int(n.sum()))), n_all, int(total.v)
 
 
-def add_slices(sums: Iterator[tuple[int, bytes]]) -> Iterator[tuple[int, np.ndarray]]:
-    """Sums of the arrays of equal chunks; equal chunks come one after another."""
-    at, total = None, None
+def add_slices(sums: Iterator[tuple[int, bytes]]) -> Iterator[tuple[int, np.ndarray, np.ndarray | None]]:
+    """Sums of the arrays of equal chunks; equal chunks come one after another.
+
+    Slots of one shard hold uses and ones in halves of a number; over all shards they are summed
+    apart, each in 64 bits. Other numbers have no second part.
+    """
+    at, first, second = None, None, None
     for chunk, raw in sums:
-        own = np.frombuffer(raw, np.uint64 if chunk >= 0 else np.float64)
+        if chunk >= 0:
+            cell = np.frombuffer(raw, np.uint64)
+            one, two = cell >> np.uint64(32), cell & np.uint64(0xFFFFFFFF)
+        else:
+            one, two = np.frombuffer(raw, np.float64).copy(), None
         if chunk == at:
-            total += own
+            first += one
+            if two is not None:
+                second += two
         else:
             if at is not None:
-                yield at, total
-            at, total = chunk, own.copy()
+                yield at, first, second
+            at, first, second = chunk, one, two
     if at is not None:
-        yield at, total
+        yield at, first, second
 
 
 def train(texts: DataFrame, lexicon: Lexicon) -> tuple[list[np.ndarray], Mixer]:
@@ -159,10 +170,9 @@ def train(texts: DataFrame, lexicon: Lexicon) -> tuple[list[np.ndarray], Mixer]:
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
-        for chunk, total in add_slices(rows):
-            if chunk >= 0:
-                total = state((total >> np.uint64(32)).astype(np.float32),
-                              (total & np.uint64(0xFFFFFFFF)).astype(np.float32))
+        for chunk, total, ones in add_slices(rows):
+            if ones is not None:
+                total = state(total.astype(np.float64), ones.astype(np.float64)).astype(np.int16)
             yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([total.tobytes()], pa.binary())],
                                              names=["chunk", "sums"])
 

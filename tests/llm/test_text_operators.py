@@ -262,6 +262,14 @@ def test_line_dedup_links_lines_of_any_form(documents):
     assert gone == {1, 10, 12}
 
 
+def test_line_dedup_keeps_marks_and_clashing_names(documents):
+    """Vowel signs tell words apart; columns with the names used inside are passed on."""
+    rows = [(0, "यह कि है"), (1, "यह की है"), (2, "ที่นี่ดี"), (3, "ทีนีดี"), (4, "\u0301\u0301"), (5, "\u0301\u0301")]
+    docs = documents(rows).withColumnsRenamed({"id": "_id", "n": "_twin", "size": "_gone", "component": "_ID2"})
+    out = line_dedup.dedup_lines(docs, 0.9).collect()
+    assert sorted((r.doc_id, r.text) for r in out) == rows and {(r._id, r._twin, r._gone) for r in out} == {("x", "y", "z")}
+
+
 def test_simhash_is_the_majority_of_bits(spark, monkeypatch):
     """Both lane widths, against bits counted one by one."""
     from pyspark.sql import functions as F
@@ -359,6 +367,15 @@ def test_lm_scoring_baseline_and_gain(documents):
     assert sum(r.score for r in held) > 1.1 * sum(r.base_score for r in held)
 
 
+def test_lm_counts_beyond_32_bits():
+    """Sums over many shards, each within 32 bits."""
+    part = np.array([(3 << 30) << 32 | 2 << 30, 1 << 32], np.uint64)
+    (chunk, uses, ones), = lm_scoring.add_slices([(5, part.tobytes())] * 7)
+    assert chunk == 5 and uses.tolist() == [7 * (3 << 30), 7] and ones.tolist() == [7 * (2 << 30), 0]
+    (chunk, sums, none), = lm_scoring.add_slices([(-1, np.array([.5, 2.]).tobytes())] * 3)
+    assert chunk == -1 and sums.tolist() == [1.5, 6.] and none is None
+
+
 def test_lm_probabilities_sum_to_one():
     """Over all symbols of a code, whatever the weights say."""
     from paneltide.llm import mixing_model as m
