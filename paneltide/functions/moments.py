@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paneltide.functions.lookup import null_safe_join
 from paneltide.functions.order import quantile_arrays
 from paneltide.functions.wide import (WIDE, aggregates, attach_arrays, cell_aggregates, item, pack, per_cell,
                                        unpack)
@@ -122,10 +121,10 @@ def _co_moments(df: DataFrame, by: list[str], group: str, targets: list[str] | N
 
 
 def _regressions(moments: DataFrame, by: list[str], group: str, k: int) -> tuple[DataFrame, DataFrame]:
-    """Arrays of the slopes (by, _slopes), ``k`` per target, and levels (by, group, _levels).
+    """Arrays (by, _slopes) and (by, group, _levels), ``k`` + 1 numbers per target in either.
 
-    A target's residual is the target less its level less the slopes times the exposures; both are
-    null for a group of rows ``by`` that has no more usable rows than regressors.
+    The slopes of a target follow a 0; all are null for a ``by`` that has no more usable rows than
+    regressors. The levels are the group's means of the target and of the exposures.
     """
     # Regressing on group dummies equals regressing what is centred in each group, so the systems
     # are sums of the within-group co-moments.
@@ -140,17 +139,17 @@ def _regressions(moments: DataFrame, by: list[str], group: str, k: int) -> tuple
         F.expr(f"array({', '.join(matrix)})" if k else empty).alias("_m"),
         F.expr(f"array({', '.join(vector)})" if k else empty).alias("_v"))
     solved = F.when(F.expr(f"_rows > {k} + _groups"), solve_rows("_m", "_v") if k else F.expr(empty))
-    fits = stored(systems.select(*by, "t", solved.alias("_b")), "fits")
+    fits = systems.select(*by, "t", solved.alias("_b"))
 
     def in_order(value: Column) -> Column:
-        return F.transform(F.array_sort(F.collect_list(F.struct("t", value.alias("v")))), lambda x: x["v"])
+        cells = F.array_sort(F.collect_list(F.struct("t", value.alias("v"))))
+        return F.flatten(F.transform(cells, lambda x: x["v"]))
 
-    none = F.array_repeat(F.lit(None).cast("double"), k)
-    slopes = fits.groupBy(*by).agg(F.flatten(in_order(F.coalesce("_b", none))).alias("_slopes"))
-    less = "".join(f" - _b[{i}] * xs[{i}]" for i in range(k))
-    level = F.expr(f"CASE WHEN _b IS NOT NULL THEN (y{less}) / nullif(n, 0) END")
-    levels = (null_safe_join(moments, fits, [*by, "t"]).groupBy(*by, group).agg(in_order(level).alias("_levels")))
-    return slopes, levels
+    none = F.array_repeat(F.lit(None).cast("double"), k + 1)
+    fitted = F.when(F.col("_b").isNull(), none).otherwise(F.concat(F.array(F.lit(0.0)), "_b"))
+    slopes = fits.groupBy(*by).agg(in_order(fitted).alias("_slopes"))
+    means = F.array(*(F.expr(f"{c} / nullif(n, 0)") for c in ("y", *(f"xs[{i}]" for i in range(k)))))
+    return slopes, moments.groupBy(*by, group).agg(in_order(means).alias("_levels"))
 
 
 def ols_residual(df: DataFrame, by: Sequence[str], targets: Sequence[str],
@@ -172,9 +171,12 @@ def ols_residual(df: DataFrame, by: Sequence[str], targets: Sequence[str],
     k, ys = len(filled), list(masked.values())
     moments = stored(_co_moments(work, by, "_group", ys, filled), "moments")
     slopes, levels = _regressions(moments, by, "_group", k)
-    work = attach_arrays(attach_arrays(work, slopes, by, k * len(ys)), levels, [*by, "_group"], len(ys))
-    new = {names.get(y, y): F.expr(f"`{masked[y]}` - _levels[{t}]" + "".join(
-        f" - _slopes[{k * t + i}] * {x}" for i, x in enumerate(filled))) for t, y in enumerate(targets)}
+    w = k + 1
+    work = attach_arrays(attach_arrays(work, slopes, by, w * len(ys)), levels, [*by, "_group"], w * len(ys))
+    # What is centred in its group first leaves an exact 0 for a lone row.
+    new = {names.get(y, y): F.expr(f"`{masked[y]}` - _levels[{w * t}] + _slopes[{w * t}]" + "".join(
+        f" - _slopes[{w * t + i}] * ({x} - _levels[{w * t + i}])" for i, x in enumerate(filled, 1)))
+        for t, y in enumerate(targets)}
     return work.withColumns(new).drop("_group", "_usable", "_slopes", "_levels", *filled, *ys)
 
 
@@ -210,12 +212,13 @@ def residual_cells(df: DataFrame, by: Sequence[str], n: int, exposures: Sequence
     work, k = per_cell(work, lambda y: F.when(usable, finite(y))), len(filled)
     moments = stored(_co_moments(work, by, "_group", None, filled), "moments")
     slopes, levels = _regressions(moments, by, "_group", k)
-    work = attach_arrays(attach_arrays(work, slopes, by, k * n), levels, [*by, "_group"], n)
+    w = k + 1
+    work = attach_arrays(attach_arrays(work, slopes, by, w * n), levels, [*by, "_group"], w * n)
 
     def rest(y: Column, t: Column) -> Column:
-        out = y - F.get("_levels", t)
-        for i, x in enumerate(filled):
-            out = out - F.get("_slopes", k * t + i) * F.col(x)
+        out = y - F.get("_levels", w * t) + F.get("_slopes", w * t)
+        for i, x in enumerate(filled, 1):
+            out = out - F.get("_slopes", w * t + i) * (F.col(x) - F.get("_levels", w * t + i))
         return out
 
     return per_cell(work, rest).drop("_group", "_usable", "_slopes", "_levels", *filled)
