@@ -45,6 +45,22 @@ def daily_rank_ic(df: DataFrame, signal: str, ret: str, series: Sequence[str] =
     return both.groupBy(*by).agg(pearson("_rs", "_rr").alias("rank_ic"))
 
 
+def daily_results(df: DataFrame, signal: str, ret: str, n_groups: int | None = 5, series: Sequence[str] = ()) -> DataFrame:
+    """``ic``, ``rank_ic`` and, with ``n_groups``, ``long_short_ret`` per date, from one ranking pass.
+
+    A date without a complete pair has no row; one without both outer buckets has a null gain.
+    """
+    by = [*series, "date"]
+    pairs = settle(_pairs(df, signal, ret).select(*by, "stock_id", signal, ret))
+    ranked = pair_ranks(pairs, by, signal, ret, "stock_id")
+    gain = []
+    if n_groups:
+        ranked = ranked.withColumn("_bucket", bucket_of(n_groups, "_rank", "_n"))
+        top, low = (F.avg(F.when(F.col("_bucket") == b, F.col(ret))) for b in (n_groups - 1, 0))
+        gain = [(top - low).alias("long_short_ret")]
+    return ranked.groupBy(*by).agg(pearson(signal, ret).alias("ic"), pearson("_r1", "_r2").alias("rank_ic"), *gain)
+
+
 def ic_summary(daily: DataFrame, column: str = "ic", series: Sequence[str] = ()) -> DataFrame:
     """Mean, deviation, information ratio, t value and positive share over the dates."""
     mean, std, n = F.avg(column), F.stddev_samp(column), F.count(column)

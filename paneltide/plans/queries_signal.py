@@ -488,52 +488,56 @@ def _(spark, folder):
     return tidy(H.family_blend(processed(spark, folder)[0], "neutral_score", FAMILY_WEIGHTS))
 
 
-_TWO = list(P.MODELS)[:2]
 _PAST = (f"(ORDER BY date ROWS BETWEEN {2 + LOOKBACK} PRECEDING AND 3 PRECEDING)")
+_CROSS = [(f"m{i}{j}", f"x{i} * x{j}") for i in range(3) for j in range(i, 3)] + [(f"v{i}", f"x{i} * y") for i in range(3)]
+
+
+def _cramer(i: int) -> str:
+    """Coefficient i of the ridge on the three models."""
+    rows = [[f"(m{min(r, c)}{max(r, c)} + {int(r == c)})" for c in range(3)] for r in range(3)]
+    swapped = [[f"v{r}" if c == i else rows[r][c] for c in range(3)] for r in range(3)]
+
+    def det(m):
+        return "(" + " + ".join(f"{m[0][a]} * ({m[1][b]} * {m[2][c]} - {m[1][c]} * {m[2][b]})"
+                                for a, b, c in ((0, 1, 2), (1, 2, 0), (2, 0, 1))) + ")"
+    return f"{det(swapped)} / {det(rows)}"
+
+
 _STACK = {
-    "stw": "SELECT date, stock_id, max(neutral_score) FILTER (WHERE model_name = '{0}') AS x0, "
-           "max(neutral_score) FILTER (WHERE model_name = '{1}') AS x1 FROM processed "
-           "WHERE model_name IN ('{0}', '{1}') GROUP BY date, stock_id".format(*_TWO),
+    "stw": "SELECT date, stock_id, " + ", ".join(
+        f"max(neutral_score) FILTER (WHERE model_name = '{m}') AS x{i}" for i, m in enumerate(sorted(P.MODELS)))
+           + " FROM processed GROUP BY date, stock_id",
     "sty": "SELECT w.*, future_return_1d AS y FROM stw w LEFT JOIN future USING (date, stock_id)",
     "std_": "SELECT date, count(*) FILTER (WHERE ok) AS n, " + ", ".join(
-        f"coalesce(sum({a} * {b}) FILTER (WHERE ok), 0) AS {n}" for n, a, b in (
-            ("a", "x0", "x0"), ("b", "x0", "x1"), ("c", "x1", "x1"), ("u", "x0", "y"),
-            ("v", "x1", "y")))
-            + " FROM (SELECT *, x0 IS NOT NULL AND x1 IS NOT NULL AND y IS NOT NULL AS ok "
-              "FROM sty) GROUP BY date",
+        f"coalesce(sum({product}) FILTER (WHERE ok), 0) AS {name}" for name, product in _CROSS)
+            + " FROM (SELECT *, x0 + x1 + x2 + y IS NOT NULL AS ok FROM sty) GROUP BY date",
     "sts": "SELECT date, row_number() OVER (ORDER BY date) - 1 AS i, " + ", ".join(
-        f"coalesce(sum({c}) OVER {_PAST}, 0) AS {c}" for c in "nabcuv") + " FROM std_",
-    "str": "SELECT *, i > 2 AND n > 20 AS ready FROM sts",
-    "stf": "SELECT *, ready AND (i = (SELECT min(i) FROM str WHERE ready) OR i % 3 = 0) AS fit, "
-           "(a + 1) * (c + 1) - b * b AS det FROM str",
-    "stc": "SELECT date, last_value(CASE WHEN fit THEN (u * (c + 1) - v * b) / det END "
-           "IGNORE NULLS) OVER o AS b0, last_value(CASE WHEN fit THEN ((a + 1) * v - b * u) / det"
-           " END IGNORE NULLS) OVER o AS b1 FROM stf WINDOW o AS (ORDER BY date ROWS UNBOUNDED "
-           "PRECEDING)",
-    "stens": "SELECT date, stock_id, CASE WHEN b0 IS NULL THEN (coalesce(x0, 0) + coalesce(x1, 0))"
-             " / nullif(CAST(x0 IS NOT NULL AS INTEGER) + CAST(x1 IS NOT NULL AS INTEGER), 0) "
-             "ELSE coalesce(x0, 0) * b0 + coalesce(x1, 0) * b1 END AS ensemble_score "
-             "FROM sty JOIN stc USING (date)",
+        f"coalesce(sum({c}) OVER {_PAST}, 0) AS {c}" for c in ("n", *(name for name, _ in _CROSS))) + " FROM std_",
+    "str": "SELECT *, i > 2 AND n > 30 AS ready FROM sts",
+    "stf": f"SELECT *, ready AND (i = (SELECT min(i) FROM str WHERE ready) OR i % {REFIT} = 0) AS fit FROM str",
+    "stc": "SELECT date, " + ", ".join(f"last_value(CASE WHEN fit THEN {_cramer(i)} END IGNORE NULLS) OVER o AS b{i}" for i in range(3))
+           + " FROM stf WINDOW o AS (ORDER BY date ROWS UNBOUNDED PRECEDING)",
+    "stens": "SELECT date, stock_id, CASE WHEN b0 IS NULL THEN (" + " + ".join(f"coalesce(x{i}, 0)" for i in range(3))
+             + ") / nullif(" + " + ".join(f"CAST(x{i} IS NOT NULL AS INTEGER)" for i in range(3)) + ", 0) ELSE "
+             + " + ".join(f"coalesce(x{i}, 0) * b{i}" for i in range(3)) + " END AS ensemble_score FROM sty JOIN stc USING (date)",
 }
 
 
 @query("h7_stacking", sql(
     "SELECT date, stock_id, round(ensemble_score, 6) AS ensemble_score FROM stens", _STACK))
 def _(spark, folder):
-    table, returns = _ensemble_input(spark, folder)
-    two = table.filter(F.col("model_name").isin(_TWO))
-    return tidy(H.stacking(two, returns, 1, LOOKBACK, REFIT, 1.0))
+    return tidy(H.stacking(*_ensemble_input(spark, folder), 1, LOOKBACK, REFIT, 1.0))
 
 
-_METHODS = ["equal_rank", "equal_neutral", "icir_weighted", "rankicir_weighted", "family"]
 _COMPARE = {
-    **_RANK_ICIR, **_PLAIN_ICIR, **_FAMILY,
+    **_RANK_ICIR, **_PLAIN_ICIR, **_FAMILY, **_STACK,
     "mth": "SELECT 'equal_rank' AS method, date, stock_id, avg(rank_score) AS ensemble_score "
            "FROM processed GROUP BY date, stock_id UNION ALL SELECT 'equal_neutral', date, "
            "stock_id, avg(neutral_score) FROM processed GROUP BY date, stock_id UNION ALL SELECT "
            "'icir_weighted', date, stock_id, ensemble_score FROM paens UNION ALL SELECT "
            "'rankicir_weighted', date, stock_id, ensemble_score FROM raens UNION ALL SELECT "
-           "'family', date, stock_id, CAST(ensemble_score AS DOUBLE) FROM famens",
+           "'family', date, stock_id, CAST(ensemble_score AS DOUBLE) FROM famens UNION ALL SELECT "
+           "'stacking', date, stock_id, ensemble_score FROM stens",
     "mpr": "SELECT *, future_return_1d AS ret FROM mth JOIN future USING (date, stock_id) "
            "WHERE ensemble_score IS NOT NULL AND future_return_1d IS NOT NULL",
     # Scores equal in exact arithmetic may differ in the last digit of either engine.
@@ -556,16 +560,11 @@ JOIN (SELECT method, avg(long_short_ret) * 252 AS ls_ann_return FROM mls GROUP B
 USING (method)""", _COMPARE))
 def _(spark, folder):
     table, returns = _ensemble_input(spark, folder)
-    config = {"lookback_days": LOOKBACK, "min_history_days": MIN_HISTORY,
-              "family_weights": FAMILY_WEIGHTS}
-    scores = H.compare_methods(table, config, returns, 1, _METHODS)
-    both = settle(scores.withColumn("ensemble_score", F.round("ensemble_score", 9))
-                  .join(returns, KEY).withColumnRenamed("future_return_1d", "ret"))
-    keys = ["method"]
-    ic = G.daily_ic(both, "ensemble_score", "ret", keys).groupBy("method").agg(
-        F.avg("ic").alias("ic_mean"))
-    ranks = G.daily_rank_ic(both, "ensemble_score", "ret", keys).groupBy("method").agg(
-        F.avg("rank_ic").alias("rank_ic_mean"))
-    ls = G.long_short(G.bucket_returns(both, "ensemble_score", "ret", 5, keys), 5, keys)
-    gain = ls.groupBy("method").agg((F.avg("long_short_ret") * 252).alias("ls_ann_return"))
-    return tidy(ic.join(ranks, "method").join(gain, "method"))
+    config = {"lookback_days": LOOKBACK, "min_history_days": MIN_HISTORY, "family_weights": FAMILY_WEIGHTS,
+              "stacking": {"refit_freq_days": REFIT, "alpha": 1.0}}
+    scores = H.compare_methods(table, config, returns, 1)
+    both = (scores.withColumn("ensemble_score", F.round("ensemble_score", 9))
+            .join(returns, KEY).withColumnRenamed("future_return_1d", "ret"))
+    return tidy(G.daily_results(both, "ensemble_score", "ret", 5, ["method"]).groupBy("method").agg(
+        F.avg("ic").alias("ic_mean"), F.avg("rank_ic").alias("rank_ic_mean"),
+        (F.avg("long_short_ret") * 252).alias("ls_ann_return")))

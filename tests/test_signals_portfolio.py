@@ -149,6 +149,38 @@ def test_stacking_matches_a_loop(processed, returns):
     np.testing.assert_allclose(got.sort_index().to_numpy(), pd.concat(want).to_numpy(), atol=1e-12)
 
 
+def test_stacking_of_fifty_models(spark):
+    rng, k, n, days = np.random.default_rng(1), 50, 60, 16
+    dates = [dt.date(2020, 1, 1) + dt.timedelta(d) for d in range(days)]
+    x = rng.normal(size=(days, n, k))
+    y = x @ rng.normal(size=k) / k + rng.normal(size=(days, n))
+    pdf = pd.DataFrame([(d, str(s), f"m{m:02d}", float(x[i, s, m])) for i, d in enumerate(dates)
+                        for s in range(n) for m in range(k)], columns=[*KEY, "model_name", "neutral_score"])
+    returns = pd.DataFrame([(d, str(s), float(y[i, s])) for i, d in enumerate(dates) for s in range(n)],
+                           columns=[*KEY, "future_return_1d"])
+    got = H.stacking(spark.createDataFrame(pdf), spark.createDataFrame(returns), 1, 12, 2, 1.0).toPandas()
+    last = got[got.date == dates[-1]].set_index("stock_id").ensemble_score
+    i = 14  # the last date on which a fit is due; its window ends horizon + 2 dates before
+    a, b = x[max(0, i - 14):i - 2].reshape(-1, k), y[max(0, i - 14):i - 2].ravel()
+    coef = np.linalg.solve(a.T @ a + np.eye(k), a.T @ b)
+    np.testing.assert_allclose(last.loc[[str(s) for s in range(n)]], x[-1] @ coef, atol=1e-9)
+
+
+def test_compared_methods_equal_single_ones(processed, returns):
+    config = {"lookback_days": 12, "min_history_days": 6, "family_weights": {"gbt": 0.7},
+              "stacking": {"refit_freq_days": 4, "alpha": 1.0}}
+    holes = settle(processed.withColumn("neutral_score", F.when(F.crc32("stock_id") % 7 > 0, F.col("neutral_score"))))
+    got = H.compare_methods(holes, config, returns, 1).toPandas().set_index(["method", *KEY]).ensemble_score
+    assert set(got.index.get_level_values(0)) == set(H.METHODS)
+    for method in H.METHODS:
+        want = H.blend(holes, {**config, "method": method}, returns, 1)[0].toPandas().set_index(KEY).ensemble_score
+        pd.testing.assert_series_equal(got.loc[method].sort_index(), want.sort_index(), check_names=False)
+    with pytest.raises(ValueError):
+        H.compare_methods(holes, config, returns, 1, ["other"])
+    some = H.compare_methods(holes, config, returns.drop("future_return_1d"), 1, ["family"]).toPandas()
+    assert len(some) == len(got.loc["family"])
+
+
 def test_blend_errors_and_null_scores(spark, processed):
     with pytest.raises(ValueError):
         H.blend(processed, {"method": "other"})
