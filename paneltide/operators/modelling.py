@@ -329,7 +329,8 @@ def walk_forward(features: DataFrame, labels: DataFrame, config: dict, versions:
     """Train every spec on every window, store models and signals, return the log.
 
     The labelled rows are stored once. Fits run side by side (``parallel`` in the config, 4 by
-    default), searched parameters come from the first window, and all signals are written together.
+    default), searched parameters come from the first window, and all signals are written together,
+    rounded to ``score_digits`` if the config has it.
     """
     spark, seed = features.sparkSession, config.get("seed", 42)
     makers = {"rolling": rolling_windows, "expanding": expanding_windows}
@@ -368,7 +369,10 @@ def walk_forward(features: DataFrame, labels: DataFrame, config: dict, versions:
                 "params": str(params or {})}
         metadata = spark.createDataFrame([meta], schema=_META_SCHEMA)
         save_model(result, metadata, f"{models_root}/{name}/{window['window_id']}")
-        signals = stored(signal_frame(result["predictions"], metadata), "signals")
+        scores = result["predictions"]
+        if config.get("score_digits") is not None:
+            scores = scores.withColumn("raw_score", F.round("raw_score", config["score_digits"]))
+        signals = stored(signal_frame(scores, metadata), "signals")
         return signals, (window["window_id"], name, result["best_iteration"], result["ic_valid"],
                          result["rankic_valid"], result["icir_valid"])
 

@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from paneltide.operators import labels as C
 from paneltide.operators import modelling as E
+from paneltide.operators import research as R
 from paneltide.operators import splits as D
 from paneltide.operators.preprocess import preprocess
 from paneltide.plans import panels as P
 from paneltide.plans.catalog import query, tidy
 from paneltide.plans.oracle import avg_rank, bucket, clip, corr, rounded, sql, zscore
 from paneltide.plans.queries_data import _BOUNDS, _anchored, shipping_days
+from paneltide.plans.queries_signal import _EVALUATION, _K, _MEASURES, _SERIES
 from paneltide.session import scratch_path, settle, stored
 from paneltide.sources.panel_store import calendar
 from paneltide.sources.signal_store import read_signals
@@ -230,3 +232,65 @@ def _(spark, folder):
              "stepSize": {"type": "float", "low": 0.05, "high": 0.3, "log": True}}
     return E.search(E.rows_of(rows, first, dates), FACTORS, "y_raw_1", space, None, "gbt", {"maxIter": 3}, trials=4,
                     halving=2)[1]
+
+
+# The chain on fitted scores: two linear models that differ in objective, label and horizon.
+_CHAIN = {
+    **_MODELS, **_EVALUATION,
+    "es": _MODELS["es"].replace("d <= t - 1", "d <= t - 5").replace("d <= v - 1", "d <= v - 5"),
+    "p1": _MODELS["p1"].replace(" AS y FROM", " AS y, lead(close, 5) OVER (PARTITION BY stock_id ORDER BY date) / close - 1 AS y5 FROM"),
+    "pe": _MODELS["pe"].replace(bucket("y", "date", 5), bucket("y5", "date", 5)),
+    "signals": " UNION ALL ".join(
+        f"SELECT date, stock_id, 'linear' AS model_family, '{name}' AS model_name, round(b0 + b1 * coalesce(factor_001, 0) + b2 * "
+        f"coalesce(factor_003, 0), 9) AS raw_score, 'v01' AS model_version, '{label}' AS label_type, {horizon} AS horizon, "
+        f"'{objective}' AS objective_type FROM le JOIN {fit} USING (window_id) WHERE split = 'test'"
+        for name, objective, label, horizon, fit in (
+            ("linear_reg_raw_h1_v01", "regression", "raw_return", 1, "lb"),
+            ("linear_rank_indneu_h5_v01", "ranking", "industry_neutral_return", 5, "lg"))),
+    "ahead": "SELECT date, stock_id, lead(close, 1) OVER o / close - 1 AS r1, lead(close, 5) OVER o / close - 1 AS r5 "
+             "FROM panel WINDOW o AS (PARTITION BY stock_id ORDER BY date)",
+    "stk": _EVALUATION["stk"].replace("future_return_1d AS ret", "CASE horizon WHEN 1 THEN r1 ELSE r5 END AS ret")
+                             .replace("JOIN future", "JOIN ahead"),
+}
+
+
+def _chain(spark, folder) -> dict[str, str]:
+    df = P.stored_months(spark, folder)
+    features = settle(preprocess(df, FACTORS, {}, float32=False).select(*KEY, *FACTORS))
+    raw = C.forward_return(C.forward_return(df.select(*KEY, "industry", "close"), 1), 5)
+    labels = C.rank_labels(C.industry_neutral_return(raw, 5), 5, kinds=("group",))
+    labels = settle(labels.select(*KEY, "y_raw_1", "y_group_5", "y_ind_neutral_5"))
+    returns = settle(C.forward_returns(df.select(*KEY, "close"), [1, 5]).drop("close"))
+    # One row: the ends of the walk.
+    span = shipping_days(spark, folder).agg(F.min("date").cast("string"), F.max("date").cast("string")).first()
+    spec = {"model_family": "linear", "model_version": "v01"}
+    config = {
+        "rolling": {**YEARLY, "embargo_days": 5}, "score_digits": 9,
+        "model_specs": [
+            {**spec, "objective_type": "regression", "label_type": "raw_return", "horizon": 1},
+            {**spec, "objective_type": "ranking", "label_type": "industry_neutral_return", "horizon": 5}],
+        "ensemble": [{"method": "equal_neutral"}],
+    }
+    return R.run_research(features, labels, returns, df.select(*KEY, "industry", *P.STYLES), config,
+                          {"feature_version": "f01", "label_version": "l01"}, span[0], span[1],
+                          scratch_path(spark, "research"), USED)
+
+
+@query("p1_pipeline_summary", sql(f"""
+SELECT {_SERIES}, model_family, objective_type, label_type, horizon, {rounded(*_MEASURES)} FROM ev_sum""", _CHAIN))
+def _(spark, folder):
+    """The summary of the report, read back from its CSV."""
+    paths = _chain(spark, folder)
+    schema = spark.read.parquet(paths["model_summary"]).schema
+    return tidy(spark.read.csv(paths["model_summary_csv"], header=True, schema=schema))
+
+
+@query("p1_pipeline_daily", sql(f"SELECT {_K}, {rounded('ic', 'rank_ic')} FROM ev_ic", _CHAIN))
+def _(spark, folder):
+    return tidy(spark.read.parquet(_chain(spark, folder)["ic_timeseries"]))
+
+
+@query("p1_pipeline_ensemble", sql("""
+SELECT date, stock_id, round(avg(neutral_score), 6) AS ensemble_score FROM processed GROUP BY date, stock_id""", _CHAIN))
+def _(spark, folder):
+    return tidy(spark.read.parquet(_chain(spark, folder)["ensemble_equal_neutral"]))
