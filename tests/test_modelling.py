@@ -1,5 +1,6 @@
 """Fitting, scoring, storing and searching on walk-forward splits."""
 
+import os
 import time
 
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from paneltide.operators import labels as C
 from paneltide.operators import modelling as E
+from paneltide.operators.research import run_research
 from paneltide.session import scratch_path, settle
 from paneltide.sources.signal_store import read_signals
 
@@ -94,6 +96,38 @@ def test_walk_forward_stores_models_and_signals(spark, panel):
     assert meta.ic_valid == rows[0].ic_valid
 
 
+def test_research_report_reads_back_in_both_formats(spark, panel):
+    order = panel.select("date").distinct().selectExpr("date", "row_number() OVER (ORDER BY date) AS n")
+    month = order.select("date", F.expr("add_months(date'2010-01-01', n - 1)").alias("m"))
+    df = settle(panel.join(month, "date").drop("date").withColumnRenamed("m", "date"))
+    labels = settle(C.rank_labels(C.forward_return(C.forward_return(df.select(*KEY, "close"), 1), 5), 5, kinds=("group",))
+                    .select(*KEY, "y_raw_1", "y_raw_5", "y_group_5"))
+    returns = settle(C.forward_returns(df.select(*KEY, "close"), [1, 5]).drop("close"))
+    spec = {"model_family": "linear", "label_type": "raw_return", "model_version": "v01"}
+    config = {"rolling": {"train_years": 2, "valid_years": 1, "test_months": 12, "step_months": 12, "embargo_days": 5},
+              "model_specs": [{**spec, "objective_type": "regression", "horizon": 1},
+                              {**spec, "objective_type": "ranking", "horizon": 5}],
+              "ensemble": [{"method": "equal_rank"}, {"method": "icir_weighted", "horizon": 1, "lookback_days": 6}]}
+    paths = run_research(settle(df.select(*KEY, *NAMES)), labels, returns, df.select(*KEY, "industry", "beta"), config,
+                         {"feature_version": "f01", "label_version": "l01"}, "2010-01-01", "2014-12-31",
+                         scratch_path(spark, "research"), NAMES)
+    read = {name: spark.read.parquet(path) for name, path in paths.items() if not name.endswith("_csv")}
+    assert {"ic_timeseries", "group_return", "long_short_return", "turnover", "yearly", "exposure_report", "model_summary",
+            "train_log", "ensemble_equal_rank", "ensemble_icir_weighted", "weights_icir_weighted"} <= set(read)
+    for name, path in paths.items():
+        if name.endswith("_csv"):
+            table = read[name.removesuffix("_csv")]
+            again = spark.read.csv(path, header=True, schema=table.schema)
+            assert again.count() == table.count() and again.exceptAll(table).isEmpty()
+            assert len([f for f in os.listdir(path.removeprefix("file:")) if f.endswith(".csv")]) == 1
+    assert {r.level for r in read["compare_horizon"].collect()} == {"1", "5"}
+    assert read["train_log"].count() == 4 and read["model_summary"].count() == 8
+    # The scores in the report are those of the fitted models: the factor that drives the return leads.
+    best = {r.horizon: r.rank_ic_mean for r in read["model_summary"].where("score_col = 'raw_score'").collect()}
+    assert best[1] > 0.3
+    assert read["ensemble_equal_rank"].count() == read["signals"].select(*KEY).distinct().count()
+
+
 SPACE = {"regParam": {"type": "float", "low": 1e-4, "high": 10.0, "log": True}}
 
 
