@@ -22,6 +22,8 @@ GROUP_CONF = "paneltide.group.maxRows"
 GROUP_ROWS = 1_000_000
 SKETCH_ACCURACY = 10_000
 CELLS_PER_PASS = 2_000_000
+#: Rows of a block whose shifts one task takes.
+SHIFT_ROWS = 200_000
 #: Columns whose quantiles are taken in one pass, at most.
 MOST_COLUMNS = 200
 
@@ -171,8 +173,10 @@ def shift_rows(df: DataFrame, by: Sequence[str], order: str, column: str,
     """Add ``column`` of the row some places later (negative: earlier) in its group.
 
     ``order`` is unique in a group; a row without it has no place, gets null and
-    is not counted. Small groups use a window; in large ones rows are numbered by
-    a range sort and matched by number.
+    is not counted. Small groups use a window. Large ones are numbered by a range
+    sort and cut into blocks of ``SHIFT_ROWS`` rows; a block is also given the first
+    rows of the next one and the last of the one before, as many as the offsets
+    reach, so that one sort serves all offsets and no row is joined to another.
     """
     by = list(by)
     if groups_are_small(df, by):
@@ -180,13 +184,19 @@ def shift_rows(df: DataFrame, by: Sequence[str], order: str, column: str,
         window = Window.partitionBy(*by, placed).orderBy(order)
         return df.withColumns({name: F.when(placed, F.lead(column, n).over(window))
                                for name, n in offsets.items()})
-    numbered = settle(_spread_rank(df, by, order, by[0], "_rank", "_count"))
-    out = numbered
-    for name, n in offsets.items():
-        other = numbered.select(*by, (F.col("_rank") - n).alias("_rank"),
-                                F.col(column).alias(name))
-        out = null_safe_join(out, other.where("_rank IS NOT NULL"), [*by, "_rank"])
-    return out.select(*df.columns, *offsets)
+    numbered = _spread_rank(df, by, order, by[0], "_rank", "_count").drop("_count")
+    ahead, behind = max([0, *offsets.values()]), max([0, *(-n for n in offsets.values())])
+    width = max(SHIFT_ROWS, ahead, behind)
+    at, block = (F.col("_rank") - 1) % width, F.floor((F.col("_rank") - 1) / width).cast("long")
+    # Rows without a place stay where they are, in blocks of their own.
+    home = F.coalesce(block, -1 - F.spark_partition_id().cast("long"))
+    dealt = (numbered.withColumn("_home", home)
+             .withColumn("_block", F.explode(F.array_compact(F.array(
+                 F.col("_home"), F.when(at < ahead, block - 1), F.when(at >= width - behind, block + 1))))))
+    window = Window.partitionBy(*by, "_block").orderBy("_rank")
+    placed = F.col("_rank").isNotNull()
+    moved = dealt.withColumns({n: F.when(placed, F.lead(column, k).over(window)) for n, k in offsets.items()})
+    return moved.where("_block = _home").select(*df.columns, *offsets)
 
 
 def percentile_of(average: str = "_avg_rank", count: str = "_count") -> Column:

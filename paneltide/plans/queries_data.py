@@ -121,33 +121,45 @@ _DAMAGED = {"damaged": """
 SELECT date, stock_id, CASE WHEN month(date) = 1 THEN 'other' ELSE model_family END
   AS model_family, model_name, CASE WHEN stock_id LIKE '%7' THEN '' ELSE model_version END
   AS model_version, CASE WHEN stock_id LIKE '%3' THEN 7 ELSE horizon END AS horizon,
-  label_type, objective_type FROM signals
+  label_type, CASE WHEN month(date) = 2 THEN NULL WHEN stock_id LIKE '%9' THEN 'survival'
+  ELSE objective_type END AS objective_type,
+  CASE WHEN month(date) = 3 THEN NULL ELSE feature_version END AS feature_version,
+  CASE WHEN stock_id LIKE '%1' AND month(date) > 6 THEN '' ELSE label_version END AS label_version
+FROM versioned
 UNION ALL SELECT date, stock_id, model_family, model_name, model_version, horizon,
-  NULL, objective_type FROM signals WHERE month(date) = 5 AND stock_id NOT LIKE '%7'"""}
-
-
-@query("a8_signal_contract", sql("""
-SELECT 'empty_model_version' AS rule, count(*) FILTER (WHERE model_version IS NULL OR
-  model_version = '') AS n_bad FROM damaged
-UNION ALL SELECT 'empty_feature_version', 0 UNION ALL SELECT 'empty_label_version', 0
-UNION ALL SELECT 'bad_model_family', count(*) FILTER (WHERE model_family NOT IN
-  ('lightgbm', 'xgboost', 'catboost')) FROM damaged
-UNION ALL SELECT 'bad_objective_type', 0
-UNION ALL SELECT 'bad_label_type', count(*) FILTER (WHERE label_type IS NULL) FROM damaged
-UNION ALL SELECT 'bad_horizon', count(*) FILTER (WHERE horizon NOT IN (1, 5, 10, 20))
-  FROM damaged
-UNION ALL SELECT 'duplicate_key', CAST(coalesce(sum(n - 1), 0) AS BIGINT) FROM
-  (SELECT count(*) AS n FROM damaged GROUP BY date, stock_id, model_name, model_version)""",
-                             _DAMAGED))
+  NULL, objective_type, feature_version, label_version FROM versioned
+  WHERE month(date) = 5 AND stock_id NOT LIKE '%7'""",
+            "versioned": "SELECT *, 'f01' AS feature_version, 'l01' AS label_version FROM signals"}
+
+
+def _empty_count(column: str) -> str:
+    return f"SELECT 'empty_{column}' AS rule, count(*) FILTER (WHERE coalesce({column}, '') = '') AS n_bad FROM damaged"
+
+
+def _outside_count(column: str, allowed: list) -> str:
+    names = ", ".join(repr(a) for a in allowed)
+    return (f"SELECT 'bad_{column}', count(*) FILTER (WHERE {column} IS NULL OR {column} NOT IN ({names})) "
+            "FROM damaged")
+
+
+@query("a8_signal_contract", sql(" UNION ALL ".join([
+    *(_empty_count(c) for c in S.VERSIONS), _outside_count("model_family", S.FAMILIES),
+    _outside_count("objective_type", S.OBJECTIVES), _outside_count("label_type", S.LABEL_TYPES),
+    _outside_count("horizon", S.HORIZONS),
+    """SELECT 'duplicate_key', CAST(coalesce(sum(n - 1), 0) AS BIGINT) FROM
+  (SELECT count(*) AS n FROM damaged GROUP BY date, stock_id, model_name, model_version)"""]), _DAMAGED))
 def _(spark, folder):
     good = settle(_store_rows(spark, folder))
+    month, stock = F.month("date"), F.col("stock_id")
     bad = good.withColumns({
-        "model_family": F.when(F.month("date") == 1, "other").otherwise(F.col("model_family")),
-        "model_version": F.when(F.col("stock_id").like("%7"), "").otherwise(
-            F.col("model_version")),
-        "horizon": F.when(F.col("stock_id").like("%3"), 7).otherwise(F.col("horizon"))})
-    again = good.filter((F.month("date") == 5) & ~F.col("stock_id").like("%7")).withColumn(
-        "label_type", F.lit(None).cast("string"))
+        "model_family": F.when(month == 1, "other").otherwise(F.col("model_family")),
+        "model_version": F.when(stock.like("%7"), "").otherwise(F.col("model_version")),
+        "horizon": F.when(stock.like("%3"), 7).otherwise(F.col("horizon")),
+        "objective_type": F.when(month == 2, F.lit(None)).when(stock.like("%9"), "survival")
+        .otherwise(F.col("objective_type")),
+        "feature_version": F.when(month != 3, F.col("feature_version")),
+        "label_version": F.when(stock.like("%1") & (month > 6), "").otherwise(F.col("label_version"))})
+    again = good.filter((month == 5) & ~stock.like("%7")).withColumn("label_type", F.lit(None).cast("string"))
     return S.contract_violations(bad.unionByName(again))
 
 

@@ -115,18 +115,18 @@ def keep_last(batches: Sequence[DataFrame], date_col: str = "date",
 
 
 def write_by_year(df: DataFrame, root: str, overwrite: bool = False, date_col: str = "date",
-                  also_by: Sequence[str] = ()) -> None:
+                  also_by: Sequence[str] = (), settled: bool = False) -> None:
     """Write under ``year=``; touched years are replaced, or merged with what is there.
 
     On a merge the new row wins over a stored row with the same key. Untouched
     years are neither read nor written. A row without a date has no year to be
-    merged into and is refused.
+    merged into and is refused. ``settled`` says that ``df`` is a stored table already.
     """
     spark = df.sparkSession
     parts = [*also_by, "year"]
     fresh = df.withColumn("year", F.year(date_col))
     if not overwrite:
-        fresh = settle(fresh)
+        fresh = fresh if settled else settle(fresh)
         years = [r[0] for r in fresh.select("year").distinct().collect()]  # calendar years
         if None in years:
             raise ValueError(f"rows without {date_col} cannot be merged")

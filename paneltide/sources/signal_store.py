@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from paneltide.session import settle
+from paneltide.session import stored
 from paneltide.sources.panel_store import scan_panel, write_by_year
 
 # Fields of the signal table and the allowed names.
@@ -45,34 +45,54 @@ def signal_frame(predictions: DataFrame, metadata: DataFrame) -> DataFrame:
     return rows.select(*(F.col(c).cast(t).alias(c) for c, t in SIGNAL_FIELDS.items()))
 
 
-def contract_violations(df: DataFrame) -> DataFrame:
-    """Rows breaking each rule of the signal table: (rule, n_bad)."""
+def _row_rules(df: DataFrame) -> dict[str, Column]:
+    """The rules a row can break by itself, as conditions that hold for bad rows."""
     absent = [c for c in SIGNAL_FIELDS if c not in df.columns]
     if absent:
         raise ValueError(f"signal frame lacks columns: {absent}")
     allowed = {"model_family": FAMILIES, "objective_type": OBJECTIVES, "label_type": LABEL_TYPES,
                "horizon": HORIZONS}
     rules = {f"empty_{c}": F.col(c).isNull() | (F.col(c) == "") for c in VERSIONS}
-    rules |= {f"bad_{c}": ~F.coalesce(F.col(c).isin(v), F.lit(False)) for c, v in allowed.items()}
-    counts = df.agg(*(F.count_if(bad).alias(rule) for rule, bad in rules.items()))
-    rows = counts.unpivot([], list(rules), "rule", "n_bad")
-    repeated = df.groupBy(*SIGNAL_KEY).count().agg(
-        F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("n_bad"))
-    return rows.unionByName(repeated.select(F.lit("duplicate_key").alias("rule"), "n_bad"))
+    return rules | {f"bad_{c}": ~F.coalesce(F.col(c).isin(v), F.lit(False)) for c, v in allowed.items()}
 
 
-def check_contract(df: DataFrame) -> None:
-    broken = contract_violations(df).filter("n_bad > 0").collect()  # at most eight rows
+def contract_violations(df: DataFrame) -> DataFrame:
+    """Rows breaking each rule of the signal table: (rule, n_bad).
+
+    One scan: bad rows are counted per key, partly before the shuffle, then summed.
+    """
+    rules = _row_rules(df)
+    by_key = df.groupBy(*SIGNAL_KEY).agg(
+        *(F.count_if(bad).alias(rule) for rule, bad in rules.items()),
+        (F.count(F.lit(1)) - 1).alias("duplicate_key"))
+    names = [*rules, "duplicate_key"]
+    totals = by_key.agg(*(F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in names))
+    return totals.unpivot([], names, "rule", "n_bad")
+
+
+def _refuse(counts: dict[str, int]) -> None:
+    broken = [f"{rule}={n}" for rule, n in counts.items() if n]
     if broken:
-        raise ValueError("signal contract broken: "
-                         + ", ".join(f"{r['rule']}={r['n_bad']}" for r in broken))
+        raise ValueError("signal contract broken: " + ", ".join(broken))
+
+
+def check_contract(df: DataFrame) -> None:
+    _refuse({r["rule"]: r["n_bad"] for r in contract_violations(df).collect()})  # eight rows
 
 
 def write_signals(df: DataFrame, root: str) -> None:
-    """Check, then merge into the store by model and year."""
-    df = settle(df)
-    check_contract(df)
-    write_by_year(df, root, also_by=["model_name"])
+    """Merge into the store by model and year, if no row breaks the contract.
+
+    The batch is written once, to a staged table; what its rows break is counted on the way. Repeated
+    keys are counted from the key columns of the staged table, which is then what is merged. A batch
+    that breaks a rule leaves the store as it was.
+    """
+    rules, seen = _row_rules(df), Observation()
+    staged = stored(df.observe(seen, *(F.count_if(bad).alias(rule) for rule, bad in rules.items())), "staged")
+    _refuse({rule: seen.get[rule] for rule in rules})
+    repeated = staged.groupBy(*SIGNAL_KEY).count().where("count > 1").agg(F.sum(F.col("count") - 1)).first()[0]
+    _refuse({"duplicate_key": repeated or 0})
+    write_by_year(staged, root, also_by=["model_name"], settled=True)
 
 
 def read_signals(spark: SparkSession, root: str, model_name: str | None = None,

@@ -89,6 +89,30 @@ def test_shifted_rows_match_pandas(skewed, either_path):
         assert (out[name] - shifted).abs().max() == 0
 
 
+@pytest.mark.parametrize("block", [1, 3, 7, 1000])
+def test_shifts_cross_the_edges_of_blocks(spark, monkeypatch, block):
+    """Blocks shorter than an offset, rows without a place and repeated rows; no self-join."""
+    monkeypatch.setattr(order, "SHIFT_ROWS", block)
+    spark.conf.set("paneltide.group.maxRows", "0")
+    try:
+        rows = [(g, i if i % 5 else None, float(i)) for g, n in (("a", 41), ("b", 2), (None, 9)) for i in range(n)]
+        df = spark.createDataFrame(rows + [("a", None, 0.0)] * 2, "g string, place int, v double")
+        out = shift_rows(df, ["g"], "place", "v", {"far": 4, "next": 1, "same": 0, "before": -3})
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert out.columns == ["g", "place", "v", "far", "next", "same", "before"]
+        assert plan.count("Join") <= 1 and plan.count("Window [") == 1  # the join gives slices their offset
+        got = out.collect()
+    finally:
+        spark.conf.unset("paneltide.group.maxRows")
+    assert len(got) == len(rows) + 2
+    for g in ("a", "b", None):
+        line = [v for h, place, v in rows if h == g and place is not None]
+        for r in (r for r in got if r.g == g):
+            for name, n in (("far", 4), ("next", 1), ("same", 0), ("before", -3)):
+                to = line.index(r.v) + n if r.place is not None else -1
+                assert r[name] == (line[to] if 0 <= to < len(line) else None)
+
+
 def test_many_columns_are_taken_in_several_scans(skewed, monkeypatch):
     pdf, df = skewed
     wide = df.selectExpr("g", "v AS a", "v * 2 AS b", "v + 1 AS c")

@@ -147,6 +147,44 @@ def test_signal_store_round_trip(spark):
     assert S.read_signals(spark, root).count() == 4
 
 
+RULES = {"empty_model_version": ("model_version", ""), "empty_feature_version": ("feature_version", None),
+         "empty_label_version": ("label_version", ""), "bad_model_family": ("model_family", None),
+         "bad_objective_type": ("objective_type", "other"), "bad_label_type": ("label_type", "y"),
+         "bad_horizon": ("horizon", 7)}
+
+
+def test_every_rule_is_counted_in_one_scan(spark):
+    good = frame(spark)
+    damaged = good
+    for column, value in RULES.values():
+        damaged = damaged.unionByName(good.where("stock_id = 'a'").withColumn(
+            column, F.lit(value).cast(S.SIGNAL_FIELDS[column])))
+    path = scratch_path(spark, "damaged")
+    damaged.write.parquet(path)
+    counts = S.contract_violations(spark.read.parquet(path))
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1 and "Join" not in plan
+    # All rows but the changed version have the key of the first one.
+    assert {r.rule: r.n_bad for r in counts.collect()} == {**dict.fromkeys(RULES, 1), "duplicate_key": 6}
+    assert {r.n_bad for r in S.contract_violations(good.limit(0)).collect()} == {0}
+
+
+@pytest.mark.parametrize("rule", [*RULES, "duplicate_key"])
+def test_a_broken_batch_leaves_the_store_as_it_was(spark, rule):
+    root = scratch_path(spark, "s")
+    S.write_signals(frame(spark), root)
+    late = frame(spark).withColumn("raw_score", F.lit(9.0))
+    if rule in RULES:
+        column, value = RULES[rule]
+        late = late.withColumn(column, F.when(F.col("stock_id") == "b", F.lit(value).cast(
+            S.SIGNAL_FIELDS[column])).otherwise(F.col(column)))
+    else:
+        late = late.unionByName(late.where("stock_id = 'b'"))
+    with pytest.raises(ValueError, match=f"{rule}=1$"):
+        S.write_signals(late, root)
+    assert sorted(r.raw_score for r in S.read_signals(spark, root).collect()) == [1.0, 2.0]
+
+
 def test_stream_of_deliveries_is_merged(spark):
     from paneltide.streaming.incremental import upsert_stream
     inbox, root, state = (scratch_path(spark, n) for n in ("inbox", "p", "state"))
