@@ -9,8 +9,9 @@ cluster at once, and the counts are summed per pair and held against the thresho
 numbers. Clusters of many documents are cut into blocks, and pairs of blocks go to different
 tasks.
 
-Documents with equal sets are one node. The result has a row per document, and tasks return
-links that span each connected part of a block, not all pairs.
+Documents with equal sets are one node, weighted by their number. The result has a row per document;
+of a block pair, tasks return how many documents each node is linked with, and links that span
+each connected part, not all pairs.
 
 Null, empty or wordless texts have an empty set and link with nothing. A null id links with
 nothing. Of rows that share an id, one set (the largest by fingerprint) stands for it in links;
@@ -132,13 +133,14 @@ def fragments(docs: DataFrame, size: int) -> DataFrame:
 
 
 def block_overlaps(part: pa.Table, percent: int) -> np.ndarray:
-    """Spanning links (a, b) of one block pair, from (id, n, side, fragment, part) rows.
+    """(a, b, links) of one block pair, from (id, n, weight, side, fragment, part) rows.
 
-    ``side`` is 1 for the left block, 2 for the right one, 3 if they are one block.
+    Rows with a = b count the documents that a is linked with in the other block, all others span the
+    linked parts. ``side`` is 1 for the left block, 2 for the right one, 3 if they are one block.
     """
     row_id = part.column("id").to_numpy()
     ids, first, doc = np.unique(row_id, return_index=True, return_inverse=True)
-    n, side = (part.column(c).to_numpy()[first] for c in ("n", "side"))
+    n, weight, side = (part.column(c).to_numpy()[first] for c in ("n", "weight", "side"))
     left, right = np.flatnonzero(side & 1), np.flatnonzero(side & 2)
     grams = part.column("part").combine_chunks()
     size = pc.list_value_length(grams).to_numpy(zero_copy_only=False)
@@ -159,11 +161,17 @@ def block_overlaps(part: pa.Table, percent: int) -> np.ndarray:
     linked = 100 * common >= percent * (n[left][:, None] + n[right] - common)
     linked &= ids[left][:, None] != ids[right]
     i, j = np.nonzero(linked)
-    return np.array([(ids[a], ids[b]) for a, b in spanning(left[i], right[j], len(ids))], np.int64).reshape(-1, 2)
+    links = np.zeros(len(ids), np.int64)
+    np.add.at(links, left[i], weight[right[j]])
+    if not (side == 3).any():  # in one block every pair stands in the matrix twice
+        np.add.at(links, right[j], weight[left[i]])
+    tree = [(ids[a], ids[b], 0) for a, b in spanning(left[i], right[j], len(ids))]
+    own = np.flatnonzero(links)
+    return np.concatenate([np.array(tree, np.int64).reshape(-1, 3), np.column_stack([ids[own], ids[own], links[own]])])
 
 
 def cluster_links(dealt: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of (component, lo, hi, side, id, n, fragment, part), block pair by block pair."""
+    """(a, b, links) of (component, lo, hi, side, id, n, weight, fragment, part), block pair by block pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def links(table: pa.Table) -> pa.RecordBatch:
@@ -171,7 +179,7 @@ def cluster_links(dealt: DataFrame, percent: int) -> DataFrame:
             cuts = [0, *(np.flatnonzero((group[1:] != group[:-1]).any(axis=1)) + 1), len(group)]
             found = np.concatenate([block_overlaps(table.slice(a, b - a), percent)
                                     for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
-            return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in found.T], names=["a", "b", "links"])
 
         held: pa.Table | None = None
         for batch in batches:
@@ -186,19 +194,23 @@ def cluster_links(dealt: DataFrame, percent: int) -> DataFrame:
         if held is not None and len(held):
             yield links(held)
 
-    return (dealt.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(run, "a bigint, b bigint"))
+    return (dealt.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(run, "a bigint, b bigint, links bigint"))
 
 
 def jaccard_groups(docs: DataFrame, size: int, percent: int, id_col: str = "doc_id",
                    text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id) of every row, linked from ``percent`` per cent similarity on."""
+    """(id, n_shingles, n_links, component_id) of every row, linked from ``percent`` per cent similarity on.
+
+    ``n_links`` is the number of other ids linked directly, those with an equal set among them; 0 for
+    a null id.
+    """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketched = store(sketch(texts, size, percent), "sketch")
     one = (sketched.where("id IS NOT NULL AND n > 0").groupBy("id")
            .agg(F.max(F.struct("f1", "f2", "n")).alias("s")).select("id", "s.*"))
-    classes = store(one.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep")), "classes")
-    size_of = classes.select(F.col("rep").alias("id"), "n", "f1", "f2")
-    reps = sketched.drop("n").join(small_side(size_of, 40), ["id", "f1", "f2"])
+    classes = store(one.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("weight")), "classes")
+    size_of = classes.select(F.col("rep").alias("id"), "n", "f1", "f2", "weight")
+    reps = sketched.drop("n").join(small_side(size_of.drop("weight"), 40), ["id", "f1", "f2"])
     # Dealt by key once, for the smallest id of a key and for the rows that share it.
     keys = reps.select(F.explode("head").alias("key"), "id").repartition("key")
     traits = store(reps.select("id", "n", "probe"), "traits")
@@ -210,22 +222,27 @@ def jaccard_groups(docs: DataFrame, size: int, percent: int, id_col: str = "doc_
                  .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
                  .select("component", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"),
                          F.when(F.col("own") == F.col("other"), 3).when(F.col("own") < F.col("other"), 1)
-                         .otherwise(2).alias("side"), "id", "n", "f1"))
+                         .otherwise(2).alias("side"), "id", "n", "weight", "f1"))
         dealt = store(dealt, "dealt")
         asked = store(dealt.select("id", "f1").distinct(), "asked")
         parts = fragments(texts.join(small_side(asked, 24), "id").select("id", "text", "f1"), size)
-        return cluster_links(parts.join(small_side(dealt.drop("f1"), 64), "id"), percent)
+        return cluster_links(parts.join(small_side(dealt.drop("f1"), 72), "id"), percent)
 
     rough = f"100 * least(l.n, r.n) >= {percent} * greatest(l.n, r.n)"
     # What the first fragments miss bounds the overlap, and rules most candidates out at once.
     near = (f"{100 + percent} * (size(array_intersect(l.probe, r.probe)) + "
             f"least(l.n - size(l.probe), r.n - size(r.probe))) >= {percent} * (l.n + r.n)")
     clusters = candidate_clusters(keys, size_of.select("id", "n"), rough, traits, near)
-    found = components(store(verify(clusters), "links"))
+    links = store(verify(clusters), "links")
+    found = components(links.where("a <> b").select("a", "b"))
+    counts = links.where("a = b").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     group = (one.join(classes, ["f1", "f2", "n"]).join(found.withColumnRenamed("id", "rep"), "rep", "left")
-             .select("id", F.coalesce("component", "rep").alias("component")))
+             .join(counts, "rep", "left")
+             .select("id", F.coalesce("component", "rep").alias("component"),
+                     (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links")))
     return (sketched.select("id", "n").join(group, "id", "left")
             .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
+                    F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
                     F.coalesce("component", "id").alias("component_id")))
 
 
@@ -240,8 +257,10 @@ p AS (SELECT a.doc_id AS x, b.doc_id AS y, a.n AS nx, b.n AS ny, count(*) AS c F
 l AS (SELECT x, y FROM p WHERE 100 * c >= 90 * (nx + ny - c)),
 r(doc_id, reach) AS (SELECT doc_id, doc_id FROM s UNION
   SELECT CASE WHEN r.doc_id = l.x THEN l.y ELSE l.x END, r.reach FROM r JOIN l ON r.doc_id IN (l.x, l.y))
-SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, c.component_id
-FROM s JOIN (SELECT doc_id, min(reach) AS component_id FROM r GROUP BY doc_id) c USING (doc_id)"""
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(k.n_links, 0) AS n_links, c.component_id
+FROM s JOIN (SELECT doc_id, min(reach) AS component_id FROM r GROUP BY doc_id) c USING (doc_id)
+LEFT JOIN (SELECT doc_id, count(*) AS n_links FROM (SELECT x AS doc_id FROM l UNION ALL SELECT y FROM l) GROUP BY doc_id) k
+  USING (doc_id)"""
 
 
 @query("op6_ngram_join", SQL)

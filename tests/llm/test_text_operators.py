@@ -120,6 +120,12 @@ def test_substrings_match_brute_force(documents):
 
 def brute_groups(rows, size, percent):
     """Sets of n-grams and smallest reachable ids."""
+    sets, top, _ = brute_links(rows, size, percent)
+    return sets, top
+
+
+def brute_links(rows, size, percent):
+    """Sets of n-grams, smallest reachable ids and numbers of links."""
     sets = {}
     for i, text in rows:
         own = words(text, lower=True)
@@ -132,16 +138,17 @@ def brute_groups(rows, size, percent):
     for _ in ids:
         for a, b in links:
             top[a] = top[b] = min(top[a], top[b])
-    return sets, top
+    return sets, top, {i: sum(i in pair for pair in links) for i in ids}
 
 
 @pytest.mark.parametrize("size,percent", [(3, 90), (5, 80)])
 def test_jaccard_groups_match_brute_force(documents, size, percent):
     found = by_id(ngram_join.jaccard_groups(documents(CORPUS), size, percent))
-    sets, top = brute_groups(CORPUS, size, percent)
+    sets, top, links = brute_links(CORPUS, size, percent)
     for i, _ in CORPUS:
         for row in found[i]:
             assert row.n_shingles == len(sets[i]) and row.component_id == (None if i is None else top[i])
+            assert row.n_links == links.get(i, 0)
     assert {top[i] for i in (6, 7, 8, 9)} == {6} and top[5] == 4 and top[12] == 12
 
 
@@ -152,8 +159,10 @@ def test_jaccard_many_near_copies(documents, monkeypatch, block, counted):
     monkeypatch.setattr(ngram_join, "COUNTED", counted)
     base = prose(100, 21).split(" ")
     rows = [(i, " ".join(base[:5 * (i % 7)] + ["other"] * (i % 3) + base[5 * (i % 7):])) for i in range(60)]
-    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_groups(documents(rows), 3, 90).collect()}
-    assert got == brute_groups(rows, 3, 90)[1]
+    found = ngram_join.jaccard_groups(documents(rows), 3, 90).collect()
+    _, top, links = brute_links(rows, 3, 90)
+    assert {r.doc_id: r.component_id for r in found} == top
+    assert {r.doc_id: r.n_links for r in found} == links and len(set(links.values())) > 2
 
 
 def edit_distance(a, b):
