@@ -56,9 +56,13 @@ def _(spark, folder):
     return tidy(C.forward_return(C.forward_return(df, 1), 5).drop("close"))
 
 
-@query("c1_forward_return_gaps", sql(f"""
-SELECT date, stock_id, {rounded('y_raw_3')} FROM
-(SELECT date, stock_id, {_raw(3)} FROM user_day)"""))
+# A user's day may be worth 0, which has no return (DuckDB would give an infinite one). Ties of the
+# last digit are rounded as Spark does, away from 0 by the shortest decimal digits of the double.
+@query("c1_forward_return_gaps", sql("""
+SELECT date, stock_id,
+  CAST(round(CAST(CAST(y AS VARCHAR) AS DECIMAL(38, 24)), 6) AS DOUBLE) AS y_raw_3 FROM
+(SELECT date, stock_id, lead(close, 3) OVER (PARTITION BY stock_id ORDER BY date)
+  / nullif(close, 0) - 1 AS y FROM user_day)"""))
 def _(spark, folder):
     df = settle(P.user_days(spark, folder)).select(*KEY, "close")
     return tidy(C.forward_return(df, 3).drop("close"))

@@ -7,6 +7,7 @@ any scale.
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from compare import check, duck, difference
@@ -33,6 +34,19 @@ def test_query(spark, con, name):
     assert problem is None
 
 
+def test_forward_return_of_days_worth_nothing_and_of_ties(spark, tmp_path):
+    cents = {1: [0, 5, 0, 7, 0, 0], 2: [640, 1, 1, 22107, 16000, 24011]}  # 33.5421875 is a tie
+    rows = [(100 * user + day, f"2024-01-{day + 1:02d} 08:00:00", user, "view", value / 100.0)
+            for user, values in cents.items() for day, value in enumerate(values)]
+    spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double").withColumn(
+        "ts", F.to_timestamp("ts").cast("timestamp_ntz")).write.parquet(str(tmp_path / "events.parquet"))
+    import duckdb
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    problem, n, _ = check(spark, con, str(tmp_path), "c1_forward_return_gaps", entry)
+    assert problem is None and n == 12
+
+
 def test_entry_and_registry(spark):
     assert entry.entry(spark).columns == ["date", "rank_ic"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
