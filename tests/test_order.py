@@ -187,3 +187,22 @@ def test_pair_ranks_match_pandas(spark, either_path):
         np.testing.assert_allclose(got[mine].astype(float), want[theirs].astype(float), equal_nan=True)
     paired = got["_rank"].notna()
     assert (got["_n"][paired] == want.n[paired]).all()
+
+
+def test_ranks_sort_a_group_once_and_are_dealt_by_rows(skewed, spark, monkeypatch):
+    """A task holds a bounded number of rows, however many there are, and sorts them once."""
+    pdf, df = skewed
+    monkeypatch.setattr(order, "TASK_ROWS", 1000)
+    both = df.withColumn("w", df.v.cast("double"))
+    for out in (average_rank(df, ["g"], "v", "stock_id"), order.pair_ranks(both, ["g"], "v", "w", "stock_id")):
+        plan = out._jdf.queryExecution().sparkPlan().toString()
+        assert "Window" not in plan
+        assert out.rdd.getNumPartitions() == -(-len(pdf) // 1000) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_ranks_treat_nan_as_the_largest_value(spark, either_path):
+    rows = [("g", f"s{i}", v) for i, v in enumerate([float("nan"), 1.0, None, float("nan"), -0.0, 0.0])]
+    out = {r.stock_id: (r["_rank"], r["_avg_rank"], r["_count"]) for r in average_rank(
+        spark.createDataFrame(rows, "g string, stock_id string, v double"), ["g"], "v", "stock_id").collect()}
+    assert out == {"s0": (4, 4.5, 5), "s1": (3, 3.0, 5), "s2": (None, None, 5), "s3": (5, 4.5, 5),
+                   "s4": (1, 1.5, 5), "s5": (2, 1.5, 5)}
