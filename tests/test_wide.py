@@ -74,3 +74,21 @@ def test_joins_do_not_grow_with_a_thousand_factors(spark):
         joins[n] = plan.count("BroadcastHashJoin")
         assert out.count()
     assert joins[30] == joins[1000] <= 5
+
+
+def test_wide_panel_is_dealt_by_cells_and_steps_are_stored(panel, monkeypatch):
+    """All passes over a wide panel are shared out, and no step redoes the one before it."""
+    names = [f"factor_{i:03d}" for i in range(1, 31)]
+    df = panel.select("date", "stock_id", "industry", "beta", *(
+        (panel.factor_001 * (i + 1)).alias(c) for i, c in enumerate(names))).coalesce(1)
+    kept, store = [], B.stored
+
+    def seen(table, name):
+        kept.append((name, table.rdd.getNumPartitions()))
+        return store(table, name)
+
+    monkeypatch.setattr(B, "stored", seen)
+    monkeypatch.setattr(wide, "TASK_CELLS", 9_000)
+    out = B.preprocess(df, names, {"neutralize": {"enabled": True, "neutral_cols": ["beta"]}}, float32=False)
+    assert out.count() == df.count() == 1800
+    assert kept[1] == ("panel", 6) and [n for n, _ in kept] == ["panel", "panel", "clipped", "standardized"]
