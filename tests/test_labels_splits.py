@@ -162,3 +162,8 @@ def test_indexed_rows_are_not_repeated(spark):
     assert all(sizes[w][f"{s}_rows"] == n for (w, s), n in want.items()) and all(r.train_days == 23 for r in sizes.values())
     with pytest.raises(ValueError):
         D.rolling_windows(spark, days.where("false"), None)
+
+
+def test_all_horizons_are_ranked_in_one_pass(panel):
+    plan = C.build_labels(panel, {})._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapGroupsInArrow") == 1

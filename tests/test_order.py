@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 
 from paneltide.functions import order
-from paneltide.functions.order import (average_rank, bucket_of, ordinal_rank, percentile_of,
+from paneltide.functions.order import (average_rank, average_ranks, bucket_of, ordinal_rank, percentile_of,
                                        quantile_table, shift_rows, winsorize)
 
 
@@ -206,3 +206,13 @@ def test_ranks_treat_nan_as_the_largest_value(spark, either_path):
         spark.createDataFrame(rows, "g string, stock_id string, v double"), ["g"], "v", "stock_id").collect()}
     assert out == {"s0": (4, 4.5, 5), "s1": (3, 3.0, 5), "s2": (None, None, 5), "s3": (5, 4.5, 5),
                    "s4": (1, 1.5, 5), "s5": (2, 1.5, 5)}
+
+
+def test_ranks_of_several_columns_are_those_of_each(skewed, either_path):
+    _, df = skewed
+    df = df.selectExpr("*", "-v * v AS w", "CAST(NULL AS DOUBLE) AS x")
+    names = {c: (f"r_{c}", f"n_{c}", f"a_{c}") for c in ("v", "w", "x")}
+    got = average_ranks(df, ["g"], names, "stock_id").toPandas().set_index(["g", "stock_id"]).sort_index()
+    for c, (rank, count, average) in names.items():
+        one = average_rank(df, ["g"], c, "stock_id", average, rank, count).toPandas().set_index(["g", "stock_id"]).sort_index()
+        pd.testing.assert_frame_equal(got[[rank, count, average]], one[[rank, count, average]])

@@ -228,3 +228,17 @@ def test_signal_frame_wants_one_row_of_metadata(spark):
     with pytest.raises(ValueError, match="exactly one row"):
         S.signal_frame(scores, meta)
     assert S.signal_frame(scores, meta.limit(1)).count() == 1
+
+
+def test_shuffles_start_with_many_partitions_unless_the_session_says_otherwise(spark):
+    from paneltide.session import ASSUMED, assume
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    spark.conf.unset(key)
+    try:
+        scratch_path(spark, "p")
+        assert spark.conf.get(key) == ASSUMED[key]
+        spark.conf.set(key, "3")
+        assume(spark)
+        assert spark.conf.get(key) == "3"
+    finally:
+        spark.conf.unset(key)
