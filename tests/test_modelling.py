@@ -3,6 +3,7 @@
 import os
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -170,3 +171,21 @@ def test_side_by_side_keeps_order_and_raises(spark):
 
     with pytest.raises(KeyError):
         E.side_by_side(spark, [("a", broken), ("b", slow(0)), ("c", slow(1))], 2)
+
+
+def test_measuring_a_model_ranks_and_predicts_once(spark, monkeypatch):
+    from paneltide.operators import evaluation as G
+    passes, real = [], G.settle
+
+    def seen(df):
+        passes.append(df)
+        return real(df)
+    monkeypatch.setattr(G, "settle", seen)
+    rows = spark.range(60).selectExpr("DATE'2020-01-01' + CAST(id % 3 AS INT) AS date", "CAST(id AS STRING) AS stock_id",
+                                      "CAST(hash(id) AS DOUBLE) AS raw_score", "CAST(hash(id, 7) AS DOUBLE) AS y")
+    found = E.validation_metrics(rows, "y").first()
+    assert len(passes) == 1
+    pdf = rows.toPandas()
+    days = [g for _, g in pdf.groupby("date")]
+    assert abs(found["ic_valid"] - np.mean([g.raw_score.corr(g.y) for g in days])) < 1e-12
+    assert abs(found["rankic_valid"] - np.mean([g.raw_score.rank().corr(g.y.rank()) for g in days])) < 1e-12
