@@ -139,7 +139,8 @@ class Encoder:
         bounds = lists.offsets.to_numpy()
         coded = lists.flatten().dictionary_encode()
         values, code = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
-        value = values.to_pylist()
+        # All at once; ``to_pylist`` makes a scalar of each.
+        value = values.to_numpy(zero_copy_only=False).tolist()
         open_end = ends(values, -1, None, lambda c: not c or c.isspace())
         letter_end = ends(values, -1, None, lambda c: c.isalpha() and c < KNOWN_LETTERS or c.isascii() and c.isdigit())
         marked = ends(values, 0, 1, lambda c: c != "" and c in MARKS)

@@ -57,6 +57,26 @@ def test_stretches_give_the_ids_of_whole_texts():
         assert [ids[a:b].tolist() for a, b in zip(starts[:-1], starts[1:])] == [e.ids for e in wanted]
 
 
+def test_known_stretches_cost_less_than_a_scalar_of_each():
+    """Texts whose stretches are known already are not taken apart into Arrow scalars."""
+    import time
+
+    encoder, r = token_files.Encoder(tokenizer()[1]), random.Random(2)
+    words = list({"".join(r.choices("abdeinorst", k=7)) for _ in range(100_000)})
+    texts, scalars = pa.array([" ".join(words)]), pa.array(words, pa.large_string())
+
+    def least(run):
+        took = []
+        for _ in range(5):
+            start = time.process_time()
+            run()
+            took.append(time.process_time() - start)
+        return min(took)
+
+    encoder.encode(texts)
+    assert least(lambda: encoder.encode(texts)) < 1.2 * least(scalars.to_pylist)
+
+
 @pytest.mark.parametrize("file_tokens", [1 << 21, 700])
 def test_token_files_hold_all_ids_in_order(documents, monkeypatch, file_tokens):
     own, content = tokenizer()
