@@ -3,7 +3,7 @@
 1. Words are counted over all training texts; the most frequent ones form the lexicon.
 2. Each training shard goes through its texts in order: slot counts are updated piece by piece,
    and on every piece the mixing weights take gradient steps on predictions made before that
-   piece is counted. The first pieces are small, later ones grow up to a block. Spark sums the slot counts of all shards and averages the weights.
+   piece is counted. The first pieces are small, later ones grow up to a batch. Spark sums the slot counts of all shards and averages the weights.
 3. Every text is scored with the finished model: log probabilities of its bits are summed. The
    unigram baseline needs exact counts, so words outside the lexicon are joined with the table
    of all counts.
@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paneltide.llm.common import remainder, slices, split_words, store
-from paneltide.llm.mixing_model import (CONTEXTS, END, GATES, SLOT_BITS, STEPS, Decisions, Lexicon, Mixer,
-                                        block_parts, spelling_decisions, state)
+from paneltide.llm.mixing_model import (BATCH, CONTEXTS, END, GATES, SLOT_BITS, STEPS, Decisions, Lexicon, Mixer,
+                                        block_parts, looked_up, spelling_decisions, state, states_of)
 from paneltide.llm.registry import query, table
 
 LEXICON = (1 << 16) - 2
@@ -122,33 +122,25 @@ def train(texts: DataFrame, lexicon: Lexicon) -> tuple[list[np.ndarray], Mixer]:
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # A slot's uses in the upper and its ones in the lower half.
         tables = [np.zeros(1 << SLOT_BITS, np.uint64) for _ in range(CONTEXTS)]
-        mixer, mass, counted = Mixer(), np.zeros(GATES), [0, 0]
+        mixer, counted = Mixer(), [0, 0]
 
         def take(d: Decisions) -> None:
             start = 0
             while start < len(d.bit):
-                stop = min(len(d.bit), start + max(FIRST_PIECE, counted[d.spelled] // GROWTH))
+                stop = min(len(d.bit), start + BATCH, start + max(FIRST_PIECE, counted[d.spelled] // GROWTH))
                 piece(d, slice(start, stop))
                 counted[d.spelled] += stop - start
                 start = stop
 
         def piece(d: Decisions, part: slice) -> None:
             """Predict and learn, then count."""
-            nonlocal mass
-            slots, bit, states = [at[part] for at in d.slots], d.bit[part], []
-            weight = d.weight[part] if d.spelled else np.ones(0)
-            for own, at in zip(tables, slots, strict=True):
-                cell = own[at]
-                states.append(state((cell >> np.uint64(32)).astype(np.float32),
-                                    (cell & np.uint64(0xFFFFFFFF)).astype(np.float32)))
-            before = mixer.seen.sum(axis=1)
-            mixer.learn(states, bit, weight, d.spelled)
-            mass += mixer.seen.sum(axis=1) - before
+            bit, weight, slots = d.bit[part], d.weight[part], [at[part].astype(np.intp) for at in d.slots]
+            mixer.learn([states_of(looked_up(own, at)) for own, at in zip(tables, slots, strict=True)], bit, weight, d.spelled)
             use = (np.uint64(1 << 32) | bit.astype(np.uint64))
             if d.spelled:
-                use = use * weight.astype(np.uint64)
+                use *= weight.astype(np.uint64)
             for own, at in zip(tables, slots, strict=True):
-                np.add.at(own, at.astype(np.intp), use)
+                np.add.at(own, at, use)
 
         for batch in batches:
             for start, stop in slices(batch.column(0), BLOCK_BYTES):
@@ -156,7 +148,7 @@ def train(texts: DataFrame, lexicon: Lexicon) -> tuple[list[np.ndarray], Mixer]:
                 _, _, path, rare, number, _ = block_parts(sent.value, starts, words)
                 take(path)
                 if len(rare):
-                    take(spelling_decisions(rare, np.bincount(number, minlength=len(rare))))
+                    take(spelling_decisions(sent.value, rare, np.bincount(number, minlength=len(rare))))
         step = 1 << CHUNK_BITS
         for k, own in enumerate(tables):
             for n in range(0, len(own), step):
@@ -164,6 +156,7 @@ def train(texts: DataFrame, lexicon: Lexicon) -> tuple[list[np.ndarray], Mixer]:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([(k << SLOT_BITS | n) >> CHUNK_BITS], pa.int32()),
                          pa.array([own[n:n + step].tobytes()], pa.binary())], names=["chunk", "sums"])
+        mass = mixer.seen.sum(axis=1)
         sums = np.concatenate([(mixer.weights * mass[:, None]).ravel(), mass, mixer.seen.ravel(), mixer.ones.ravel()])
         yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([sums.tobytes()], pa.binary())],
                                          names=["chunk", "sums"])
@@ -214,7 +207,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
         row = TaskContext.get().partitionId() << 40
 
         def log_prob(d: Decisions, n: int) -> np.ndarray:
-            own = mixer.log_prob([s[at] for s, at in zip(states, d.slots, strict=True)], d.bit, d.spelled)
+            own = np.zeros(len(d.bit))
+            for a in range(0, len(own), BATCH):
+                part = slice(a, a + BATCH)
+                own[part] = mixer.log_prob([looked_up(s, at[part]) for s, at in zip(states, d.slots, strict=True)], d.bit[part], d.spelled)
             return np.bincount(d.owner, own, n)
 
         for batch in batches:
@@ -224,7 +220,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
                 tokens, symbols, path, rare, number, places = block_parts(lexicon, starts, words)
                 per = log_prob(path, len(symbols))
                 if len(rare):
-                    spelled = log_prob(spelling_decisions(rare, np.ones(len(rare))), len(rare))
+                    spelled = log_prob(spelling_decisions(lexicon, rare, np.ones(len(rare))), len(rare))
                     per[places] += spelled[number]
                 first, n_docs = tokens[:-1], len(tokens) - 1
                 total = np.add.reduceat(per, first) / math.log(10)

@@ -1,7 +1,7 @@
 """The bit model of ``lm_scoring``: codes, hashed contexts, gated mixing. Numpy on one block.
 
 A word of the lexicon is a path of bits in a Huffman tree; any other word is an escape path and
-then the bits of its bytes and of a closing space. Every bit is predicted in four contexts
+then the paths of its bytes and of a closing space in a second tree, made from the lexicon's bytes. Every bit is predicted in four contexts
 (for a path: none, one, two, three words back; for bytes: two, three, four and six bytes back,
 within the word). A context and the place in the code hash to a slot with two counts. The log odds
 of the four slots are summed with weights from a gate, which is chosen by how often each context
@@ -28,12 +28,14 @@ GATES = 2 << 6
 STEPS = 33
 MULTIPLIER = np.uint32(0x9E3779B1)
 END = ""
-#: Decisions between two steps of the weights.
-BATCH = 1 << 15
+#: Decisions between two steps of the weights; their numbers fit a core's cache.
+BATCH = 1 << 14
 RATE = 0.6
 SPELL_BASE = 0xD1342543DE82EF95
 #: Bytes back in the contexts of spelled words.
 SPELL_BACK = (2, 3, 4, 6)
+#: Inner nodes of the bytes' tree are numbered from here.
+SPELL_NODE = np.uint32(1 << 20)
 
 
 def huffman(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -78,9 +80,41 @@ def expand(starts: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def state(n: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """Log odds (in 1/256) and a confidence from 0 to 3, in one number of 16 bits."""
-    odds = np.log((ones + np.float32(0.4)) / (n - ones + np.float32(0.4)))
-    level = (n > 0).astype(np.int16) + (n > 2) + (n > 15)
-    return (np.clip(odds * 256, -2047, 2047).astype(np.int16) << 2) | level
+    odds = ones + np.float32(0.4)
+    odds /= n - ones + np.float32(0.4)
+    np.log(odds, out=odds)
+    odds *= np.float32(256)
+    level = (n > 0).view(np.int8) + (n > 2).view(np.int8) + (n > 15).view(np.int8)
+    return (np.clip(odds, -2047, 2047, out=odds).astype(np.int16) << np.int16(2)) | level
+
+
+def byte_states() -> np.ndarray:
+    """The states of all counts below 256, at uses times 256 and ones."""
+    n, ones = np.divmod(np.arange(1 << 16), 256)
+    return state(n.astype(np.float32), np.minimum(ones, n).astype(np.float32))
+
+
+BYTE_STATES = byte_states()
+
+
+def states_of(cells: np.ndarray) -> np.ndarray:
+    """States of slots that hold their uses in the upper and their ones in the lower half."""
+    large = np.flatnonzero(cells >= np.uint64(1 << 40))
+    if 4 * len(large) > len(cells):
+        return wide_states(cells)
+    out = BYTE_STATES.take(((cells >> np.uint64(24) | cells) & np.uint64(0xFFFF)).astype(np.intp))
+    if len(large):
+        out[large] = wide_states(cells[large])
+    return out
+
+
+def wide_states(cells: np.ndarray) -> np.ndarray:
+    return state((cells >> np.uint64(32)).astype(np.float32), cells.astype(np.uint32).astype(np.float32))
+
+
+def looked_up(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Items of a table at places that are all inside it; then "clip" only spares a copy."""
+    return table.take(at.astype(np.intp, copy=False), mode="clip")
 
 
 @dataclass
@@ -102,10 +136,14 @@ class Lexicon:
     counts: np.ndarray
     rest: int
     value_set: pa.Array = field(init=False)
+    hashes: np.ndarray = field(init=False)
 
     def __post_init__(self) -> None:
         self.value_set = pa.array(self.words, pa.large_string())
+        self.hashes = word_hashes(self.value_set)
         self.starts, self.nodes, self.bits = huffman(np.append(self.counts, self.rest))
+        used = np.frombuffer(" ".join(self.words).encode(), np.uint8)
+        self.byte_starts, self.byte_nodes, self.byte_bits = huffman(np.bincount(used, minlength=256) + 1)
 
     def symbols(self, words: pa.Array) -> np.ndarray:
         found = pc.index_in(words, value_set=self.value_set)
@@ -113,14 +151,17 @@ class Lexicon:
 
 
 def slot(context: np.ndarray, place: np.ndarray, salt: int) -> np.ndarray:
-    mixed = (context ^ (place * MULTIPLIER)) * np.uint32(0x85EBCA6B + 2 * salt)
-    return mixed >> np.uint32(32 - SLOT_BITS)
+    """Slots of contexts at places that were multiplied by ``MULTIPLIER``. ``context`` is overwritten."""
+    context ^= place
+    context *= np.uint32(0x85EBCA6B + 2 * salt)
+    context >>= np.uint32(32 - SLOT_BITS)
+    return context
 
 
 def path_decisions(lexicon: Lexicon, symbols: np.ndarray, hashes: np.ndarray, starts: np.ndarray) -> Decisions:
     """Bits of the tokens' paths; ``starts`` are the documents' first tokens."""
     size, at = expand(lexicon.starts, symbols)
-    place = lexicon.nodes[at]
+    place = lexicon.nodes[at] * MULTIPLIER
     context, slots = np.zeros(len(symbols), np.uint64), []
     for back in range(CONTEXTS):
         if back:
@@ -135,29 +176,28 @@ def path_decisions(lexicon: Lexicon, symbols: np.ndarray, hashes: np.ndarray, st
     return Decisions(lexicon.bits[at], slots, owner, np.ones(0), 0)
 
 
-def spelling_decisions(words: pa.Array, counts: np.ndarray) -> Decisions:
+def spelling_decisions(lexicon: Lexicon, words: pa.Array, counts: np.ndarray) -> Decisions:
     """Bits of the bytes of distinct words, each with its closing space; ``counts`` weigh them."""
-    raw = [w.encode() + b" " for w in words.to_pylist()]
-    size = np.array([len(r) for r in raw], np.int64)
-    code = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64)
+    size = pc.binary_length(words).to_numpy().astype(np.int64) + 1
+    code = np.frombuffer("".join(w + " " for w in words.to_numpy(zero_copy_only=False)).encode(), np.uint8)
     first = np.repeat(starts_of(size)[:-1], size)
     inside = np.arange(len(code)) - first
     # The last bytes, as differences of a rolling hash's prefix sums; not over the word's start.
     longest = int(size.max(initial=1))
     up, down = powers(SPELL_BASE, longest + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((code + np.uint64(1)) * up[inside], dtype=np.uint64)])
+    sums = np.zeros(len(code) + 1, np.uint64)
+    np.cumsum((code + np.uint64(1)) * up[inside], out=sums[1:])
     contexts = []
     for back in SPELL_BACK:
-        begin = inside - np.minimum(inside, back)
+        known = np.minimum(inside, back)
+        begin = inside - known
         last = (sums[:-1] - sums[first + begin]) * down[begin]
-        contexts.append(mix64(last + (np.minimum(inside, back).astype(np.uint64) << np.uint64(56))).astype(np.uint32))
-    shift = np.arange(7, -1, -1, dtype=np.uint32)
-    byte = code.astype(np.uint32)[:, None]
-    bit = ((byte >> shift) & np.uint32(1)).astype(np.uint8).ravel()
-    place = ((byte | np.uint32(256)) >> (shift + np.uint32(1))).ravel() + np.uint32(1 << 20)
-    slots = [slot(np.repeat(c, 8), place, 8 + k) for k, c in enumerate(contexts)]
-    owner = np.repeat(np.arange(len(raw), dtype=np.int32), size * 8)
-    return Decisions(bit, slots, owner, counts[owner].astype(np.float32) if len(owner) else np.ones(0), 1)
+        contexts.append(mix64(last + (known.astype(np.uint64) << np.uint64(56))).astype(np.uint32))
+    n_bits, at = expand(lexicon.byte_starts, code.astype(np.int64))
+    place = (lexicon.byte_nodes[at] + SPELL_NODE) * MULTIPLIER
+    slots = [slot(np.repeat(c, n_bits), place, 8 + k) for k, c in enumerate(contexts)]
+    owner = np.repeat(np.repeat(np.arange(len(words), dtype=np.int32), size), n_bits)
+    return Decisions(lexicon.byte_bits[at], slots, owner, counts[owner].astype(np.float32) if len(owner) else np.ones(0), 1)
 
 
 @dataclass
@@ -169,42 +209,63 @@ class Mixer:
     ones: np.ndarray = field(default_factory=lambda: np.zeros((GATES, STEPS)))
 
     def inputs(self, states: list[np.ndarray], spelled: int) -> tuple[list[np.ndarray], np.ndarray]:
+        """The log odds, in 1/256, and the gates."""
         gate = np.full(len(states[0]), spelled << 6, np.int16)
         for k, s in enumerate(states[1:]):
-            gate |= (s & 3) << (2 * k)
-        return [(s >> 2).astype(np.float32) * np.float32(1 / 256) for s in states], gate
+            gate |= (s & np.int16(3)) << np.int16(2 * k)
+        return [(s >> np.int16(2)).astype(np.float32) for s in states], gate
 
     def mixed(self, x: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
-        total = self.weights[gate, 0] * x[0]
+        columns, at = np.ascontiguousarray(self.weights.T) * np.float32(1 / 256), gate.astype(np.intp)
+        total = looked_up(columns[0], at)
+        total *= x[0]
         for k in range(1, CONTEXTS):
-            total += self.weights[gate, k] * x[k]
-        return np.clip(total, -12, 12)
+            part = looked_up(columns[k], at)
+            part *= x[k]
+            total += part
+        return np.clip(total, -12, 12, out=total)
+
+    @staticmethod
+    def chance(total: np.ndarray) -> np.ndarray:
+        p = np.exp(-total)
+        p += 1
+        return np.reciprocal(p, out=p)
 
     @staticmethod
-    def step(total: np.ndarray) -> np.ndarray:
-        return np.clip(np.rint(total * 2) + STEPS // 2, 0, STEPS - 1).astype(np.int64)
+    def cell(total: np.ndarray, gate: np.ndarray) -> np.ndarray:
+        """The place in the final table."""
+        step = total * np.float32(2)
+        np.rint(step, out=step)
+        step += np.float32(STEPS // 2)
+        return np.clip(step, 0, STEPS - 1, out=step).astype(np.int16) + gate * np.int16(STEPS)
 
     def learn(self, states: list[np.ndarray], bit: np.ndarray, weight: np.ndarray, spelled: int) -> None:
-        """Go once over the decisions, in small steps, predicting before each step."""
-        for a in range(0, len(bit), BATCH):
-            x, gate = self.inputs([s[a:a + BATCH] for s in states], spelled)
-            total = self.mixed(x, gate)
-            own, w = bit[a:a + BATCH], weight[a:a + BATCH] if len(weight) else np.ones(len(gate), np.float32)
-            cell = gate.astype(np.int64) * STEPS + self.step(total)
-            self.seen += np.bincount(cell, w, GATES * STEPS).reshape(GATES, STEPS)
-            self.ones += np.bincount(cell, w * own, GATES * STEPS).reshape(GATES, STEPS)
-            error = (own - 1 / (1 + np.exp(-total))) * w
-            n = np.bincount(gate, w, GATES)
-            for k in range(CONTEXTS):
-                self.weights[:, k] += RATE * np.bincount(gate, error * x[k], GATES) / (n + 50)
+        """One step on at most ``BATCH`` decisions, which are predicted before it. Without weights all weigh 1."""
+        x, gate = self.inputs(states, spelled)
+        total = self.mixed(x, gate)
+        w = weight if len(weight) else None
+        found = np.bincount(self.cell(total, gate) * np.int16(2) + bit, w, 2 * GATES * STEPS)
+        ones, found = found[1::2].reshape(GATES, STEPS), (found[::2] + found[1::2]).reshape(GATES, STEPS)
+        self.seen += found
+        self.ones += ones
+        error = bit - self.chance(total)
+        if w is not None:
+            error *= w
+        n, gate = 256. * (found.sum(axis=1) + 50), gate.astype(np.intp)
+        for k in range(CONTEXTS):
+            self.weights[:, k] += RATE * np.bincount(gate, np.multiply(error, x[k], dtype=np.float64), GATES) / n
 
     def log_prob(self, states: list[np.ndarray], bit: np.ndarray, spelled: int) -> np.ndarray:
         """Natural logarithm of the probability of each bit."""
         x, gate = self.inputs(states, spelled)
         total = self.mixed(x, gate)
-        p = 1 / (1 + np.exp(-total))
-        p = (p + self.corrected[gate, self.step(total)]) / 2
-        return np.log(np.clip(np.where(bit, p, 1 - p), 1e-6, 1))
+        p = self.chance(total)
+        p += looked_up(self.corrected.ravel(), self.cell(total, gate))
+        p *= np.float32(.5)
+        # A zero has what is left to 1.
+        p -= bit ^ 1
+        np.abs(p, out=p)
+        return np.log(np.clip(p, 1e-6, 1, out=p), out=p)
 
     def close(self) -> "Mixer":
         middle = 1 / (1 + np.exp(-(np.arange(STEPS) - STEPS // 2) / 2))
@@ -217,20 +278,22 @@ def block_parts(lexicon: Lexicon, starts: np.ndarray, words: pa.Array):
     and for the words that the lexicon lacks: their distinct values, numbers and places."""
     n_docs = len(starts) - 1
     token_starts = starts + np.arange(n_docs + 1)
-    symbols = np.zeros(token_starts[-1], np.int64)
-    hashes = np.zeros(token_starts[-1], np.uint64)
+    escape, coded = len(lexicon.words), words.dictionary_encode()
+    # Distinct words are looked up once; the lexicon's hashes are known.
+    number, own = coded.indices.to_numpy(), lexicon.symbols(coded.dictionary)
+    lacking = np.flatnonzero(own == escape)
+    rare = coded.dictionary.take(pa.array(lacking))
+    own_hashes = np.zeros(len(own), np.uint64)
+    own_hashes[own < escape] = lexicon.hashes[own[own < escape]]
+    own_hashes[lacking] = word_hashes(rare)
     is_end = np.zeros(token_starts[-1], bool)
     is_end[token_starts[1:] - 1] = True
-    symbols[~is_end] = lexicon.symbols(words)
-    symbols[is_end] = lexicon.symbols(pa.array([END], pa.large_string()))[0]
-    hashes[~is_end] = word_hashes(words)
-    hashes[is_end] = np.uint64(1)
-    escape = len(lexicon.words)
-    if len(words):
-        lacking = words.filter(pa.array(symbols[~is_end] == escape)).dictionary_encode()
-        rare, number = lacking.dictionary, lacking.indices.to_numpy()
-    else:
-        rare, number = words, np.zeros(0, np.int32)
-    places = np.flatnonzero((symbols == escape) & ~is_end)
-    return token_starts, symbols, path_decisions(lexicon, symbols, hashes, token_starts), rare, number, places
-
+    inner = np.flatnonzero(~is_end)
+    symbols = np.full(token_starts[-1], lexicon.symbols(pa.array([END], pa.large_string()))[0])
+    hashes = np.ones(token_starts[-1], np.uint64)
+    symbols[inner], hashes[inner] = own[number], own_hashes[number]
+    rare_number = np.zeros(len(own), np.int32)
+    rare_number[lacking] = np.arange(len(lacking))
+    at = np.flatnonzero(own[number] == escape)
+    return (token_starts, symbols, path_decisions(lexicon, symbols, hashes, token_starts), rare,
+            rare_number[number[at]], inner[at])

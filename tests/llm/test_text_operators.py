@@ -399,6 +399,37 @@ def test_lm_probabilities_sum_to_one():
     assert math.isclose(np.exp(log_prob).sum(), 1, rel_tol=1e-5)
 
 
+def test_lm_spells_by_a_code_of_the_bytes():
+    """Usual bytes take few bits, any byte has a code, and the codes leave nothing over."""
+    from paneltide.llm import mixing_model as m
+
+    frequent = sorted({prose(1, n) for n in range(300)})
+    lexicon = m.Lexicon(["", *frequent], np.arange(len(frequent) + 1, 0, -1), 3)
+    words = pa.array([prose(1, 900 + n) + "no" for n in range(50)], pa.large_string())
+    d = m.spelling_decisions(lexicon, words, np.arange(50))
+    n_bytes = [len(w) + 1 for w in words.to_pylist()]
+    assert len(d.bit) < 5 * sum(n_bytes) and d.owner.tolist() == sorted(d.owner) and set(d.owner) == set(range(50))
+    assert (d.weight == d.owner).all() and all(len(at) == len(d.bit) and at.max() < 1 << m.SLOT_BITS for at in d.slots)
+    odd = m.spelling_decisions(lexicon, pa.array(["\u4e2d\U0001f600\x01"], pa.large_string()), np.ones(1))
+    assert len(odd.bit) > 8 * 8 and set(odd.owner) == {0}
+    assert math.isclose((.5 ** np.diff(lexicon.byte_starts)).sum(), 1)
+
+
+def test_lm_states_of_small_and_large_counts():
+    from paneltide.llm import mixing_model as m
+
+    r = np.random.default_rng(4)
+    for most in (1, 3, 255, 256, 400, 1 << 31):
+        n = r.integers(0, most, 3000, endpoint=True)
+        ones = (n * r.random(3000)).astype(np.int64)
+        cells = n.astype(np.uint64) << np.uint64(32) | ones.astype(np.uint64)
+        plain = m.state(n.astype(np.float32), ones.astype(np.float32))
+        assert np.array_equal(m.states_of(cells), plain)
+        odds = np.log((ones + .4) / (n - ones + .4)) * 256
+        assert (np.abs((plain >> 2) - np.clip(odds, -2047, 2047)) <= 1).all()
+        assert np.array_equal(plain & 3, (n > 0).astype(int) + (n > 2) + (n > 15))
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None)], [(None, None)], [(1, ""), (1, "")]])
 def test_empty_and_null_tables(documents, rows):
     import public_tokenizers
