@@ -216,3 +216,14 @@ def test_ranks_of_several_columns_are_those_of_each(skewed, either_path):
     for c, (rank, count, average) in names.items():
         one = average_rank(df, ["g"], c, "stock_id", average, rank, count).toPandas().set_index(["g", "stock_id"]).sort_index()
         pd.testing.assert_frame_equal(got[[rank, count, average]], one[[rank, count, average]])
+
+
+def test_writers_before_a_ranking_hold_no_rows_back(spark, monkeypatch):
+    """More tasks than the shuffle's threshold would make every writer hold its rows in memory."""
+    from paneltide.functions import order
+
+    rows = spark.range(3000).selectExpr("id % 700 AS g")
+    monkeypatch.setattr(order, "TASK_ROWS", 30)
+    assert order.group_tasks(rows, ["g"]) == 100
+    monkeypatch.setattr(order, "TASK_ROWS", 3)
+    assert order.group_tasks(rows, ["g"]) == 200
