@@ -3,10 +3,11 @@
 1. Words are counted over all training texts; the most frequent ones form the lexicon.
 2. Each training shard goes through its texts in order: slot counts are updated piece by piece,
    and on every piece the mixing weights take gradient steps on predictions made before that
-   piece is counted. The first pieces are small, later ones grow up to a batch. Spark sums the slot counts of all shards and averages the weights.
+   piece is counted. The first pieces are small, later ones grow up to a batch. Spellings depend on the word alone, so shards
+   of the table of counts learn them, each distinct word with its count. Spark sums the slot counts of all shards and averages the weights.
 3. Every text is scored with the finished model: log probabilities of its bits are summed. The
    unigram baseline needs exact counts, so words outside the lexicon are joined with the table
-   of all counts.
+   of all counts; behind that join, sorted by word, they are spelled.
 
 Scored are the lower-cased words and the end of a text, as in the baseline; how much white space
 separates words is not part of either. A null text scores like an empty one: its end alone. A
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from paneltide.llm.common import remainder, slices, split_words, store
 from paneltide.llm.mixing_model import (BATCH, CONTEXTS, END, GATES, SLOT_BITS, STEPS, Decisions, Lexicon, Mixer,
-                                        block_parts, looked_up, spelling_decisions, state, states_of)
+                                        block_parts, looked_up, shared_decisions, state, states_of)
 from paneltide.llm.registry import query, table
 
 LEXICON = (1 << 16) - 2
@@ -36,6 +37,8 @@ LEXICON = (1 << 16) - 2
 LEXICON_WORD_BYTES = 64
 #: Text whose bits a worker holds at once.
 BLOCK_BYTES = 1 << 18
+#: Words that are spelled at once.
+SPELLED_BYTES = 1 << 16
 #: Bits of the first piece; a later one has at most as many as were counted before, over ``GROWTH``.
 FIRST_PIECE, GROWTH = 1 << 10, 4
 CHUNK_BITS = 14
@@ -114,12 +117,31 @@ def add_slices(sums: Iterator[tuple[int, bytes]]) -> Iterator[tuple[int, np.ndar
         yield at, first, second
 
 
-def train(texts: DataFrame, lexicon: Lexicon) -> tuple[list[np.ndarray], Mixer]:
-    """Slot states of the contexts and the mixer."""
+def train(texts: DataFrame, lexicon: Lexicon, counts: DataFrame | None = None) -> tuple[list[np.ndarray], Mixer]:
+    """Slot states of the contexts and the mixer; ``counts`` (word, n) are those of ``texts``."""
     spark = texts.sparkSession
     sent = spark.sparkContext.broadcast(lexicon)
+    counts = store(count_words(texts), "words") if counts is None else counts
 
-    def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[Decisions]:
+        for batch in batches:
+            for start, stop in slices(batch.column(0), BLOCK_BYTES):
+                starts, words = split_words(batch.column(0).slice(start, stop - start), lower=True)
+                yield block_parts(sent.value, starts, words)[2]
+
+    def spellings(batches: Iterator[pa.RecordBatch]) -> Iterator[Decisions]:
+        """Every distinct word once as a new one, then as often as it comes again."""
+        for batch in batches:
+            for start, stop in slices(batch.column(0), SPELLED_BYTES):
+                part = batch.slice(start, stop - start)
+                words = part.column(0).cast(pa.large_string())
+                lacking = np.flatnonzero(sent.value.symbols(words) == len(sent.value.words))
+                again = part.column(1).to_numpy()[lacking] - 1
+                for own, times in ((lacking, np.ones(len(lacking))), (lacking[again > 0], again[again > 0])):
+                    if len(own):
+                        yield shared_decisions(sent.value, words.take(pa.array(own)), times)[0]
+
+    def shard(decisions: Iterator[Decisions]) -> Iterator[pa.RecordBatch]:
         # A slot's uses in the upper and its ones in the lower half.
         tables = [np.zeros(1 << SLOT_BITS, np.uint64) for _ in range(CONTEXTS)]
         mixer, counted = Mixer(), [0, 0]
@@ -142,13 +164,8 @@ def train(texts: DataFrame, lexicon: Lexicon) -> tuple[list[np.ndarray], Mixer]:
             for own, at in zip(tables, slots, strict=True):
                 np.add.at(own, at, use)
 
-        for batch in batches:
-            for start, stop in slices(batch.column(0), BLOCK_BYTES):
-                starts, words = split_words(batch.column(0).slice(start, stop - start), lower=True)
-                _, _, path, rare, number, _ = block_parts(sent.value, starts, words)
-                take(path)
-                if len(rare):
-                    take(spelling_decisions(sent.value, rare, np.bincount(number, minlength=len(rare))))
+        for d in decisions:
+            take(d)
         step = 1 << CHUNK_BITS
         for k, own in enumerate(tables):
             for n in range(0, len(own), step):
@@ -169,9 +186,11 @@ def train(texts: DataFrame, lexicon: Lexicon) -> tuple[list[np.ndarray], Mixer]:
             yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([total.tobytes()], pa.binary())],
                                              names=["chunk", "sums"])
 
-    n_parts = texts.rdd.getNumPartitions()
-    shards = texts.coalesce(max(spark.sparkContext.defaultParallelism, n_parts // 4))
-    summed = store(shards.mapInArrow(shard, "chunk int, sums binary").repartition("chunk")
+    def shards(rows: DataFrame, decisions) -> DataFrame:
+        few = rows.coalesce(max(spark.sparkContext.defaultParallelism, rows.rdd.getNumPartitions() // 4))
+        return few.mapInArrow(lambda batches: shard(decisions(batches)), "chunk int, sums binary")
+
+    summed = store(shards(texts, paths).unionByName(shards(counts.select("word", "n"), spellings)).repartition("chunk")
                    .sortWithinPartitions("chunk").mapInArrow(add, "chunk int, sums binary"), "model")
     states = np.zeros(CONTEXTS << SLOT_BITS, np.int16)
     mixer, step = Mixer(), 1 << CHUNK_BITS
@@ -194,34 +213,32 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     teaching = docs.where(remainder(F.col(id_col), folds) != held_fold).select(F.col(text_col).alias("text"))
     counts = store(count_words(teaching), "words")
     lexicon, n_all, n_distinct = make_lexicon(counts)
-    states, mixer = train(teaching, lexicon)
+    states, mixer = train(teaching, lexicon, counts)
     sent = docs.sparkSession.sparkContext.broadcast((lexicon, states, mixer))
     per_token = math.log10(n_all + 0.5 * (n_distinct + 1))
 
+    def log_prob(d: Decisions, n: int) -> np.ndarray:
+        _, states, mixer = sent.value
+        own = np.zeros(len(d.bit))
+        for a in range(0, len(own), BATCH):
+            part = slice(a, a + BATCH)
+            own[part] = mixer.log_prob([looked_up(s, at[part]) for s, at in zip(states, d.slots, strict=True)], d.bit[part], d.spelled)
+        return np.bincount(d.owner, own, n)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        lexicon, states, mixer = sent.value
+        lexicon = sent.value[0]
         log_count = np.append(np.log10(lexicon.counts + 0.5), 0.0)
         known = np.append((lexicon.counts > 0).astype(np.int64), 0)
         row = TaskContext.get().partitionId() << 40
 
-        def log_prob(d: Decisions, n: int) -> np.ndarray:
-            own = np.zeros(len(d.bit))
-            for a in range(0, len(own), BATCH):
-                part = slice(a, a + BATCH)
-                own[part] = mixer.log_prob([looked_up(s, at[part]) for s, at in zip(states, d.slots, strict=True)], d.bit[part], d.spelled)
-            return np.bincount(d.owner, own, n)
-
         for batch in batches:
             for start, stop in slices(batch.column(1), BLOCK_BYTES):
                 part = batch.slice(start, stop - start)
                 starts, words = split_words(part.column(1), lower=True)
                 tokens, symbols, path, rare, number, places = block_parts(lexicon, starts, words)
                 per = log_prob(path, len(symbols))
-                if len(rare):
-                    spelled = log_prob(spelling_decisions(lexicon, rare, np.ones(len(rare))), len(rare))
-                    per[places] += spelled[number]
                 first, n_docs = tokens[:-1], len(tokens) - 1
                 total = np.add.reduceat(per, first) / math.log(10)
                 # Words outside the lexicon, once per document.
@@ -240,23 +257,38 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
                     names=["id", "row", "n_tokens", "n_known", "base", "score", "n_bytes", "rare", "rare_n"])
                 row += n_docs
 
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The words' log10 probabilities behind the escape; rows come sorted by word."""
+        for batch in batches:
+            for start, stop in slices(batch.column(0), SPELLED_BYTES):
+                part = batch.slice(start, stop - start)
+                coded = part.column(0).cast(pa.large_string()).dictionary_encode()
+                words = coded.dictionary
+                own, word, owner = shared_decisions(sent.value[0], words, np.ones(len(words)))
+                per_byte = log_prob(own, int(owner.max()) + 1)[owner]
+                per_word = np.bincount(word, per_byte, len(words)) / math.log(10)
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(per_word[coded.indices.to_numpy()])],
+                                                 names=["row", "times", "n", "spelled"])
+
     kind = docs.schema[id_col].dataType.simpleString()
     scored = store(docs.select(id_col, text_col).mapInArrow(
         run, f"id {kind}, row bigint, n_tokens bigint, n_known bigint, base double, score double, n_bytes bigint, "
         "rare array<string>, rare_n array<bigint>"), "scored")
     rare = (scored.select("row", F.explode(F.arrays_zip("rare", "rare_n")).alias("r"))
             .select("row", F.col("r.rare").alias("word"), F.col("r.rare_n").alias("times")))
-    c = F.coalesce("n", F.lit(0))
-    rest = (rare.join(counts, "word", "left").groupBy("row")
-            .agg(F.sum(F.col("times") * F.log10(c + F.lit(0.5))).alias("rare_base"),
-                 F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("rare_known")))
+    rest = (rare.join(counts, "word", "left").select("word", "row", "times", F.coalesce("n", F.lit(0)).alias("n"))
+            .mapInArrow(spell, "row bigint, times bigint, n bigint, spelled double").groupBy("row")
+            .agg(F.sum(F.col("times") * F.log10(F.col("n") + F.lit(0.5))).alias("rare_base"),
+                 F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("rare_known"),
+                 F.sum(F.col("times") * F.col("spelled")).alias("spelled")))
+    score = F.col("score") + F.coalesce("spelled", F.lit(0.0))
     return (scored.drop("rare", "rare_n").join(rest, "row", "left")
             .select(F.col("id").alias(id_col), (remainder(F.col("id"), folds) == held_fold).alias("held_out"), "n_tokens",
                     (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).cast("long").alias("n_known"),
                     F.lit(n_all).cast("long").alias("train_tokens"),
                     (F.col("base") + F.coalesce("rare_base", F.lit(0.0)) - F.col("n_tokens") * per_token).alias("base_score"),
-                    "score",
-                    F.when(F.col("n_bytes") > 0, -F.col("score") / math.log10(2) / F.col("n_bytes")).alias("bits_per_byte")))
+                    score.alias("score"),
+                    F.when(F.col("n_bytes") > 0, -score / math.log10(2) / F.col("n_bytes")).alias("bits_per_byte")))
 
 
 @query("op1_lm_scoring")

@@ -137,17 +137,33 @@ class Lexicon:
     rest: int
     value_set: pa.Array = field(init=False)
     hashes: np.ndarray = field(init=False)
+    by_hash: np.ndarray = field(init=False)
+    sorted_hashes: np.ndarray = field(init=False)
+    end: int = field(init=False)
 
     def __post_init__(self) -> None:
         self.value_set = pa.array(self.words, pa.large_string())
         self.hashes = word_hashes(self.value_set)
+        self.by_hash = np.argsort(self.hashes)
+        self.sorted_hashes = self.hashes[self.by_hash]
+        self.end = self.words.index(END)
         self.starts, self.nodes, self.bits = huffman(np.append(self.counts, self.rest))
         used = np.frombuffer(" ".join(self.words).encode(), np.uint8)
         self.byte_starts, self.byte_nodes, self.byte_bits = huffman(np.bincount(used, minlength=256) + 1)
 
     def symbols(self, words: pa.Array) -> np.ndarray:
-        found = pc.index_in(words, value_set=self.value_set)
-        return pc.fill_null(found, len(self.words)).to_numpy().astype(np.int64)
+        return self.symbols_of(words, word_hashes(words))
+
+    def symbols_of(self, words: pa.Array, hashes: np.ndarray) -> np.ndarray:
+        """The words' symbols: their hashes are looked for in those of the lexicon, then the words compared."""
+        at = np.minimum(np.searchsorted(self.sorted_hashes, hashes), len(self.words) - 1)
+        hit = np.flatnonzero(self.sorted_hashes[at] == hashes)
+        found = self.by_hash[at[hit]]
+        same = pc.equal(self.value_set.take(pa.array(found)), words.take(pa.array(hit)).cast(pa.large_string()))
+        same = same.to_numpy(zero_copy_only=False)
+        out = np.full(len(words), len(self.words), np.int64)
+        out[hit[same]] = found[same]
+        return out
 
 
 def slot(context: np.ndarray, place: np.ndarray, salt: int) -> np.ndarray:
@@ -176,28 +192,59 @@ def path_decisions(lexicon: Lexicon, symbols: np.ndarray, hashes: np.ndarray, st
     return Decisions(lexicon.bits[at], slots, owner, np.ones(0), 0)
 
 
-def spelling_decisions(lexicon: Lexicon, words: pa.Array, counts: np.ndarray) -> Decisions:
-    """Bits of the bytes of distinct words, each with its closing space; ``counts`` weigh them."""
+def spelled(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of the words, each with its closing space: the bytes, their words and places in them, and
+    prefix sums of a rolling hash, which starts anew in every word."""
     size = pc.binary_length(words).to_numpy().astype(np.int64) + 1
     code = np.frombuffer("".join(w + " " for w in words.to_numpy(zero_copy_only=False)).encode(), np.uint8)
-    first = np.repeat(starts_of(size)[:-1], size)
-    inside = np.arange(len(code)) - first
-    # The last bytes, as differences of a rolling hash's prefix sums; not over the word's start.
-    longest = int(size.max(initial=1))
-    up, down = powers(SPELL_BASE, longest + 1)
+    inside = np.arange(len(code)) - np.repeat(starts_of(size)[:-1], size)
+    up, _ = powers(SPELL_BASE, int(size.max(initial=1)) + 1)
     sums = np.zeros(len(code) + 1, np.uint64)
     np.cumsum((code + np.uint64(1)) * up[inside], out=sums[1:])
-    contexts = []
-    for back in SPELL_BACK:
+    return code, np.repeat(np.arange(len(words), dtype=np.int32), size), inside, sums
+
+
+def byte_decisions(lexicon: Lexicon, code: np.ndarray, inside: np.ndarray, sums: np.ndarray, at: np.ndarray,
+                   owner: np.ndarray, weight: np.ndarray) -> Decisions:
+    """Bits of the bytes at the places ``at``, which have owners and weights."""
+    inside = inside[at]
+    _, down = powers(SPELL_BASE, int(inside.max(initial=0)) + 2)
+    n_bits, bits_at = expand(lexicon.byte_starts, code[at].astype(np.int64))
+    place = (lexicon.byte_nodes[bits_at] + SPELL_NODE) * MULTIPLIER
+    slots = []
+    for k, back in enumerate(SPELL_BACK):
+        # The last bytes, as differences of the prefix sums; not over the word's start.
         known = np.minimum(inside, back)
-        begin = inside - known
-        last = (sums[:-1] - sums[first + begin]) * down[begin]
-        contexts.append(mix64(last + (known.astype(np.uint64) << np.uint64(56))).astype(np.uint32))
-    n_bits, at = expand(lexicon.byte_starts, code.astype(np.int64))
-    place = (lexicon.byte_nodes[at] + SPELL_NODE) * MULTIPLIER
-    slots = [slot(np.repeat(c, n_bits), place, 8 + k) for k, c in enumerate(contexts)]
-    owner = np.repeat(np.repeat(np.arange(len(words), dtype=np.int32), size), n_bits)
-    return Decisions(lexicon.byte_bits[at], slots, owner, counts[owner].astype(np.float32) if len(owner) else np.ones(0), 1)
+        last = (sums[at] - sums[at - known]) * down[inside - known]
+        context = mix64(last + (known.astype(np.uint64) << np.uint64(56))).astype(np.uint32)
+        slots.append(slot(np.repeat(context, n_bits), place, 8 + k))
+    return Decisions(lexicon.byte_bits[bits_at], slots, np.repeat(owner, n_bits),
+                     np.repeat(weight, n_bits) if len(owner) else np.ones(0), 1)
+
+
+def spelling_decisions(lexicon: Lexicon, words: pa.Array, counts: np.ndarray) -> Decisions:
+    """Bits of the bytes of distinct words, each with its closing space; ``counts`` weigh them."""
+    code, word, inside, sums = spelled(words)
+    return byte_decisions(lexicon, code, inside, sums, np.arange(len(code)), word, counts[word])
+
+
+def shared_decisions(lexicon: Lexicon, words: pa.Array, counts: np.ndarray) -> tuple[Decisions, np.ndarray, np.ndarray]:
+    """As ``spelling_decisions``, but bytes after equal beginnings, whose bits are the same, are decided
+    once with their weights summed. Also the word of every byte and the owner of its decisions."""
+    code, word, inside, sums = spelled(words)
+    begin = sums[1:] - sums[np.arange(len(code)) - inside]
+    order = np.argsort(begin)
+    fresh = np.ones(len(code), bool)
+    fresh[1:] = begin[order[1:]] != begin[order[:-1]]
+    # Beginnings are numbered as they first occur.
+    first = np.minimum.reduceat(order, np.flatnonzero(fresh))
+    number = np.empty(len(first), np.int32)
+    number[np.argsort(first)] = np.arange(len(first), dtype=np.int32)
+    owner = np.empty(len(code), np.int32)
+    owner[order] = number[np.cumsum(fresh) - 1]
+    own = byte_decisions(lexicon, code, inside, sums, np.sort(first), np.arange(len(first), dtype=np.int32),
+                         np.bincount(owner, counts[word], len(first)))
+    return own, word, owner
 
 
 @dataclass
@@ -279,17 +326,15 @@ def block_parts(lexicon: Lexicon, starts: np.ndarray, words: pa.Array):
     n_docs = len(starts) - 1
     token_starts = starts + np.arange(n_docs + 1)
     escape, coded = len(lexicon.words), words.dictionary_encode()
-    # Distinct words are looked up once; the lexicon's hashes are known.
-    number, own = coded.indices.to_numpy(), lexicon.symbols(coded.dictionary)
+    # Distinct words are hashed and looked up once.
+    number, own_hashes = coded.indices.to_numpy(), word_hashes(coded.dictionary)
+    own = lexicon.symbols_of(coded.dictionary, own_hashes)
     lacking = np.flatnonzero(own == escape)
     rare = coded.dictionary.take(pa.array(lacking))
-    own_hashes = np.zeros(len(own), np.uint64)
-    own_hashes[own < escape] = lexicon.hashes[own[own < escape]]
-    own_hashes[lacking] = word_hashes(rare)
     is_end = np.zeros(token_starts[-1], bool)
     is_end[token_starts[1:] - 1] = True
     inner = np.flatnonzero(~is_end)
-    symbols = np.full(token_starts[-1], lexicon.symbols(pa.array([END], pa.large_string()))[0])
+    symbols = np.full(token_starts[-1], lexicon.end)
     hashes = np.ones(token_starts[-1], np.uint64)
     symbols[inner], hashes[inner] = own[number], own_hashes[number]
     rare_number = np.zeros(len(own), np.int32)

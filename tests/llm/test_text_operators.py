@@ -415,6 +415,30 @@ def test_lm_spells_by_a_code_of_the_bytes():
     assert math.isclose((.5 ** np.diff(lexicon.byte_starts)).sum(), 1)
 
 
+def test_lm_spells_equal_beginnings_once():
+    """Fewer decisions, but the same counts in every slot and the same probability of every word."""
+    from paneltide.llm import mixing_model as m
+
+    frequent = sorted({prose(1, n) for n in range(300)})
+    lexicon = m.Lexicon(["", *frequent], np.arange(len(frequent) + 1, 0, -1), 3)
+    words = pa.array([a + b for a in frequent[:20] for b in frequent[20:40]], pa.large_string())
+    times = np.arange(1, len(words) + 1)
+    plain = m.spelling_decisions(lexicon, words, times)
+    shared, word, owner = m.shared_decisions(lexicon, words, times)
+    assert len(shared.bit) < .7 * len(plain.bit)
+    mixer, r = m.Mixer().close(), np.random.default_rng(1)
+    states = r.integers(-5000, 5000, 1 << m.SLOT_BITS, dtype=np.int16)
+    for k in range(m.CONTEXTS):
+        uses, ones = ([np.bincount(d.slots[k], d.weight * bit, 1 << m.SLOT_BITS) for bit in (1, d.bit)]
+                      for d in (plain, shared))
+        assert all((a == b).all() for a, b in zip(uses, ones, strict=True))
+    per = [np.bincount(d.owner, mixer.log_prob([states[at] for at in d.slots], d.bit, 1)) for d in (plain, shared)]
+    assert np.allclose(np.bincount(word, per[1][owner]), per[0], rtol=1e-5)
+    assert (lexicon.symbols(pa.array([*frequent, "", *words.to_pylist()], pa.large_string()))
+            == [*range(1, len(frequent) + 1), 0, *(frequent.index(w) + 1 if w in frequent else len(frequent) + 1
+                                                   for w in words.to_pylist())]).all()
+
+
 def test_lm_states_of_small_and_large_counts():
     from paneltide.llm import mixing_model as m
 
