@@ -291,6 +291,19 @@ def test_simhash_is_the_majority_of_bits(spark, monkeypatch):
     assert got == {n: plain_simhash(t) for n, t in enumerate(texts)}
 
 
+def test_line_features_are_ngrams_of_whole_characters(spark):
+    """From every place on, whatever the script; hashed as four bytes a character."""
+    from pyspark.sql import functions as F
+
+    lines = ["a", "ab", "abc d", "\u65e5\u672c\u8a9e\u306e\u6587", "x\U00020000y\U00020001zz", prose(40, 3)]
+    df = spark.createDataFrame([(t,) for t in lines], "t string")
+    for line, words, hashes in df.select("t", line_dedup.grams(F.col("t"), 3), line_dedup.inner_grams(F.col("t"), 4)).collect():
+        plain = [line[i:i + 3].encode("utf-32-be") for i in range(len(line))]
+        assert [bytes(w) for w in words] == plain
+        full = [xxhash.xxh64_intdigest(line[i:i + 4].encode("utf-32-be"), 42) for i in range(len(line) - 3)]
+        assert [h % (1 << 64) for h in hashes or []] == full
+
+
 def test_lm_learns_on_a_shard_of_one_block(spark):
     """Also one text alone moves the weights and fills the correction."""
     texts = spark.createDataFrame([(prose(3000, 31),)], "text string").coalesce(1)
