@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -291,6 +292,36 @@ def test_simhash_is_the_majority_of_bits(spark, monkeypatch):
     assert got == {n: plain_simhash(t) for n, t in enumerate(texts)}
 
 
+def test_line_simhash_sums_places_by_rows(spark, monkeypatch):
+    """The same hashes as from every n-gram on its own, for ends in and at a row and for long lines."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(line_dedup, "LANE_WORDS", 500)
+    texts = ["a", "ab", "abcdefg", "abcdefgh", "abcdefghi", "x\U00020000y\U00020001zz", "\u65e5\u672c\u8a9e",
+             *[prose(n, n)[:size] for n, size in ((60, 255), (60, 256), (120, 499), (120, 500), (120, 501))]]
+    df = spark.createDataFrame(list(enumerate(texts)), "line bigint, norm string").select("line", F.length("norm").alias("size"), "norm")
+    got = {r.line: r.sim for r in line_dedup.line_simhashes(df).collect()}
+    plain = line_dedup.simhashes(df.select(F.lit(0).alias("row"), "line", "size", line_dedup.grams(F.col("norm"), 3).alias("words")))
+    assert len(got) == len(texts) and got == {r.line: r.sim for r in plain.collect()}
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    from paneltide.llm.common import SHUFFLES_GO, store
+
+    def shuffled():
+        return set(re.findall(r"shuffle_\d+_\d+_\d+\.data", spark._jvm.org.apache.spark.SparkEnv.get().blockManager()
+                              .diskBlockManager().getAllFiles().mkString(" ")))
+
+    before, setting = shuffled(), spark.conf.get(SHUFFLES_GO, None)
+    out = store(spark.range(100_000, numPartitions=4).groupBy("id").count(), "counts")
+    for _ in range(50):
+        if not shuffled() - before:
+            break
+        time.sleep(.1)
+    assert not shuffled() - before and spark.conf.get(SHUFFLES_GO, None) == setting
+    assert out.count() == 100_000
+
+
 def test_line_features_are_ngrams_of_whole_characters(spark):
     """From every place on, whatever the script; hashed as four bytes a character."""
     from pyspark.sql import functions as F
