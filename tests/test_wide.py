@@ -92,3 +92,31 @@ def test_wide_panel_is_dealt_by_cells_and_steps_are_stored(panel, monkeypatch):
     out = B.preprocess(df, names, {"neutralize": {"enabled": True, "neutral_cols": ["beta"]}}, float32=False)
     assert out.count() == df.count() == 1800
     assert kept[1] == ("panel", 6) and [n for n, _ in kept] == ["panel", "panel", "clipped", "standardized"]
+
+
+def test_dates_that_fit_a_task_are_worked_on_whole(spark, monkeypatch):
+    """No pass over single cells, and the answers of those passes, also for odd columns, rows and dates."""
+    df, names = wide_panel(spark, 30, n_days=4)
+    odd = {"factor_0001": F.lit(0.1), "factor_0002": F.lit(None).cast("double"), "log_mktcap": F.when(
+        F.col("stock_id") == "s03", F.lit(float("inf"))).otherwise(F.col("log_mktcap")), "factor_0003": F.when(
+        F.col("stock_id") == "s05", F.col("factor_0003")), "factor_0004": F.when(F.col("stock_id") < "s05", F.lit(float("inf"))).otherwise(1.5)}
+    last = df.agg(F.max("date")).first()[0]
+    df = df.withColumns(odd).filter((F.col("date") < F.lit(last)) | (F.col("stock_id") < "s04"))
+    df = stored(df.unionByName(df.limit(3).withColumn("date", F.lit(None).cast("date"))), "odd")
+    for config in (CONFIG, {**CONFIG, "winsorize": {"lower": .1, "upper": .8}, "fill_missing": {"method": "zero"}}, {**CONFIG, "standardize": False}):
+        spark.conf.set("paneltide.group.maxRows", "0")
+        try:
+            wanted = B.preprocess(df, names, config, float32=False).sort("date", "stock_id").collect()
+        finally:
+            spark.conf.unset("paneltide.group.maxRows")
+        with monkeypatch.context() as patch:
+            for step in ("quantile_arrays", "per_cell", "standardize_cells", "residual_cells"):
+                if config.get("fill_missing") is None or step != "per_cell":
+                    patch.setattr(B, step, None)
+            got = B.preprocess(df, names, config, float32=False).sort("date", "stock_id").collect()
+        assert len(got) == len(wanted) == df.filter("is_st = 0").count()
+        for a, b in zip(got, wanted):
+            assert a[:6] == b[:6]
+            for c in names:  # None apart from NaN
+                assert (a[c] is None) == (b[c] is None), (c, a[c], b[c])
+                assert a[c] is None or np.isclose(a[c], b[c], rtol=1e-9, atol=1e-9, equal_nan=True), (c, a[c], b[c])
